@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: The folder for cut lineage where the session names none; only local sessions (tests) use it.
 LOCAL_FOLDER = "/tmp/checkpoints/tallyrift"
+#: Rows of one number each that are broadcast at most.
+SMALL_SIDE = 1_000_000
 #: Bits of the sets that keep rows without a part in a join out of its shuffle.
 BITS = 1 << 20
 
@@ -35,9 +38,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that nothing refers to any more; it does so as the JVM collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def small_side(df: DataFrame, most: int = SMALL_SIDE) -> DataFrame:
+    """``df``, a table of one number a row, to be broadcast if it is counted to have at most ``most`` rows; beyond that
+    the join shuffles both sides."""
+    df = written(df, "side")
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -12,10 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.ipc  # noqa: F401  pa.ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrift.llm.common import documents, in_set, whole, written
+from tallyrift.llm.common import documents, in_set, small_side, whole, written
 
 #: Characters of a gram, packed in 16 bits each; characters beyond those count as one.
 ORDER = 4
@@ -112,12 +114,34 @@ def train(trusted: DataFrame) -> DataFrame:
     return written(model.groupBy("key").agg(F.max("lp").alias("lp"), F.max("lg").alias("lg")), "model")
 
 
+def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch by block, each block's as one compressed table: texts that travel together compress well."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        block = batch.column("block").to_numpy(zero_copy_only=False)
+        order = np.argsort(block, kind="stable")
+        sorted_, names = block[order], [c for c in batch.schema.names if c != "block"]
+        first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(block) else []
+        table = pa.Table.from_batches([batch]).select(names).take(pa.array(order))
+        blobs = []
+        for at, end in zip(first, [*first[1:], len(block)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=options) as out:
+                out.write_table(table.slice(at, end - at).combine_chunks())
+            blobs.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(sorted_[first], pa.int32()), pa.array(blobs, pa.binary())], ["block", "bundle"])
+
+
+def _unbundled(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
+
+
 def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The keys that a block's grams need, its own and those it may fall back to, each once."""
     found: dict[int, np.ndarray] = {}
     for rows in batches:
-        for block, part in rows.groupby("block", sort=False):
-            texts = part["text"].tolist()
+        for block, blob in zip(rows["block"], rows["bundle"], strict=True):
+            texts = _unbundled(blob).column("text").to_pylist()
             for a, b in portions(texts):
                 new = np.unique(grams(texts[a:b])[0])
                 found[block] = np.union1d(found[block], new) if block in found else new
@@ -159,29 +183,34 @@ def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), whole().alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    asked = dealt.select("block", "text").mapInPandas(_asked, "block int, key long")
-    told = asked.join(model, "key").select("block", "key", "lp", "lg")
+    block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int")
+    dealt = rows.withColumn("block", block).mapInArrow(_bundled, "block int, bundle binary").repartition(blocks, "block")
+    told = dealt.mapInPandas(_asked, "block int, key long").join(model, "key").select("block", "key", "lp", "lg")
 
-    def scored(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    def scored(bundles: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         known = known.assign(key=known["key"].to_numpy(np.int64).view(np.uint64)).sort_values("key")
         keys, lp, lg = known["key"].to_numpy(np.uint64), known["lp"].to_numpy(float), known["lg"].to_numpy(float)
-        all_, out = texts["text"].tolist(), np.zeros(len(texts))
-        for a, b in portions(all_):
-            gram, sizes = grams(all_[a:b])
-            once, back = np.unique(gram, return_inverse=True)
-            total = np.add.reduceat(log_probabilities(once, keys, lp, lg)[back], np.cumsum(sizes) - sizes)
-            out[a:b] = np.exp(-total / sizes)
-        return texts[["doc_id", "lang"]].assign(doc_id=texts["doc_id"].astype("Int64"), n_chars=[len(t) for t in all_], perplexity=out)
+        parts = []
+        for blob in bundles["bundle"]:
+            table = _unbundled(blob)
+            texts, out = table.column("text").to_pylist(), np.zeros(len(table))
+            for a, b in portions(texts):
+                gram, sizes = grams(texts[a:b])
+                once, back = np.unique(gram, return_inverse=True)
+                total = np.add.reduceat(log_probabilities(once, keys, lp, lg)[back], np.cumsum(sizes) - sizes)
+                out[a:b] = np.exp(-total / sizes)
+            ids = pd.array(table.column("doc_id").to_pylist(), dtype="Int64")
+            parts.append(pd.DataFrame({"doc_id": ids, "lang": table.column("lang").to_pylist(), "n_chars": [len(t) for t in texts], "perplexity": out}))
+        return pd.concat(parts) if parts else pd.DataFrame(columns=["doc_id", "lang", "n_chars", "perplexity"])
 
     return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(scored, "doc_id long, lang string, n_chars long, perplexity double")
 
 
 def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose label says good quality; only they are shuffled."""
+    """The documents whose label says good quality; none is shuffled while the labels' ids are few, else only they are."""
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return in_set(rows, good, "doc_id", "_in").where("_in").drop("_in").join(good, "doc_id", "left_semi")
+    return in_set(rows, good, "doc_id", "_in").where("_in").drop("_in").join(small_side(good), "doc_id", "left_semi")
 
 
 def judged(scores: DataFrame, good: DataFrame) -> DataFrame:
