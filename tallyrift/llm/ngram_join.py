@@ -17,14 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyrift.llm.common import documents, written
+from tallyrift.llm.common import documents, in_set, written
 from tallyrift.llm.graph import components
 
 #: Grams whose sets are compared in a task at once; sets of a block that one task holds.
 AT_ONCE, BLOCK = 2_000_000, 1500
+#: Members up to which a block's sets ask each for itself.
+SMALL = 40
 #: Bits of the sets by which a worker tells what a later step may need.
 BITS = 1 << 22
 
@@ -83,8 +85,11 @@ class Parts:
         return bisect_left(self.tops, size)
 
     def signatures(self, grams: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint64), *(sigs for _, _, sigs in self.by_scheme(grams))])
+
+    def by_scheme(self, grams: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(scheme, parts that a linked set must have in common at least, signatures)"""
         k = self.class_of(len(grams))
-        out = []
         for scheme in (k, k - 1):
             if scheme < 0:
                 continue
@@ -92,16 +97,14 @@ class Parts:
             if not most:
                 continue  # only equal sets are linked
             n = most * 5 // 4 + 2
-            part = ((grams >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
+            part = ((grams >> np.uint64(20)) % np.uint64(n)).astype(np.uint16 if n <= 0xFFFF else np.int64)  # short: a radix sort
             order = np.argsort(part, kind="stable")
             p = part[order]
             first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
             total = np.add.reduceat(mixed(grams[order]), first)
             head = np.array([scheme * 1_000_003 + 17], np.uint64) * _ODD
-            out.append(mixed(total + head + p[first].astype(np.uint64) * _MIX))
-            if len(first) <= most:
-                out.append(mixed(head))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            sigs = mixed(total + head + p[first].astype(np.uint64) * _MIX)
+            yield scheme, max(1, len(first) - most), sigs if len(first) > most else np.append(sigs, mixed(head))
 
 
 def set_id(grams: np.ndarray) -> int:
@@ -255,9 +258,15 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFr
     blocks = members.select("set_id", F.explode("sigs").alias("sig"))
     # A running first value needs no buffer; a signature comes at most once from a portion, but for sets not linked there.
     lead = F.min("set_id").over(_by("sig", "set_id"))
-    guess = written(blocks.select("set_id", lead.alias("lead")).where("set_id != lead").distinct().select(F.col("set_id").alias("a"), F.col("lead").alias("b")), "guesses")
-    ends = guess.unionByName(ties).select(F.explode(F.array("a", "b")).alias("set_id"))
-    needed = docs.sparkSession.sparkContext.broadcast(_bits(ends, "set_id"))
+    led = written(blocks.select("set_id", lead.alias("lead")).where("set_id != lead").groupBy("set_id", "lead").agg(F.count(F.lit(1)).alias("n")), "led")
+    ends = led.select("set_id", F.col("lead").alias("other")).unionByName(ties.select(F.col("a").alias("set_id"), F.col("b").alias("other")))
+    ends = written(ends.select(F.explode(F.array("set_id", "other")).alias("set_id")).distinct(), "ends")
+
+    # The grams of the sets that share a part with another, from one document each.
+    place = F.coalesce("doc_id", F.lit(-(2**63)))
+    chosen = members.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min(place).alias("place")).join(ends, "set_id", "left_semi")
+    chosen = written(chosen, "chosen")
+    needed = docs.sparkSession.sparkContext.broadcast(_bits(chosen, "set_id"))
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, seen = Shingler(words), set()
@@ -272,20 +281,25 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFr
                         out.append((name, grams.tobytes()))
             yield pd.DataFrame(out, columns=["set_id", "grams"])
 
-    sets = source.select("text").mapInPandas(again, "set_id long, grams binary").dropDuplicates(["set_id"])
-    sets = written(sets.join(ends.distinct(), "set_id", "left_semi"), "grams")
+    some = in_set(source.withColumn("place", place), chosen, "place", "_in").where("_in").select("text")
+    sets = written(some.mapInPandas(again, "set_id long, grams binary").dropDuplicates(["set_id"]), "grams")
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = Parts(num, den)
-        for rows in batches:
-            keep = []
-            for x, y in zip(rows["grams"], rows["other"], strict=True):
-                one, other = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                keep.append(parts.linked(overlap(one, other), len(one), len(other)))
-            yield rows.loc[keep, ["a", "b"]]
-
-    sides = guess.join(sets.select(F.col("set_id").alias("a"), "grams"), "a").join(sets.select(F.col("set_id").alias("b"), F.col("grams").alias("other")), "b")
-    links = written(sides.mapInPandas(check, "a long, b long").unionByName(ties), "links")
+    def cell(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("set_id", kind="stable")
+        found = search([np.frombuffer(g, np.uint64) for g in rows["grams"]], rows["set_id"].tolist(), rows["root"].tolist(), rows["asks"].tolist(), Parts(num, den))
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    def searched(cells: DataFrame) -> DataFrame:
+        """Links between the sets of a cell (sig, deal, asker) that ask and its others."""
+        return cells.join(sets, "set_id").groupBy("sig", "deal", "asker").applyInPandas(cell, "a long, b long")
+
+    # Of the sets that lead its blocks, each set is checked against the one it shares most parts with.
+    best = led.groupBy("set_id").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
+    sizes = best.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("deals"))
+    followers = best.join(sizes, "lead").select(F.col("lead").alias("sig"), "set_id", F.pmod(F.xxhash64("set_id"), F.col("deals")).cast("int").alias("deal"), F.lit(False).alias("asks"))
+    leaders = sizes.select(F.col("lead").alias("sig"), F.col("lead").alias("set_id"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.lit(True).alias("asks"))
+    first_cells = followers.unionByName(leaders).withColumns({"asker": F.lit(0), "root": F.col("set_id")})
+    links = written(searched(written(first_cells, "cells")).unionByName(ties), "links")
     comps = components(links)
 
     # Blocks that span components, and all their sets.
@@ -301,36 +315,57 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFr
         for rows in batches:
             out = []
             for name, grams in zip(rows["set_id"], rows["grams"], strict=True):
-                sigs = _signed(parts.signatures(np.frombuffer(grams, np.uint64)))
-                out += [(s, name) for s in sigs[_has(wanted.value, sigs)].tolist()]
-            yield pd.DataFrame(out, columns=["sig", "set_id"])
-
-    inside = sets.mapInPandas(signed, "sig long, set_id long").join(open_, "sig", "left_semi")
-    inside = inside.join(comps, F.col("set_id") == F.col("node"), "left").select("sig", "set_id", F.coalesce("root", "set_id").alias("root"))
+                for scheme, least, sigs in parts.by_scheme(np.frombuffer(grams, np.uint64)):
+                    sigs = _signed(sigs)
+                    hits = sigs[_has(wanted.value, sigs)].tolist()
+                    if len(hits) >= least:
+                        out += [(s, name, scheme, least) for s in hits]
+            yield pd.DataFrame(out, columns=["sig", "set_id", "scheme", "least"])
+
+    inside = sets.mapInPandas(signed, "sig long, set_id long, scheme int, least int").join(open_, "sig", "left_semi")
+    inside = inside.join(comps, F.col("set_id") == F.col("node"), "left").select("sig", "set_id", "scheme", "least", F.coalesce("root", "set_id").alias("root"))
     inside = written(inside, "inside")
-    # The sets of a block's largest component needn't ask each other. Both sides of a large block are dealt to tasks.
+    # A link to a set of another component shows in ``least`` such blocks at least. So a set needs to be looked for only in
+    # its smallest blocks, all but least - 1 of them: in one order of blocks, two linked sets' first common one is left.
+    totals = inside.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
+    own = Window.partitionBy("set_id", "scheme")
+    ranked = inside.join(totals, "sig").withColumns({"open": F.count(F.lit(1)).over(own), "at": F.row_number().over(own.orderBy("size", "sig"))})
+    all_ = inside
+    inside = written(ranked.where("at <= open - least + 1").select("sig", "set_id", "root"), "inside")
     sizes = inside.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("sig").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most"))
-    main = main.select("sig", "main", F.ceil(F.col("total") / BLOCK).cast("int").alias("deals"), F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int").alias("askers"))
-    rows = inside.join(main, "sig").withColumn("asks", F.col("root") != F.col("main"))
-    told = rows.select("sig", "set_id", "root", F.lit(False).alias("asks"), F.pmod(F.xxhash64("set_id"), F.col("deals")).alias("deal"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("asker"))
-    asked = rows.where("asks").select("sig", "set_id", "root", "asks", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.pmod(F.xxhash64("set_id"), F.col("askers")).alias("asker"))
-    cells = told.unionByName(asked).groupBy("sig", "deal", "asker", "set_id", "root").agg(F.max("asks").alias("asks")).join(sets, "set_id")
-
-    def cell(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("set_id", kind="stable")
-        found = search([np.frombuffer(g, np.uint64) for g in rows["grams"]], rows["set_id"].tolist(), rows["root"].tolist(), rows["asks"].tolist(), Parts(num, den))
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-    more = written(cells.groupBy("sig", "deal", "asker").applyInPandas(cell, "a long, b long"), "links")
+    main = written(sizes.groupBy("sig").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most")).where("total > most"), "main")
+
+    # In a small block each set asks those of other components, once for all its blocks.
+    few = inside.join(main.where(F.col("total") <= SMALL).select("sig"), "sig", "left_semi")
+    one = few.select("sig", F.col("set_id").alias("query"), F.col("root").alias("r"))
+    met = written(one.join(few, "sig").where("query < set_id AND r != root").select("query", "set_id", "r", "root").distinct(), "met")
+    # Two that meet must have ``least`` parts in common.
+    asker = all_.select(F.col("set_id").alias("query"), "sig", "scheme", F.col("least").alias("l"))
+    common = met.join(asker, "query").join(all_.select("set_id", "sig", "scheme", "least"), ["set_id", "sig", "scheme"]).groupBy("query", "set_id", "r", "root", "scheme")
+    met = written(common.agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("l", "least")).alias("m")).where("n >= m").select("query", "set_id", "r", "root").distinct(), "met")
+    asking = met.select(F.col("query").alias("sig"), F.col("query").alias("set_id"), F.col("r").alias("root"), F.lit(True).alias("asks")).distinct()
+    answering = met.select(F.col("query").alias("sig"), "set_id", "root", F.lit(False).alias("asks")).distinct()
+    small = asking.unionByName(answering).withColumns({"deal": F.lit(-1), "asker": F.lit(-1)})
+
+    # In a large block the sets of the largest component needn't ask each other. Both sides are dealt to tasks.
+    many = main.where(F.col("total") > SMALL).select(
+        "sig", "main", F.ceil(F.col("total") / BLOCK).cast("int").alias("deals"), F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int").alias("askers"))
+    # Of large blocks with the same members one is searched.
+    alike = inside.join(many, "sig").groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("y"))
+    many = written(many.join(alike.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi"), "many")
+    rows = inside.join(many, "sig").withColumn("asks", F.col("root") != F.col("main"))
+    told = rows.select("sig", "set_id", "root", F.lit(False).alias("asks"), F.pmod(F.xxhash64("set_id"), F.col("deals")).cast("int").alias("deal"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("asker"))
+    asked = rows.where("asks").select("sig", "set_id", "root", "asks", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.pmod(F.xxhash64("set_id"), F.col("askers")).cast("int").alias("asker"))
+    large = told.unionByName(asked).groupBy("sig", "deal", "asker", "set_id", "root").agg(F.max("asks").alias("asks"))
+    cells = written(large.unionByName(small.select(*large.columns)), "cells")
+
+    more = written(searched(cells), "links")
     if more.isEmpty():
         return members, comps.withColumnRenamed("node", "set_id")
     return members, components(links.unionByName(more)).withColumnRenamed("node", "set_id")
 
 
 def _by(key: str, order: str):
-    from pyspark.sql import Window
-
     return Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
