@@ -22,9 +22,9 @@ from tallyrift.llm.common import documents, in_set, whole, written
 
 LENGTH, GRAM = 200, 16
 #: Bytes of text whose grams are hashed at once, and of contexts whose suffixes are sorted at once.
-AT_ONCE, CHUNK = 4 << 20, 1 << 18
+AT_ONCE, CHUNK = 1 << 20, 1 << 19
 #: Distinct contexts of a gram beyond which its strings are dealt out one by one, each by its own hash.
-HOT = 500
+HOT = 20_000
 
 _PLACE = np.uint64((1 << 26) - 1)
 
@@ -51,7 +51,7 @@ def window_minima(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def contexts(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, gram's hash, context's hash, first start, last start) of all contexts, by portions of the texts."""
+    """(text, gram's hash, context's hash, first start, last start, gram's place) of all contexts, by portions of the texts."""
     import xxhash
 
     at = 0
@@ -83,7 +83,7 @@ def contexts(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndar
         view = memoryview(data)
         digest = xxhash.xxh3_64_intdigest
         whole = np.fromiter((digest(view[a : b + length]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint64, len(lo))
-        yield text + first, hashes[gram[new]], whole, lo - begin[text], hi - begin[text]
+        yield text + first, hashes[gram[new]], whole, lo - begin[text], hi - begin[text], gram[new] - begin[text]
 
 
 def two_stage(data: bytes, depth: int) -> np.ndarray:
@@ -157,7 +157,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-_FOUND = "row long, gram long, context long, lo int, hi int, n int"
+_FOUND = "row long, gram long, context long, lo int, hi int, at int, n int"
 
 
 def _found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,11 +166,11 @@ def _found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     kept: list[list[np.ndarray]] = []
     for rows in batches:
         own = rows["row"].to_numpy(np.int64)
-        for text, gram, context, lo, hi in contexts([(t or "").encode("utf-8", "surrogatepass") for t in rows["text"]]):
-            kept.append([own[text], _signed(gram), _signed(context), lo.astype(np.int32), hi.astype(np.int32)])
+        for text, gram, context, lo, hi, at in contexts([(t or "").encode("utf-8", "surrogatepass") for t in rows["text"]]):
+            kept.append([own[text], _signed(gram), _signed(context), *(x.astype(np.int32) for x in (lo, hi, at))])
     if not kept:
         return
-    row, gram, context, lo, hi = (np.concatenate(x) for x in zip(*kept, strict=True))
+    row, gram, context, lo, hi, place = (np.concatenate(x) for x in zip(*kept, strict=True))
     kept.clear()
     order = np.lexsort((context, gram))
     g, c = gram[order], context[order]
@@ -180,14 +180,14 @@ def _found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     take = order[first]
     for at in range(0, len(take), 100_000):
         i = take[at : at + 100_000]
-        yield pd.DataFrame({"row": row[i], "gram": gram[i], "context": context[i], "lo": lo[i], "hi": hi[i], "n": np.minimum(n[at : at + 100_000], 2)})
+        yield pd.DataFrame({"row": row[i], "gram": gram[i], "context": context[i], "lo": lo[i], "hi": hi[i], "at": place[i], "n": np.minimum(n[at : at + 100_000], 2)})
     again = order[np.repeat(n > 1, n)]
     if len(again):
         again = again[np.lexsort((lo[again], row[again]))]
         r, a, b = row[again], lo[again], hi[again] + LENGTH
         cut = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (a[1:] > b[:-1])))  # contexts of a text follow one another
         last = np.append(cut[1:], len(again)) - 1
-        yield pd.DataFrame({"row": r[cut], "gram": 0, "context": 0, "lo": a[cut], "hi": np.maximum.reduceat(b, cut)[: len(last)], "n": 0})
+        yield pd.DataFrame({"row": r[cut], "gram": 0, "context": 0, "lo": a[cut], "hi": np.maximum.reduceat(b, cut)[: len(last)], "at": 0, "n": 0})
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,20 +196,67 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for text, wanted in zip(rows["text"], rows["wanted"], strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
-            out += [(w["row"], w["gram"], w["lo"], w["n"], data[w["lo"] : w["hi"] + LENGTH]) for w in wanted]
-        yield pd.DataFrame(out, columns=["row", "gram", "lo", "n", "bytes"])
+            out += [(w["row"], w["gram"], w["lo"], w["at"] - w["lo"], w["n"], data[w["lo"] : w["hi"] + LENGTH]) for w in wanted]
+        yield pd.DataFrame(out, columns=["row", "gram", "lo", "skip", "n", "bytes"])
+
+
+def common_prefix(a: bytes, b: bytes) -> int:
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        mid = (low + high) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid
+    return low
+
+
+def furthest(strings: list[bytes]) -> list[int]:
+    """The longest prefix that each string has in common with another one, from its neighbours in order."""
+    order, out = sorted(range(len(strings)), key=strings.__getitem__), [0] * len(strings)
+    for i, j in zip(order, order[1:], strict=False):
+        n = common_prefix(strings[i], strings[j])
+        out[i], out[j] = max(out[i], n), max(out[j], n)
+    return out
 
 
 def _sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Spans of repeats, from contexts in the order of their grams. No gram is split between suffix arrays."""
+    """Spans of repeats, from contexts in the order of their grams. No gram is split between suffix arrays.
+
+    The contexts of a gram stand in line at it, and a string that two of them share lies within what each has in common
+    with another to its left and to its right: only that part is sorted, once for all contexts that agree in it.
+    """
     held: list[tuple] = []
     size = 0
 
     def flush() -> pd.DataFrame:
-        out = []
-        for (row, _, lo, n, _), starts in zip(held, repeated_starts([bytes(h[4]) for h in held]), strict=True):
-            if n == 1:  # a context that is there twice has been marked as a whole
-                out += [(row, lo + a, lo + b) for a, b in runs(starts, LENGTH)]
+        out, parts, owners = [], [], []
+        at = 0
+        while at < len(held):
+            end = at
+            while end < len(held) and held[end][1] == held[at][1]:
+                end += 1
+            group, at = held[at:end], end
+            data = [bytes(h[5]) for h in group]
+            left = furthest([d[: h[3]][::-1] for d, h in zip(data, group, strict=True)])
+            right = furthest([d[h[3] :] for d, h in zip(data, group, strict=True)])
+            alike: dict[tuple, list] = {}
+            for h, d, a, b in zip(group, data, left, right, strict=True):
+                if a + b >= LENGTH:
+                    alike.setdefault((a, d[h[3] - a : h[3] + b]), []).append((h[0], h[2] + h[3] - a, h[4]))
+            for (_, part), rows in alike.items():
+                twice = len(rows) > 1 or rows[0][2] > 1  # n above 1: marked as a whole before
+                out += [(row, first, first + len(part)) for row, first, n in rows if twice and n == 1]
+                parts.append(part)
+                owners.append(None if twice else rows[0])
+            if all(o is None for o in owners[len(owners) - len(alike) :]):  # nothing is open
+                del parts[len(parts) - len(alike) :], owners[len(owners) - len(alike) :]
+        if parts:
+            for owner, starts in zip(owners, repeated_starts(parts), strict=True):
+                if owner:
+                    out += [(owner[0], owner[1] + a, owner[1] + b) for a, b in runs(starts, LENGTH)]
         return pd.DataFrame(out, columns=["row", "lo", "hi"])
 
     for rows in batches:
@@ -218,7 +265,7 @@ def _sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield flush()
                 held, size = [], 0
             held.append(x)
-            size += len(x[4]) + 1
+            size += len(x[5]) + 1
     if held:
         yield flush()
 
@@ -229,7 +276,7 @@ def _strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for rows in batches:
         out = []
-        for row, _, lo, n, data in rows.itertuples(index=False, name=None):
+        for row, _, lo, _, n, data in rows.itertuples(index=False, name=None):
             for i in range(len(data) - LENGTH + 1):
                 h = xxhash.xxh3_128_digest(data[i : i + LENGTH])
                 out.append((h, row, lo + i, n))
@@ -248,7 +295,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     grams = seen.groupBy("gram").agg(F.sum("n").alias("total"), F.min("context").alias("one"), F.max("context").alias("other"))
     live = written(seen.join(grams.where("total > 1"), "gram").select(*seen.columns, (F.col("one") == F.col("other")).alias("alone")), "shared")
     mixed = live.where("NOT alone").groupBy("gram", "context").agg(
-        F.sum("n").alias("total"), F.min_by(F.struct("row", "lo", "hi"), F.struct("row", "lo")).alias("at"))
+        F.sum("n").alias("total"), F.min_by(F.struct("row", "lo", "hi", "at"), F.struct("row", "lo")).alias("one"))
     mixed = written(mixed, "mixed")
     many = mixed.where("total > 1").select("gram", "context")
     again = live.where("n = 1")
@@ -257,13 +304,13 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
 
     per_gram = mixed.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"))
     wanted = mixed.join(per_gram, "gram").select(
-        F.col("at.row").alias("row"), "gram", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), F.least("total", F.lit(2)).cast("int").alias("n"), (F.col("contexts") > HOT).alias("hot"))
+        F.col("one.row").alias("row"), "gram", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), F.col("one.at").alias("at"), F.least("total", F.lit(2)).cast("int").alias("n"), (F.col("contexts") > HOT).alias("hot"))
     wanted = written(wanted, "wanted")
-    by_text = wanted.groupBy("row").agg(F.collect_list(F.struct("row", "gram", "lo", "hi", "n", "hot")).alias("wanted"))
+    by_text = wanted.groupBy("row").agg(F.collect_list(F.struct("row", "gram", "lo", "hi", "at", "n", "hot")).alias("wanted"))
     part = in_set(rows, wanted, "row", "_in").where("_in").select("row", "text").dropDuplicates(["row"])
     named = part.join(by_text, "row")
     pieces = lambda hot: named.select("text", F.filter("wanted", lambda w: w["hot"] == hot).alias("wanted")).where(F.size("wanted") > 0).mapInPandas(
-        _cut, "row long, gram long, lo int, n int, bytes binary")
+        _cut, "row long, gram long, lo int, skip int, n int, bytes binary")
     inside = pieces(False).repartition("gram").sortWithinPartitions("gram").mapInPandas(_sorted, "row long, lo int, hi int")
     if wanted.where("hot").isEmpty():
         return found.where("n = 0").select("row", "lo", "hi").unionByName(whole_spans).unionByName(inside)
