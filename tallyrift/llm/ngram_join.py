@@ -25,6 +25,8 @@ from tallyrift.llm.graph import components
 
 #: Grams whose sets are compared in a task at once; sets of a block that one task holds.
 AT_ONCE, BLOCK = 2_000_000, 1500
+#: Parts of a sketch for each gram in which a linked pair may differ.
+FINE = 4
 #: Members up to which a block's sets ask each for itself.
 SMALL = 40
 #: Bits of the sets by which a worker tells what a later step may need.
@@ -93,7 +95,7 @@ class Parts:
         for scheme in (k, k - 1):
             if scheme < 0:
                 continue
-            most = (self.den - self.num) * self.tops[scheme] // self.num
+            most = self.most(scheme)
             if not most:
                 continue  # only equal sets are linked
             n = most * 5 // 4 + 2
@@ -107,6 +109,17 @@ class Parts:
             yield scheme, max(1, len(first) - most), sigs if len(first) > most else np.append(sigs, mixed(head))
 
 
+    def sketch(self, grams: np.ndarray, scheme: int) -> bytes:
+        """16 bits of the content of each of many parts. Of a linked pair's, all but ``most`` agree, as equal parts do."""
+        n = max(1, FINE * self.most(scheme))
+        part = ((grams >> np.uint64(12)) % np.uint64(n)).astype(np.int64)
+        total = np.bincount(part, (mixed(grams) >> np.uint64(44)).astype(float), n)
+        return (total.astype(np.uint64) & np.uint64(0xFFFF)).astype("<u2").tobytes()
+
+    def most(self, scheme: int) -> int:
+        return (self.den - self.num) * self.tops[scheme] // self.num
+
+
 def set_id(grams: np.ndarray) -> int:
     """A set's name, from which its content is known but for hash collisions; as a signed 64-bit number."""
     total = int(mixed(grams + _ODD).sum(dtype=np.uint64)) ^ (len(grams) * int(_MIX)) & (2**64 - 1)
@@ -342,7 +355,29 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFr
     # Two that meet must have ``least`` parts in common.
     asker = all_.select(F.col("set_id").alias("query"), "sig", "scheme", F.col("least").alias("l"))
     common = met.join(asker, "query").join(all_.select("set_id", "sig", "scheme", "least"), ["set_id", "sig", "scheme"]).groupBy("query", "set_id", "r", "root", "scheme")
-    met = written(common.agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("l", "least")).alias("m")).where("n >= m").select("query", "set_id", "r", "root").distinct(), "met")
+    common = common.agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("l", "least")).alias("m")).where("n >= m")
+    met = written(common.select("query", "set_id", "r", "root", "scheme"), "met")
+
+    # Before whole sets travel, their sketches do, to part those that differ too much.
+    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = Parts(num, den)
+        for rows in batches:
+            out = []
+            for name, data in zip(rows["set_id"], rows["grams"], strict=True):
+                grams = np.frombuffer(data, np.uint64)
+                k = parts.class_of(len(grams))
+                out += [(name, i, parts.most(i), parts.sketch(grams, i)) for i in (k, k - 1) if i >= 0]
+            yield pd.DataFrame(out, columns=["set_id", "scheme", "most", "sketch"])
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            keep = [int((np.frombuffer(x, "<u2") != np.frombuffer(y, "<u2")).sum()) <= m for x, y, m in zip(rows["sketch"], rows["other"], rows["most"], strict=True)]
+            yield rows.loc[keep, ["query", "set_id", "r", "root"]]
+
+    named_ends = met.select(F.explode(F.array("query", "set_id")).alias("set_id")).distinct()
+    sketches = written(sets.join(named_ends, "set_id", "left_semi").mapInPandas(sketched, "set_id long, scheme int, most int, sketch binary"), "sketches")
+    both = met.join(sketches.select(F.col("set_id").alias("query"), "scheme", F.col("sketch").alias("other")), ["query", "scheme"]).join(sketches, ["set_id", "scheme"])
+    met = written(both.mapInPandas(close, "query long, set_id long, r long, root long").distinct(), "met")
     asking = met.select(F.col("query").alias("sig"), F.col("query").alias("set_id"), F.col("r").alias("root"), F.lit(True).alias("asks")).distinct()
     answering = met.select(F.col("query").alias("sig"), "set_id", "root", F.lit(False).alias("asks")).distinct()
     small = asking.unionByName(answering).withColumns({"deal": F.lit(-1), "asker": F.lit(-1)})
