@@ -140,7 +140,7 @@ def token_set_ratio(a: str, b: str) -> float:
                 before, row[j] = row[j], before + 1 if c == d else max(row[j], row[j - 1])
         return 200.0 * row[-1] / (len(s) + len(t)) if s or t else 0.0
 
-    return max(ratio(one, two), *((ratio(both, one), ratio(both, two)) if both else ()))
+    return max([ratio(one, two), *([ratio(both, one), ratio(both, two)] if both else [])])
 
 
 def block_pairs(rows: DataFrame, block: Sequence[str], order: str) -> DataFrame:
