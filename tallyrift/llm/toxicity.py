@@ -21,12 +21,12 @@ from tallyrift.llm.common import documents
 
 WINDOW, STRIDE = 48, 36
 #: Labelled rows of each class that training takes at most, by a hash of their ids.
-SAMPLE = 1500
+SAMPLE = 1000
 WORDS, GRAMS, WIDE, HIDDEN = 2**12, 2**14, 16, 12
 #: Every FOLDS-th hash value is held out.
 FOLDS = 5
 #: Distinct words that a worker remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -207,19 +207,26 @@ class Network:
             out[take] = self._forward(x[:, :, : 3 * HIDDEN], x[:, :, 3 * HIDDEN :], mask)
         return out, owner
 
-    def scores(self, texts: list[str], words_at_once: int = 200_000) -> np.ndarray:
+    def by_portion(self, texts: list[str], words_at_once: int = 200_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first text, logit of each window, the text from there that it is of) for portions of the texts."""
+        first, size = 0, 0
+        for i, t in enumerate(texts):
+            size += len(t) // 5 + 1
+            if size >= words_at_once or i + 1 == len(texts):
+                yield first, *self.logits(texts[first : i + 1])
+                first, size = i + 1, 0
+
+    def worst(self, texts: list[str]) -> np.ndarray:
+        """The highest logit of each text's windows."""
+        out = np.full(len(texts), -np.inf)
+        for first, logit, owner in self.by_portion(texts):
+            np.maximum.at(out, owner + first, logit)
+        return out
+
+    def scores(self, texts: list[str]) -> np.ndarray:
         """Each text's score, 0 to 1: its worst window's. Equal texts are scored once."""
         once = list(dict.fromkeys(texts))
-        known, part, size = {}, [], 0
-        for i, t in enumerate(once):
-            part.append(t)
-            size += len(t) // 5 + 1
-            if size >= words_at_once or i + 1 == len(once):
-                logit, owner = self.logits(part)
-                worst = np.full(len(part), -np.inf, np.float32)
-                np.maximum.at(worst, owner, logit)
-                known.update(zip(part, 1 / (1 + np.exp(-worst.astype(np.float64) * float(self.p["scale"][0]))), strict=True))
-                part, size = [], 0
+        known = dict(zip(once, 1 / (1 + np.exp(-self.worst(once) * float(self.p["scale"][0]))), strict=True))
         return np.array([known[t] for t in texts])
 
 
@@ -237,6 +244,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 7, batch: int = 12
     hashed = word_hashes(words)
     counts = np.diff(np.append(hashed[2], len(hashed[1])))
     coded = [np.array([vocabulary[w] for w in ws], np.int64) for ws in split]
+    del split, vocabulary
     owner, begin = [], []
     for i, ws in enumerate(coded):
         at = windows_of(len(ws))
@@ -250,7 +258,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 7, batch: int = 12
         if epoch < 2:  # any window of a text stands for it, at first
             pick = r.permutation(len(owner))[: 6 * len(y)]
         else:
-            logit, who = net.logits(texts)
+            found = [(logit, owner_ + first) for first, logit, owner_ in net.by_portion(texts)]
+            logit, who = (np.concatenate(x) for x in zip(*found, strict=True))
             best = {}
             for w in np.argsort(-logit, kind="stable"):
                 best.setdefault(who[w], []).append(w)
@@ -287,9 +296,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 7, batch: int = 12
 
 def _calibrate(net: Network, texts: list[str], y: np.ndarray) -> None:
     """Shift the texts' logits so that 0 parts the training rows with the fewest errors, in the middle of the gap."""
-    logit, owner = net.logits(texts)
-    worst = np.full(len(texts), -np.inf, np.float64)
-    np.maximum.at(worst, owner, logit)
+    worst = net.worst(texts)
     order = np.argsort(worst, kind="stable")
     low, high = worst[order], y[order]
     errors = np.concatenate(([0], np.cumsum(high > 0.5))) + np.concatenate((np.cumsum((high < 0.5)[::-1])[::-1], [0]))
