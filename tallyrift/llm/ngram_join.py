@@ -1,19 +1,22 @@
 """Jaccard join of documents on word n-grams, exact, by T-occurrence search.
 
-Linked sets differ in few grams. Grams are dealt to a few more parts than that by their hash, so two linked sets have a
-part in common that is equal and not empty; sets that share a part's signature form a block. A block's smallest set is
-checked against the others; what that links falls into components. Only blocks that then still span several components
-are searched: DivideSkip merges the short inverted lists by a heap and probes the long ones by bisection, for sets of
-another component that reach the overlap. Every linked pair of different components meets in such a block, so no link
-between components is lost; links within one needn't be looked at.
+Every linked pair shares some of the rarest grams of both sets, in any one order of all grams. So grams are counted into
+a table of fixed size first, and a set shows only its grams of the least counts, a few more than it may differ in; the
+sets that show a gram form a block. Long common passages are thus hardly ever shown. A pair must meet in ``least`` blocks,
+so sets with fewer blocks are done. Of the rest, each is checked against the first of its blocks; what that links falls
+into components. Only blocks that then still span several components are searched: DivideSkip merges the short inverted
+lists and probes the long ones by bisection, for sets of another component that reach the overlap. Every linked
+pair of different components meets in such a block, so no link between components is lost; links within one needn't be
+looked at.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
+import re
+import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,13 +26,15 @@ from pyspark.sql import functions as F
 from tallyrift.llm.common import documents, in_set, written
 from tallyrift.llm.graph import components
 
-#: Grams whose sets are compared in a task at once; sets of a block that one task holds.
-AT_ONCE, BLOCK = 2_000_000, 1500
+#: Sets of a block that one task holds; grams that are counted at once; bytes of a text that are hashed at once.
+BLOCK, AT_ONCE, PIECE = 1500, 2_000_000, 1 << 16
+#: Counters of the table that orders grams, of which SLICE are summed at once. With more grams only the order is coarser.
+COUNTERS, SLICE = 1 << 22, 1 << 12
 #: Parts of a sketch for each gram in which a linked pair may differ.
 FINE = 4
 #: Members up to which a block's sets ask each for itself.
 SMALL = 40
-#: Bits of the sets by which a worker tells what a later step may need.
+#: Bits of the set by which a worker tells what a later step may need.
 BITS = 1 << 22
 
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -40,75 +45,93 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+#: White space of the contract.
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_WORD = re.compile(rb"[^\x20\x09-\x0D]*")
+#: A number for each byte, the same for a-z and A-Z.
+_BYTE = mixed(mixed(np.arange(1, 257, dtype=np.uint64) * _MIX) * _ODD)
+_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_BYTE[_SPACE] = 0
+
+
 class Shingler:
-    """Sets of 64-bit hashes of the runs of ``words`` words. Words are what white space parts, A-Z in lower case."""
+    """Sets of 64-bit hashes of the runs of ``words`` words. Words are what white space parts, A-Z in lower case.
+
+    A word's hash is a polynomial of its bytes' numbers, as a difference of running sums over a piece of the text.
+    """
+
+    def __init__(self, words: int):
+        self.words, self.powers, self.inverses = words, *self._powers(PIECE)
+
+    @staticmethod
+    def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+        bases = int(_ODD), pow(int(_ODD), -1, 2**64)
+        return tuple(np.cumprod(np.append(np.ones(1, np.uint64), np.full(n, b, np.uint64)), dtype=np.uint64) for b in bases)
 
-    def __init__(self, words: int, remember: int = 500_000):
-        self.words, self.remember, self.known = words, remember, {}
+    def _words(self, data: bytes) -> np.ndarray:
+        b = np.frombuffer(data, np.uint8)
+        if len(b) >= len(self.powers):  # a word longer than a piece
+            self.powers, self.inverses = self._powers(2 * len(b))
+        edge = np.concatenate([[True], _SPACE[b], [True]])
+        at = np.flatnonzero(edge[1:] != edge[:-1])
+        sums = np.append(np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * self.powers[: len(b)], dtype=np.uint64))
+        return mixed((sums[at[1::2]] - sums[at[::2]]) * self.inverses[at[::2]])
 
     def __call__(self, text: str | None) -> np.ndarray:
-        import xxhash
-
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > self.remember:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        n = min(self.words, len(words))
+        data = (text or "").encode("utf-8", "surrogatepass")
+        pieces, start = [], 0
+        while start < len(data):
+            end = _WORD.match(data, min(start + PIECE // 2, len(data))).end()
+            pieces.append(self._words(data[start:end]))
+            start = end
+        h = np.concatenate(pieces) if pieces else np.zeros(0, np.uint64)
+        if not len(h):
+            return h
+        n = min(self.words, len(h))
         out = np.full(len(h) - n + 1, n, np.uint64)
         for i in range(n):
             out = mixed(out * _ODD + h[i : len(h) - n + 1 + i])
         return np.unique(out)
 
 
-class Parts:
-    """The parts of sets, for a similarity of at least num / den.
+class Limits:
+    """What holds for linked sets, of a similarity of at least num / den.
 
-    Sizes fall into classes such that linked sets lie in one class or in neighbours. Scheme k serves the pairs whose
-    smaller set is in class k; they differ by at most ``most`` grams, so more than that many non-empty parts leave one
-    untouched. A set with fewer (a few tiny ones) also joins its scheme's common block.
+    Sizes fall into classes such that linked sets lie in one class or in neighbours; a pair goes by its smaller class.
     """
 
     def __init__(self, num: int, den: int):
-        self.num, self.den, self.schemes = num, den, {}
+        self.num, self.den = num, den
         self.tops = [1]  # the largest size of each class
 
     def linked(self, shared: int, one: int, other: int) -> bool:
         return self.den * shared >= self.num * (one + other - shared)
 
+    def overlap(self, size: int) -> int:
+        """Grams at least that a set of this size shares with one that it is linked with."""
+        return -(-self.num * size // self.den)
+
+    def extra(self, size: int) -> int:
+        return min(3 + size // 100, self.overlap(size))
+
+    def least(self, size: int) -> int:
+        """Shown grams at least that a set of this size shares: as many as its smallest partner's ``extra``, which is not more than its own."""
+        return self.extra(self.overlap(size))
+
+    def shown(self, grams: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """The first grams in the order of (rank, hash): those in which the set may differ, and ``extra`` more."""
+        k = len(grams) - self.overlap(len(grams)) + self.extra(len(grams))
+        if k >= len(grams):
+            return grams
+        key = (rank[_counter(grams)].astype(np.uint64) << np.uint64(56)) | (mixed(grams) >> np.uint64(8))
+        return grams[np.argpartition(key, k - 1)[:k]]
+
     def class_of(self, size: int) -> int:
         while self.tops[-1] < size:
             self.tops.append((self.tops[-1] + 1) * self.den // self.num)
         return bisect_left(self.tops, size)
 
-    def signatures(self, grams: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.uint64), *(sigs for _, _, sigs in self.by_scheme(grams))])
-
-    def by_scheme(self, grams: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(scheme, parts that a linked set must have in common at least, signatures)"""
-        k = self.class_of(len(grams))
-        for scheme in (k, k - 1):
-            if scheme < 0:
-                continue
-            most = self.most(scheme)
-            if not most:
-                continue  # only equal sets are linked
-            n = most * 5 // 4 + 2
-            part = ((grams >> np.uint64(20)) % np.uint64(n)).astype(np.uint16 if n <= 0xFFFF else np.int64)  # short: a radix sort
-            order = np.argsort(part, kind="stable")
-            p = part[order]
-            first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-            total = np.add.reduceat(mixed(grams[order]), first)
-            head = np.array([scheme * 1_000_003 + 17], np.uint64) * _ODD
-            sigs = mixed(total + head + p[first].astype(np.uint64) * _MIX)
-            yield scheme, max(1, len(first) - most), sigs if len(first) > most else np.append(sigs, mixed(head))
-
-
     def sketch(self, grams: np.ndarray, scheme: int) -> bytes:
         """16 bits of the content of each of many parts. Of a linked pair's, all but ``most`` agree, as equal parts do."""
         n = max(1, FINE * self.most(scheme))
@@ -120,68 +143,52 @@ class Parts:
         return (self.den - self.num) * self.tops[scheme] // self.num
 
 
-def set_id(grams: np.ndarray) -> int:
-    """A set's name, from which its content is known but for hash collisions; as a signed 64-bit number."""
-    total = int(mixed(grams + _ODD).sum(dtype=np.uint64)) ^ (len(grams) * int(_MIX)) & (2**64 - 1)
-    return total - (total >> 63 << 64)
-
-
-def overlap(one: np.ndarray, other: np.ndarray) -> int:
-    return int(np.isin(one, other, assume_unique=True, kind="sort").sum()) if len(one) and len(other) else 0
+def _counter(grams: np.ndarray) -> np.ndarray:
+    return (grams % np.uint64(COUNTERS)).astype(np.int64)
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def ranks(source: DataFrame, words: int) -> np.ndarray:
+    """A rank for each counter, from the counts of all grams: twice the binary logarithm.
 
-
-class _Portion:
-    """Sets of a task's texts that are held at once; gives a row for each text.
-
-    sigs: the set's signatures, but those under which a smaller set stands here that it is linked with; ties: those
-    smaller sets. Copies of a set leave only its name.
+    A task sends its counters in compressed slices; a slice is summed as they come. COUNTERS bytes reach the driver.
     """
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingle, counts, some, size = Shingler(words), np.zeros(COUNTERS, np.int64), [], 0
+        for rows in batches:
+            for text in rows["text"]:
+                some.append(shingle(text))
+                size += len(some[-1])
+                if size >= AT_ONCE:
+                    counts += np.bincount(_counter(np.concatenate(some)), minlength=COUNTERS)
+                    some, size = [], 0
+        if size:
+            counts += np.bincount(_counter(np.concatenate(some)), minlength=COUNTERS)
+        out = []
+        for i, c in enumerate(counts.reshape(-1, SLICE)):
+            if top := c.max():
+                out.append((i, int(top >= 256), zlib.compress(c.astype("<i8" if top >= 256 else "u1").tobytes(), 1)))
+        yield pd.DataFrame(out, columns=["slice", "wide", "counts"])
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for rows in batches:
+            for i, wide, data in zip(rows["slice"], rows["wide"], rows["counts"], strict=True):
+                if i not in sums:
+                    sums[i] = np.zeros(SLICE, np.int64)
+                sums[i] += np.frombuffer(zlib.decompress(data), "<i8" if wide else "u1")
+        yield pd.DataFrame([(i, (2 * np.log2(np.maximum(c, 1))).astype(np.uint8).tobytes()) for i, c in sums.items()], columns=["slice", "ranks"])
+
+    out = np.zeros(COUNTERS, np.uint8)
+    tallies = source.select("text").mapInPandas(tally, "slice int, wide int, counts binary").repartition("slice")
+    for i, data in tallies.mapInPandas(add, "slice int, ranks binary").collect():
+        out[i * SLICE : (i + 1) * SLICE] = np.frombuffer(data, np.uint8)
+    return out
+
 
-    def __init__(self, parts: Parts):
-        self.parts, self.rows, self.sets, self.size = parts, [], {}, 0
-
-    def add(self, doc_id: int | None, grams: np.ndarray) -> None:
-        name = set_id(grams) if len(grams) else None
-        self.rows.append((doc_id, name, len(grams)))
-        if name is not None and name not in self.sets:
-            self.sets[name] = grams
-            self.size += len(grams)
-
-    def flush(self) -> pd.DataFrame:
-        names = np.array(sorted(self.sets), np.int64)
-        each = [_signed(self.parts.signatures(self.sets[int(n)])) for n in names]
-        sig = np.concatenate(each) if each else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(names)), [len(s) for s in each])
-        order = np.lexsort((owner, sig))
-        s = sig[order]
-        first = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
-        lead = np.repeat(owner[order[first]], np.diff(np.append(first, len(s))))
-        own = owner[order]
-        keep = np.ones(len(s), bool)
-        ties: dict[int, set] = {}
-        checked: dict[tuple[int, int], bool] = {}
-        for at in np.flatnonzero(lead != own):
-            pair = (int(lead[at]), int(own[at]))
-            if pair not in checked:
-                a, b = (self.sets[int(names[i])] for i in pair)
-                checked[pair] = self.parts.linked(overlap(a, b), len(a), len(b))
-                if checked[pair]:
-                    ties.setdefault(pair[1], set()).add(int(names[pair[0]]))
-            keep[at] = not checked[pair]
-        kept, by = s[keep], own[keep]
-        back = np.argsort(by, kind="stable")
-        pieces = np.split(kept[back], np.searchsorted(by[back], np.arange(1, len(names)))) if len(names) else []
-        place, out = {int(n): i for i, n in enumerate(names)}, []
-        for doc, name, n in self.rows:
-            i = place.pop(name, None)
-            out.append((doc, name, n, [] if i is None else pieces[i], [] if i is None else sorted(ties.get(i, ()))))
-        self.rows, self.sets, self.size = [], {}, 0
-        frame = pd.DataFrame(out, columns=["doc_id", "set_id", "n", "sigs", "ties"])
-        return frame.assign(doc_id=pd.array(frame["doc_id"], dtype="Int64"), set_id=pd.array(frame["set_id"], dtype="Int64"))
+def set_id(grams: np.ndarray) -> int:
+    """A set's name, from which its content is known but for hash collisions; as a signed 64-bit number."""
+    total = int(mixed(grams + _ODD).sum(dtype=np.uint64)) ^ (len(grams) * int(_MIX)) & (2**64 - 1)
+    return total - (total >> 63 << 64)
 
 
 def _bits(df: DataFrame, key: str) -> np.ndarray:
@@ -199,32 +206,33 @@ def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ((bits[p >> 6] >> (p & 63)) & 1).astype(bool)
 
 
-def divide_skip(lists: dict[int, list[int]], grams: list[int], least: int) -> dict[int, int]:
-    """Members of at least ``least`` of the query's lists, with how many: merge the short lists, probe the long ones."""
+def divide_skip(lists: Mapping[int, Sequence[int]], grams: Sequence[int], least: int) -> dict[int, int]:
+    """Members of at least ``least`` of the query's lists, with how many: merge the short lists, probe the long ones.
+
+    Lists are ascending numbers from 0. As members of a cell are few, the merge takes a counter for each in place of a
+    heap; it gives the same counts.
+    """
     own = sorted((x for g in grams if len(x := lists[g]) > 1), key=len)
     if len(own) < least:
         return {}
-    n_long = min(least - 1, int(least / (0.01 * math.log2(len(own[-1])) + 1)), len(own) - 1)
+    n_long = min(least - 1, int(least / (0.1 * math.log2(len(own[-1])) + 1)), len(own) - 1)
     short, long = own[: len(own) - n_long], own[len(own) - n_long :]
-    found: dict[int, int] = {}
-    last, count = -1, 0
-    for x in heapq.merge(*short, [1 << 60]):
-        if x == last:
-            count += 1
-            continue
-        if count >= least - n_long and last >= 0:
-            for left, row in enumerate(long):
-                if count + n_long - left < least:
-                    break
-                at = bisect_left(row, last)
-                count += at < len(row) and row[at] == last
-            if count >= least:
-                found[last] = count
-        last, count = x, 1
-    return found
-
-
-def search(sets: list[np.ndarray], names: list[int], comps: list[int], asks: list[bool], parts: Parts) -> list[tuple[int, int]]:
+    merged = np.bincount(np.concatenate(short))
+    found = np.flatnonzero(merged >= least - n_long)
+    count = merged[found]
+    for left, row in zip(range(n_long - 1, -1, -1), long, strict=True):
+        row = np.asarray(row)
+        count = count + (row[np.minimum(np.searchsorted(row, found), len(row) - 1)] == found)
+        stay = count + left >= least
+        if not stay.all():
+            found, count = found[stay], count[stay]
+            if not len(found):
+                break
+    stay = count >= least
+    return dict(zip(found[stay].tolist(), count[stay].tolist(), strict=True))
+
+
+def search(sets: list[np.ndarray], names: list[int], comps: list[int], asks: list[bool], limits: Limits) -> list[tuple[int, int]]:
     """Links (a, b) from sets that ask to sets of other components, enough to join all that are linked."""
     root = {c: c for c in comps}
 
@@ -233,18 +241,20 @@ def search(sets: list[np.ndarray], names: list[int], comps: list[int], asks: lis
             root[c] = c = root[root[c]]
         return c
 
-    lists: dict[int, list[int]] = {}
-    plain = [s.tolist() for s in sets]
-    for i, s in enumerate(plain):
-        for g in s:
-            lists.setdefault(g, []).append(i)
+    place = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    common = np.bincount(place) > 1
+    owner, place = owner[common[place]], (np.cumsum(common) - 1)[place[common[place]]]
+    lists = np.split(owner[np.argsort(place, kind="stable")], np.cumsum(np.bincount(place))[:-1])
+    of = np.split(place, np.cumsum(np.bincount(owner, minlength=len(sets)))[:-1])
     out = []
-    for i, s in enumerate(plain):
-        if not asks[i]:
+    for i in np.flatnonzero(asks).tolist():
+        n = len(sets[i])
+        if len(of[i]) < limits.overlap(n):
             continue
-        for j, shared in divide_skip(lists, s, max(1, -(-parts.num * len(s) // parts.den))).items():
+        for j, shared in divide_skip(lists, of[i].tolist(), limits.overlap(n)).items():
             a, b = top(comps[i]), top(comps[j])
-            if a != b and parts.linked(shared, len(s), len(plain[j])):
+            if a != b and limits.linked(shared, n, len(sets[j])):
                 root[max(a, b)] = min(a, b)
                 out.append((names[i], names[j]))
     return out
@@ -254,31 +264,39 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFr
     """(members: doc_id, set_id, n) of all rows and (set_id, root) of the sets that are linked with another.
 
     Null and empty texts have no set. See the module for the method; nothing that grows with the corpus is broadcast or
-    collected, only bit sets of a fixed size, and a worker holds AT_ONCE grams or BLOCK sets.
+    collected, only tables of a fixed size, and a worker holds one text or BLOCK sets.
     """
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rank = docs.sparkSession.sparkContext.broadcast(ranks(source, words))
+
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle, portion = Shingler(words), _Portion(Parts(num, den))
+        shingle, limits, seen = Shingler(words), Limits(num, den), set()
         for rows in batches:
+            out = []
             for doc, text in zip(rows["doc_id"].array, rows["text"], strict=True):
-                portion.add(None if pd.isna(doc) else int(doc), shingle(text))
-                if portion.size >= AT_ONCE:
-                    yield portion.flush()
-        yield portion.flush()
-
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    members = written(source.mapInPandas(first, "doc_id long, set_id long, n int, sigs array<long>, ties array<long>"), "sets")
-    ties = members.select(F.col("set_id").alias("a"), F.explode("ties").alias("b"))
-    blocks = members.select("set_id", F.explode("sigs").alias("sig"))
-    # A running first value needs no buffer; a signature comes at most once from a portion, but for sets not linked there.
-    lead = F.min("set_id").over(_by("sig", "set_id"))
-    led = written(blocks.select("set_id", lead.alias("lead")).where("set_id != lead").groupBy("set_id", "lead").agg(F.count(F.lit(1)).alias("n")), "led")
-    ends = led.select("set_id", F.col("lead").alias("other")).unionByName(ties.select(F.col("a").alias("set_id"), F.col("b").alias("other")))
-    ends = written(ends.select(F.explode(F.array("set_id", "other")).alias("set_id")).distinct(), "ends")
-
-    # The grams of the sets that share a part with another, from one document each.
+                grams = shingle(text)
+                n, name, shown = len(grams), None, None
+                if n:
+                    name = set_id(grams)
+                    if name not in seen:
+                        seen.add(name)
+                        shown = limits.shown(grams, rank.value).view(np.int64)
+                out.append((None if pd.isna(doc) else int(doc), name, n, limits.least(n) if n else 0, limits.class_of(n), shown))
+            frame = pd.DataFrame(out, columns=["doc_id", "set_id", "n", "least", "class", "grams"])
+            yield frame.assign(doc_id=pd.array(frame["doc_id"], dtype="Int64"), set_id=pd.array(frame["set_id"], dtype="Int64"))
+
+    members = written(source.mapInPandas(first, "doc_id long, set_id long, n int, least int, class int, grams array<long>"), "sets")
+    # A running first value needs no buffer. A set comes again from other tasks that have copies of it.
+    shows = members.select("set_id", F.explode("grams").alias("sig"))
+    led = shows.select("sig", "set_id", F.min("set_id").over(_by("sig", "set_id")).alias("lead")).where("set_id != lead")
+    led = written(led.dropDuplicates(["sig", "set_id"]), "led")
+    blocks = led.select("sig", "set_id").unionByName(led.select("sig", F.col("lead").alias("set_id")).distinct())
+
+    # The sets that show enough grams which others show too, and their grams from one document each.
     place = F.coalesce("doc_id", F.lit(-(2**63)))
-    chosen = members.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min(place).alias("place")).join(ends, "set_id", "left_semi")
-    chosen = written(chosen, "chosen")
+    alive = blocks.groupBy("set_id").agg(F.count(F.lit(1)).alias("c"))
+    named = members.where("grams IS NOT NULL").groupBy("set_id").agg(F.min(place).alias("place"), F.min("n").alias("n"), F.min("least").alias("least"), F.min("class").alias("class"))
+    chosen = written(named.join(alive, "set_id").where("c >= least").drop("c"), "chosen")
     needed = docs.sparkSession.sparkContext.broadcast(_bits(chosen, "set_id"))
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -299,74 +317,60 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFr
 
     def cell(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("set_id", kind="stable")
-        found = search([np.frombuffer(g, np.uint64) for g in rows["grams"]], rows["set_id"].tolist(), rows["root"].tolist(), rows["asks"].tolist(), Parts(num, den))
+        found = search([np.frombuffer(g, np.uint64) for g in rows["grams"]], rows["set_id"].tolist(), rows["root"].tolist(), rows["asks"].tolist(), Limits(num, den))
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     def searched(cells: DataFrame) -> DataFrame:
         """Links between the sets of a cell (sig, deal, asker) that ask and its others."""
         return cells.join(sets, "set_id").groupBy("sig", "deal", "asker").applyInPandas(cell, "a long, b long")
 
-    # Of the sets that lead its blocks, each set is checked against the one it shares most parts with.
-    best = led.groupBy("set_id").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
+    # Of the sets of fitting size that lead its blocks, each set is checked against the one it shares most grams with.
+    about = chosen.select("set_id", "n", "least", "class")
+    leading = led.groupBy("set_id", "lead").agg(F.count(F.lit(1)).alias("c")).join(about, "set_id").where("c >= least")
+    leading = leading.join(about.select(F.col("set_id").alias("lead"), F.col("n").alias("m")), "lead").where(_fit("n", "m", num, den))
+    best = written(leading.groupBy("set_id").agg(F.max_by("lead", F.struct("c", "lead")).alias("lead")), "best")
     sizes = best.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("deals"))
     followers = best.join(sizes, "lead").select(F.col("lead").alias("sig"), "set_id", F.pmod(F.xxhash64("set_id"), F.col("deals")).cast("int").alias("deal"), F.lit(False).alias("asks"))
     leaders = sizes.select(F.col("lead").alias("sig"), F.col("lead").alias("set_id"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.lit(True).alias("asks"))
     first_cells = followers.unionByName(leaders).withColumns({"asker": F.lit(0), "root": F.col("set_id")})
-    links = written(searched(written(first_cells, "cells")).unionByName(ties), "links")
+    links = written(searched(written(first_cells, "cells")), "links")
     comps = components(links)
 
     # Blocks that span components, and all their sets.
-    named = blocks.join(comps, F.col("set_id") == F.col("node"), "left").select("sig", "set_id", F.coalesce("root", "set_id").alias("root"))
-    open_ = named.join(sets.select("set_id"), "set_id", "left_semi").groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("sig")
-    open_ = written(open_, "open")
-    if open_.isEmpty():
-        return members, comps.withColumnRenamed("node", "set_id")
-    wanted = docs.sparkSession.sparkContext.broadcast(_bits(open_, "sig"))
-
-    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = Parts(num, den)
-        for rows in batches:
-            out = []
-            for name, grams in zip(rows["set_id"], rows["grams"], strict=True):
-                for scheme, least, sigs in parts.by_scheme(np.frombuffer(grams, np.uint64)):
-                    sigs = _signed(sigs)
-                    hits = sigs[_has(wanted.value, sigs)].tolist()
-                    if len(hits) >= least:
-                        out += [(s, name, scheme, least) for s in hits]
-            yield pd.DataFrame(out, columns=["sig", "set_id", "scheme", "least"])
-
-    inside = sets.mapInPandas(signed, "sig long, set_id long, scheme int, least int").join(open_, "sig", "left_semi")
-    inside = inside.join(comps, F.col("set_id") == F.col("node"), "left").select("sig", "set_id", "scheme", "least", F.coalesce("root", "set_id").alias("root"))
-    inside = written(inside, "inside")
+    rooted = about.join(comps, F.col("set_id") == F.col("node"), "left").select("set_id", "n", "least", "class", F.coalesce("root", "set_id").alias("root"))
+    rooted = written(rooted, "rooted")
+    named = written(blocks.join(rooted.select("set_id", "root"), "set_id"), "named")
+    open_ = named.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("sig")
+    inside = written(named.join(open_, "sig", "left_semi").join(rooted.drop("root"), "set_id"), "inside")
     # A link to a set of another component shows in ``least`` such blocks at least. So a set needs to be looked for only in
     # its smallest blocks, all but least - 1 of them: in one order of blocks, two linked sets' first common one is left.
     totals = inside.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
-    own = Window.partitionBy("set_id", "scheme")
+    own = Window.partitionBy("set_id")
     ranked = inside.join(totals, "sig").withColumns({"open": F.count(F.lit(1)).over(own), "at": F.row_number().over(own.orderBy("size", "sig"))})
     all_ = inside
-    inside = written(ranked.where("at <= open - least + 1").select("sig", "set_id", "root"), "inside")
+    inside = written(ranked.where("at <= open - least + 1").select("sig", "set_id", "root", "n", "least", "class"), "inside")
     sizes = inside.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"))
     main = written(sizes.groupBy("sig").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most")).where("total > most"), "main")
 
     # In a small block each set asks those of other components, once for all its blocks.
     few = inside.join(main.where(F.col("total") <= SMALL).select("sig"), "sig", "left_semi")
-    one = few.select("sig", F.col("set_id").alias("query"), F.col("root").alias("r"))
-    met = written(one.join(few, "sig").where("query < set_id AND r != root").select("query", "set_id", "r", "root").distinct(), "met")
-    # Two that meet must have ``least`` parts in common.
-    asker = all_.select(F.col("set_id").alias("query"), "sig", "scheme", F.col("least").alias("l"))
-    common = met.join(asker, "query").join(all_.select("set_id", "sig", "scheme", "least"), ["set_id", "sig", "scheme"]).groupBy("query", "set_id", "r", "root", "scheme")
-    common = common.agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("l", "least")).alias("m")).where("n >= m")
+    one = few.select("sig", F.col("set_id").alias("query"), F.col("root").alias("r"), F.col("n").alias("m"), F.col("least").alias("l"), F.col("class").alias("k"))
+    met = one.join(few, "sig").where("query < set_id AND r != root").where(_fit("n", "m", num, den))
+    met = written(met.select("query", "set_id", "r", "root", F.greatest("l", "least").alias("least"), F.least("k", "class").alias("scheme")).distinct(), "met")
+    # Two that meet must have ``least`` shown grams in common.
+    common = met.join(all_.select(F.col("set_id").alias("query"), "sig"), "query").join(all_.select("set_id", "sig"), ["set_id", "sig"])
+    common = common.groupBy("query", "set_id", "r", "root", "scheme", "least").agg(F.count(F.lit(1)).alias("c")).where("c >= least")
     met = written(common.select("query", "set_id", "r", "root", "scheme"), "met")
 
     # Before whole sets travel, their sketches do, to part those that differ too much.
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = Parts(num, den)
+        limits = Limits(num, den)
         for rows in batches:
             out = []
             for name, data in zip(rows["set_id"], rows["grams"], strict=True):
                 grams = np.frombuffer(data, np.uint64)
-                k = parts.class_of(len(grams))
-                out += [(name, i, parts.most(i), parts.sketch(grams, i)) for i in (k, k - 1) if i >= 0]
+                k = limits.class_of(len(grams))
+                out += [(name, i, limits.most(i), limits.sketch(grams, i)) for i in (k, k - 1) if i >= 0]
             yield pd.DataFrame(out, columns=["set_id", "scheme", "most", "sketch"])
 
     def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -382,13 +386,15 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFr
     answering = met.select(F.col("query").alias("sig"), "set_id", "root", F.lit(False).alias("asks")).distinct()
     small = asking.unionByName(answering).withColumns({"deal": F.lit(-1), "asker": F.lit(-1)})
 
-    # In a large block the sets of the largest component needn't ask each other. Both sides are dealt to tasks.
-    many = main.where(F.col("total") > SMALL).select(
+    # Large blocks with the same smallest set are searched as one, since they mostly have the same members. The sets of the
+    # largest component needn't ask each other. Both sides are dealt to tasks.
+    big = inside.join(main.where(F.col("total") > SMALL).select("sig"), "sig")
+    cover = big.groupBy("sig").agg(F.min("set_id").alias("head"))
+    together = written(big.join(cover, "sig").select(F.col("head").alias("sig"), "set_id", "root").distinct(), "together")
+    shares = together.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("sig")
+    many = shares.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most")).select(
         "sig", "main", F.ceil(F.col("total") / BLOCK).cast("int").alias("deals"), F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int").alias("askers"))
-    # Of large blocks with the same members one is searched.
-    alike = inside.join(many, "sig").groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("y"))
-    many = written(many.join(alike.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi"), "many")
-    rows = inside.join(many, "sig").withColumn("asks", F.col("root") != F.col("main"))
+    rows = together.join(many, "sig").withColumn("asks", F.col("root") != F.col("main"))
     told = rows.select("sig", "set_id", "root", F.lit(False).alias("asks"), F.pmod(F.xxhash64("set_id"), F.col("deals")).cast("int").alias("deal"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("asker"))
     asked = rows.where("asks").select("sig", "set_id", "root", "asks", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.pmod(F.xxhash64("set_id"), F.col("askers")).cast("int").alias("asker"))
     large = told.unionByName(asked).groupBy("sig", "deal", "asker", "set_id", "root").agg(F.max("asks").alias("asks"))
@@ -400,6 +406,10 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFr
     return members, components(links.unionByName(more)).withColumnRenamed("node", "set_id")
 
 
+def _fit(one: str, other: str, num: int, den: int):
+    return F.least(one, other) * F.lit(den) >= F.greatest(one, other) * F.lit(num)
+
+
 def _by(key: str, order: str):
     return Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
