@@ -34,6 +34,8 @@ COUNTERS, SLICE = 1 << 22, 1 << 12
 FINE = 4
 #: Members up to which a block's sets ask each for itself.
 SMALL = 40
+#: Long lists that are probed at once.
+PROBES = 64
 #: Bits of the set by which a worker tells what a later step may need.
 BITS = 1 << 22
 
@@ -206,28 +208,52 @@ def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ((bits[p >> 6] >> (p & 63)) & 1).astype(bool)
 
 
-def divide_skip(lists: Mapping[int, Sequence[int]], grams: Sequence[int], least: int) -> dict[int, int]:
+class Lists:
+    """Inverted lists of members, numbers below ``size``, in one ascending array of list * size + member."""
+
+    def __init__(self, lists: np.ndarray, members: np.ndarray, size: int):
+        self.size, self.keys = size, np.sort(lists.astype(np.int64) * size + members)
+        self.starts = np.append(0, np.cumsum(np.bincount(lists)))
+
+    @classmethod
+    def of(cls, lists: Mapping[int, Sequence[int]]) -> Lists:
+        return cls(np.repeat(list(lists), [len(x) for x in lists.values()]), np.concatenate(list(lists.values())), 1 + max(max(x) for x in lists.values()))
+
+    def merged(self, some: np.ndarray) -> np.ndarray:
+        """For each member, of how many of these lists it is one."""
+        n = self.starts[some + 1] - self.starts[some]
+        at = np.arange(n.sum()) + np.repeat(self.starts[some] - np.cumsum(n) + n, n)
+        return np.bincount(self.keys[at] - np.repeat(some * self.size, n), minlength=self.size)
+
+    def probed(self, some: np.ndarray, members: np.ndarray) -> np.ndarray:
+        """The same for these members only, by bisection of the lists."""
+        sought = some[:, None] * self.size + members
+        at = np.minimum(np.searchsorted(self.keys, sought), len(self.keys) - 1)
+        return (self.keys[at] == sought).sum(0)
+
+
+def divide_skip(lists: Lists | Mapping[int, Sequence[int]], grams: Sequence[int], least: int) -> dict[int, int]:
     """Members of at least ``least`` of the query's lists, with how many: merge the short lists, probe the long ones.
 
-    Lists are ascending numbers from 0. As members of a cell are few, the merge takes a counter for each in place of a
-    heap; it gives the same counts.
+    As members of a cell are few, the merge takes a counter for each in place of a heap; it gives the same counts. Long
+    lists are probed PROBES at a time, the shorter first, for the members that can still get there.
     """
-    own = sorted((x for g in grams if len(x := lists[g]) > 1), key=len)
+    lists, grams = lists if isinstance(lists, Lists) else Lists.of(lists), np.asarray(grams, dtype=np.int64)
+    length = lists.starts[grams + 1] - lists.starts[grams]
+    own = grams[np.argsort(length, kind="stable")][np.count_nonzero(length < 2):]
     if len(own) < least:
         return {}
-    n_long = min(least - 1, int(least / (0.1 * math.log2(len(own[-1])) + 1)), len(own) - 1)
+    n_long = min(least - 1, int(least / (0.1 * math.log2(length.max()) + 1)), len(own) - 1)
     short, long = own[: len(own) - n_long], own[len(own) - n_long :]
-    merged = np.bincount(np.concatenate(short))
-    found = np.flatnonzero(merged >= least - n_long)
+    merged = lists.merged(short)
+    found = np.flatnonzero(merged >= max(1, least - n_long))
     count = merged[found]
-    for left, row in zip(range(n_long - 1, -1, -1), long, strict=True):
-        row = np.asarray(row)
-        count = count + (row[np.minimum(np.searchsorted(row, found), len(row) - 1)] == found)
-        stay = count + left >= least
-        if not stay.all():
-            found, count = found[stay], count[stay]
-            if not len(found):
-                break
+    for i in range(0, n_long, PROBES):
+        if not len(found):
+            break
+        count = count + lists.probed(long[i : i + PROBES], found)
+        stay = count + max(0, n_long - i - PROBES) >= least
+        found, count = found[stay], count[stay]
     stay = count >= least
     return dict(zip(found[stay].tolist(), count[stay].tolist(), strict=True))
 
@@ -245,14 +271,16 @@ def search(sets: list[np.ndarray], names: list[int], comps: list[int], asks: lis
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     common = np.bincount(place) > 1
     owner, place = owner[common[place]], (np.cumsum(common) - 1)[place[common[place]]]
-    lists = np.split(owner[np.argsort(place, kind="stable")], np.cumsum(np.bincount(place))[:-1])
+    if not len(place):
+        return []
+    lists = Lists(place, owner, len(sets))
     of = np.split(place, np.cumsum(np.bincount(owner, minlength=len(sets)))[:-1])
     out = []
     for i in np.flatnonzero(asks).tolist():
         n = len(sets[i])
         if len(of[i]) < limits.overlap(n):
             continue
-        for j, shared in divide_skip(lists, of[i].tolist(), limits.overlap(n)).items():
+        for j, shared in divide_skip(lists, of[i], limits.overlap(n)).items():
             a, b = top(comps[i]), top(comps[j])
             if a != b and limits.linked(shared, n, len(sets[j])):
                 root[max(a, b)] = min(a, b)
