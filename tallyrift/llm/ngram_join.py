@@ -318,11 +318,15 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFr
     shows = members.select("set_id", F.explode("grams").alias("sig"))
     led = shows.select("sig", "set_id", F.min("set_id").over(_by("sig", "set_id")).alias("lead")).where("set_id != lead")
     led = written(led.dropDuplicates(["sig", "set_id"]), "led")
-    blocks = led.select("sig", "set_id").unionByName(led.select("sig", F.col("lead").alias("set_id")).distinct())
+    # Blocks with the same members become one, whose weight ``w`` is their number: near copies share most shown grams.
+    content = led.groupBy("sig").agg(F.min("lead").alias("lead"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.count(F.lit(1)).alias("size"))
+    merged = written(content.groupBy("lead", "x", "size").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("w")).select("sig", "lead", "w"), "merged")
+    led = written(led.join(merged.select("sig", "w"), "sig"), "led")
+    blocks = led.select("sig", "set_id", "w").unionByName(merged.select("sig", F.col("lead").alias("set_id"), "w"))
 
     # The sets that show enough grams which others show too, and their grams from one document each.
     place = F.coalesce("doc_id", F.lit(-(2**63)))
-    alive = blocks.groupBy("set_id").agg(F.count(F.lit(1)).alias("c"))
+    alive = blocks.groupBy("set_id").agg(F.sum("w").alias("c"))
     named = members.where("grams IS NOT NULL").groupBy("set_id").agg(F.min(place).alias("place"), F.min("n").alias("n"), F.min("least").alias("least"), F.min("class").alias("class"))
     chosen = written(named.join(alive, "set_id").where("c >= least").drop("c"), "chosen")
     needed = docs.sparkSession.sparkContext.broadcast(_bits(chosen, "set_id"))
@@ -354,7 +358,7 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFr
 
     # Of the sets of fitting size that lead its blocks, each set is checked against the one it shares most grams with.
     about = chosen.select("set_id", "n", "least", "class")
-    leading = led.groupBy("set_id", "lead").agg(F.count(F.lit(1)).alias("c")).join(about, "set_id").where("c >= least")
+    leading = led.groupBy("set_id", "lead").agg(F.sum("w").alias("c")).join(about, "set_id").where("c >= least")
     leading = leading.join(about.select(F.col("set_id").alias("lead"), F.col("n").alias("m")), "lead").where(_fit("n", "m", num, den))
     best = written(leading.groupBy("set_id").agg(F.max_by("lead", F.struct("c", "lead")).alias("lead")), "best")
     sizes = best.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("deals"))
@@ -370,13 +374,15 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFr
     named = written(blocks.join(rooted.select("set_id", "root"), "set_id"), "named")
     open_ = named.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("sig")
     inside = written(named.join(open_, "sig", "left_semi").join(rooted.drop("root"), "set_id"), "inside")
-    # A link to a set of another component shows in ``least`` such blocks at least. So a set needs to be looked for only in
-    # its smallest blocks, all but least - 1 of them: in one order of blocks, two linked sets' first common one is left.
+    # A link to a set of another component shows in such blocks of a weight of ``least`` at least. So a set needs to be looked
+    # for only in its smallest blocks, those before which not more than all but ``least`` of its weight lies: in one order of
+    # blocks, two linked sets' first common one is left.
     totals = inside.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
     own = Window.partitionBy("set_id")
-    ranked = inside.join(totals, "sig").withColumns({"open": F.count(F.lit(1)).over(own), "at": F.row_number().over(own.orderBy("size", "sig"))})
+    before = F.sum("w").over(own.orderBy("size", "sig").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w")
+    ranked = inside.join(totals, "sig").withColumns({"open": F.sum("w").over(own), "before": before})
     all_ = inside
-    inside = written(ranked.where("at <= open - least + 1").select("sig", "set_id", "root", "n", "least", "class"), "inside")
+    inside = written(ranked.where("before <= open - least").select("sig", "set_id", "root", "n", "least", "class"), "inside")
     sizes = inside.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"))
     main = written(sizes.groupBy("sig").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most")).where("total > most"), "main")
 
@@ -386,8 +392,8 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFr
     met = one.join(few, "sig").where("query < set_id AND r != root").where(_fit("n", "m", num, den))
     met = written(met.select("query", "set_id", "r", "root", F.greatest("l", "least").alias("least"), F.least("k", "class").alias("scheme")).distinct(), "met")
     # Two that meet must have ``least`` shown grams in common.
-    common = met.join(all_.select(F.col("set_id").alias("query"), "sig"), "query").join(all_.select("set_id", "sig"), ["set_id", "sig"])
-    common = common.groupBy("query", "set_id", "r", "root", "scheme", "least").agg(F.count(F.lit(1)).alias("c")).where("c >= least")
+    common = met.join(all_.select(F.col("set_id").alias("query"), "sig"), "query").join(all_.select("set_id", "sig", "w"), ["set_id", "sig"])
+    common = common.groupBy("query", "set_id", "r", "root", "scheme", "least").agg(F.sum("w").alias("c")).where("c >= least")
     met = written(common.select("query", "set_id", "r", "root", "scheme"), "met")
 
     # Before whole sets travel, their sketches do, to part those that differ too much.
