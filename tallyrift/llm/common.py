@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import string
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> tuple[DataFrame, Callable[[], object]]:
+    """One row of ``df`` for each ``key``, written to the shared folder in buckets, and what drops the table's name.
+
+    The rows are shuffled once, as duplicates go; joins on the key then deal only their other side. There are as many
+    buckets as the session has shuffle partitions.
+    """
+    spark = df.sparkSession
+    table, n = f"{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartition(n, key).dropDuplicates([key])
+    rows.write.bucketBy(n, key).option("path", f"{shared_folder(spark)}/{table}").format("parquet").saveAsTable(table)
+    release(spark)
+    return spark.table(table), lambda: spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of tables that nothing refers to any more; it does so as the JVM collects garbage."""
     gc.collect()

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyrift.llm.common import documents, in_set, written
+from tallyrift.llm.common import bucketed, documents, in_set, written
 from tallyrift.llm.graph import components
 
 #: Sets of a block that one task holds; grams that are counted at once; bytes of a text that are hashed at once.
@@ -345,7 +345,8 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFr
             yield pd.DataFrame(out, columns=["set_id", "grams"])
 
     some = in_set(source.withColumn("place", place), chosen, "place", "_in").where("_in").select("text")
-    sets = written(some.mapInPandas(again, "set_id long, grams binary").dropDuplicates(["set_id"]), "grams")
+    # They are dealt once, in buckets, for all the joins below.
+    sets, drop_sets = bucketed(some.mapInPandas(again, "set_id long, grams binary"), "set_id", "grams")
 
     def cell(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("set_id", kind="stable")
@@ -435,6 +436,7 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFr
     cells = written(large.unionByName(small.select(*large.columns)), "cells")
 
     more = written(searched(cells), "links")
+    drop_sets()
     if more.isEmpty():
         return members, comps.withColumnRenamed("node", "set_id")
     return members, components(links.unionByName(more)).withColumnRenamed("node", "set_id")
