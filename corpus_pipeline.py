@@ -29,12 +29,12 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, in the files' order that of the mixture."""
-    return mixing.in_order(docs)
+    """All rows with slot and seat, their places in the mixture."""
+    return mixing.placed(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all texts and their places in sequences."""
+    """The pieces of all texts and their places in sequences, which follow the mixture."""
     return packing.pack(written(packing.cut(docs), "pieces"))
 
 

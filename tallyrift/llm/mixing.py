@@ -127,19 +127,26 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
             .select("doc_id", "source", "block", slot.alias("slot"), "seat", "phase"))
 
 
-def in_order(docs: DataFrame, weights: Mapping[str, float] | None = None, **options) -> DataFrame:
-    """``docs``, all columns, sorted by the mixture over all partitions: their files, in order, are the mixture.
+def placed(docs: DataFrame, weights: Mapping[str, float] | None = None, **options) -> DataFrame:
+    """``docs``, all columns, with slot and seat: their places in the mixture. Columns of these names are replaced.
 
     Repeated ids take each other's places, which changes nothing but their order.
     """
-    names = docs.columns
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_source": F.col("source").cast("string")})
+    names = [c for c in docs.columns if c not in ("slot", "seat")]
+    keyed = docs.select(*names).withColumns({"_id": F.col("doc_id").cast("long"), "_source": F.col("source").cast("string")})
     places = mix(docs, weights, **options)
     nth = lambda df, *key: df.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))))
     places = nth(places, "doc_id", "source").select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("_nth").alias("_m"), "slot", "seat")
     keyed = nth(keyed, "_id", "_source")
     joined = keyed.join(places, F.col("_id").eqNullSafe(F.col("_i")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_nth") == F.col("_m")))
-    return joined.orderBy("slot", "seat").select(*(docs[c] for c in names))
+    return joined.select(*names, "slot", "seat")
+
+
+def in_order(docs: DataFrame, weights: Mapping[str, float] | None = None, **options) -> DataFrame:
+    """``docs``, all columns, sorted by the mixture over all partitions: their files, in order, are the mixture."""
+    own = {c: F.col(c).alias(f"_own_{c}") for c in ("slot", "seat") if c in docs.columns}
+    told = placed(docs.select("*", *own.values()), weights, **options)
+    return told.orderBy("slot", "seat").select(*(F.col(f"_own_{c}").alias(c) if c in own else F.col(c) for c in docs.columns))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

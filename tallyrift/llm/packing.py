@@ -21,6 +21,8 @@ from tallyrift.llm.common import documents, written
 LENGTH, END = 2048, 1
 #: Pieces that are packed together. What a bundle wastes is its few last, half-filled sequences.
 BUNDLE = 4000
+#: A row's place in a mixture.
+PLACE = ("slot", "seat")
 
 
 class CapacityTree:
@@ -94,42 +96,55 @@ def cut(docs: DataFrame, length: int = LENGTH, end: int = END, vocabulary: tuple
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens) of each text's ids with ``end`` behind them.
 
     A null text is the empty one, whose only id is ``end``. Every piece but a document's last is a full window. Of the
-    ids only checksums leave the task: packing needs lengths alone.
+    ids only checksums leave the task: packing needs lengths alone. Slot and seat, where ``docs`` has them, stay.
     """
-    path, pattern = vocabulary or tokenizer_files()
+    files = vocabulary or tokenizer_files()
+    place = [c for c in PLACE if c in docs.columns]
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(path, pattern).encode_ordinary
+        encode = _encoder(*files).encode_ordinary
         for rows in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
-            for doc, text in zip(rows["doc_id"].array, rows["text"], strict=True):
+            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", *place)}
+            for doc, text, *at_ in zip(rows["doc_id"].array, rows["text"], *(rows[c] for c in place), strict=True):
                 ids = np.array([*encode(text or ""), end], "<u4")
                 for at in range(0, len(ids), length):
                     part = ids[at : at + length]
-                    for k, v in zip(out, (doc, at, len(part), zlib.crc32(part.tobytes()), len(ids)), strict=True):
+                    for k, v in zip(out, (doc, at, len(part), zlib.crc32(part.tobytes()), len(ids), *at_), strict=True):
                         out[k].append(v)
             yield pd.DataFrame(out | {"doc_id": pd.array([None if pd.isna(x) else int(x) for x in out["doc_id"]], dtype="Int64")})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).cast("long").alias(c) for c in place)).mapInPandas(
+        pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + "".join(f", {c} long" for c in place))
 
 
 def pack(pieces: DataFrame, length: int = LENGTH, bundle: int = BUNDLE) -> DataFrame:
     """``pieces`` with sequence_id and offset.
 
-    Pieces are dealt to bundles by a hash of their place and content, each packed on its own in one task's memory; so
-    no task grows with the corpus. Equal rows are packed each for itself. An empty table gives an empty table.
+    Pieces with slot and seat are dealt to bundles by ranges of slots, of ``bundle`` pieces on average, and sequences are
+    numbered by the first place in the mixture among their pieces; within a bundle lengths decide what shares one. Others are dealt by a hash of their place in the
+    document and their content. Each bundle is packed on its own in one task's memory; so no task grows with the corpus.
+    Equal rows are packed each for itself. An empty table gives an empty table.
     """
-    bundles = max(1, -(-pieces.count() // bundle))
+    place = [c for c in PLACE if c in pieces.columns]
+    mixed = len(place) == len(PLACE)
+    sizes = pieces.agg(F.count(F.lit(1)).alias("n"), (F.max("slot") if mixed else F.lit(None)).alias("last")).first()
+    bundles = max(1, -(-sizes["n"] // bundle))
+    order = [*PLACE, "start"] if mixed else ["doc_id", "start", "ids_crc32"]
 
     def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", na_position="first")
+        rows = rows.sort_values(order, kind="stable", na_position="first")
         window, offset = best_fit_decreasing(rows["length"].to_numpy(np.int64), length)
+        if mixed:
+            first = np.unique(window, return_index=True)[1]
+            window = np.argsort(np.argsort(first))[window]
         return rows.drop(columns="_bundle").assign(sequence_id=int(key[0]) * 2**32 + window, offset=offset)
 
-    dealt = pieces.withColumn("_bundle", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(bundles)))
-    return dealt.groupBy("_bundle").applyInPandas(
-        packed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    if mixed:
+        deal = F.floor(F.col("slot") / F.lit(-(-((sizes["last"] or 0) + 1) // bundles)))
+    else:
+        deal = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(bundles))
+    return pieces.withColumn("_bundle", deal).groupBy("_bundle").applyInPandas(
+        packed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + "".join(f", {c} long" for c in place) + ", sequence_id long, offset long")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

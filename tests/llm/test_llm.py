@@ -231,3 +231,18 @@ def test_toxicity_held_out(spark):
 def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.count() > 0 and set(rows.columns) >= {"doc_id", "start", "length", "sequence_id", "offset"}
+
+
+def test_packing_follows_the_mixture(spark):
+    docs = spark.createDataFrame([(i, "word " * 300, "ab"[i % 2]) for i in range(640)] + [(None, None, None)] * 2, "doc_id long, text string, source string")
+    slots = {}
+    for heavy in "ab":
+        rows = corpus_pipeline.packing_stage(spark, mixing.placed(docs, {"a": 1, "b": 1} | {heavy: 15}), SF).collect()
+        first = sorted(rows, key=lambda r: r.sequence_id)[:200]
+        assert sum(r.doc_id is not None and "ab"[r.doc_id % 2] == heavy for r in first) > 150
+        slots[heavy] = {r.doc_id: (r.slot, r.seat, r.sequence_id) for r in rows}
+    assert len(slots["a"]) == 641 and slots["a"] != slots["b"]
+    pieces = spark.createDataFrame([(i, 0, 1500, 0, 1500, i // 16, i % 16) for i in range(300)], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, slot long, seat long")
+    rows = packing.pack(pieces.repartition(3), bundle=50).orderBy("sequence_id").collect()
+    assert [r.doc_id for r in rows] == list(range(300)) and len({r.sequence_id >> 32 for r in rows}) > 3
+    assert {"slot", "seat"} <= set(corpus_pipeline.mixing_stage(spark, docs, SF).columns)
