@@ -7,8 +7,9 @@ the least room that still takes it.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -21,6 +22,8 @@ from tallyrift.llm.common import documents, written
 LENGTH, END = 2048, 1
 #: Pieces that are packed together. What a bundle wastes is its few last, half-filled sequences.
 BUNDLE = 4000
+#: Blank runs that tiktoken's matcher is not given; it fails between 100,000 and 1,000,000.
+_BLANK = re.compile(r"\s{10000}")
 #: A row's place in a mixture.
 PLACE = ("slot", "seat")
 
@@ -77,22 +80,37 @@ def best_fit_decreasing(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.
 
 
 @lru_cache(1)
-def _encoder(path: str, pattern: str):
+def _encoder(ranks_path: str, pattern: str, path: str) -> Callable[[str], Sequence[int]]:
+    """The ids that the tokenizer of ``path`` gives a text, without a template's.
+
+    tiktoken finds the same ids sooner from the same ranks, but its matcher fails on very long blank runs; such texts go
+    to the tokenizer itself. Special tokens in a text are single ids in both.
+    """
     import tiktoken
+    from tokenizers import Tokenizer
 
-    with open(path, "rb") as f:
+    plain = Tokenizer.from_file(path)
+    special = {t.content: i for i, t in plain.get_added_tokens_decoder().items()}
+    with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks={k: v for k, v in ranks.items() if v not in special.values()}, special_tokens=special)
+
+    def encode(text: str) -> Sequence[int]:
+        if _BLANK.search(text):
+            return plain.encode(text, add_special_tokens=False).ids
+        return fast.encode(text, allowed_special="all")
+
+    return encode
 
 
-def tokenizer_files() -> tuple[str, str]:
-    """The vocabulary's file and its splitting pattern. The ranks are those of byte_bpe_50k.json and give the same ids."""
+def tokenizer_files() -> tuple[str, str, str]:
+    """The vocabulary's ranks, its splitting pattern, and the tokenizer whose ids count."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")
 
 
-def cut(docs: DataFrame, length: int = LENGTH, end: int = END, vocabulary: tuple[str, str] | None = None) -> DataFrame:
+def cut(docs: DataFrame, length: int = LENGTH, end: int = END, vocabulary: tuple[str, str, str] | None = None) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens) of each text's ids with ``end`` behind them.
 
     A null text is the empty one, whose only id is ``end``. Every piece but a document's last is a full window. Of the
@@ -102,7 +120,7 @@ def cut(docs: DataFrame, length: int = LENGTH, end: int = END, vocabulary: tuple
     place = [c for c in PLACE if c in docs.columns]
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(*files).encode_ordinary
+        encode = _encoder(*files)
         for rows in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", *place)}
             for doc, text, *at_ in zip(rows["doc_id"].array, rows["text"], *(rows[c] for c in place), strict=True):

@@ -246,3 +246,13 @@ def test_packing_follows_the_mixture(spark):
     rows = packing.pack(pieces.repartition(3), bundle=50).orderBy("sequence_id").collect()
     assert [r.doc_id for r in rows] == list(range(300)) and len({r.sequence_id >> 32 for r in rows}) > 3
     assert {"slot", "seat"} <= set(corpus_pipeline.mixing_stage(spark, docs, SF).columns)
+
+
+def test_ids_are_those_of_the_tokenizer():
+    from tokenizers import Tokenizer
+    import public_tokenizers
+    plain, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing._encoder(*packing.tokenizer_files())
+    assert list(encode("one<|endoftext|>two")) == [505, 50256, 11545]
+    end = "<|endoftext|>"
+    for text in ("", end, f" {end} {end}{end}x", "<|endoftext", f"a \n{end}\n\nb's  c", "x \u3000\x1c\x85 y", *(f"a{c * n} b{c * n}" for c in (" ", "\n", " \n") for n in (9_999, 10_000, 1_000_000))):
+        assert list(encode(text)) == plain.encode(text, add_special_tokens=False).ids
