@@ -4,23 +4,26 @@ A source of weight w must get its block j in the slots [floor(j / w), ceil((j +
 Among the released blocks the earliest deadline goes first, with the PD2 rules on ties. With weights that sum to 1 every
 source then stays within one block of its share at every slot (Baruah, Cohen, Plaxton and Varvel; Anderson and Srinivasan).
 
-Weights are held as whole slots of a period, so the schedule repeats, and a block's slot is arithmetic on its number:
-the corpus is never scheduled one by one.
+Weights are exact fractions, so the bound holds to the targets themselves, however long the mixture. One task makes the
+schedule of blocks, a row for each, from the sources' counts; rows then find their blocks' slots in a join.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from fractions import Fraction
+from itertools import islice
+from math import lcm
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyrift.llm.common import documents, written
 
-#: Documents of a block; slots of a period, the grain of the weights; blocks of ranks counted at once.
-BLOCK, PERIOD, RANK_BLOCKS = 16, 1024, 256
+#: Documents of a block; slots of a period of whole slots; blocks of ranks counted at once; blocks of a batch.
+BLOCK, PERIOD, RANK_BLOCKS, AT_ONCE = 16, 1024, 256, 50_000
 
 
 def whole_slots(weights: Mapping, period: int = PERIOD) -> dict:
@@ -42,65 +45,67 @@ def whole_slots(weights: Mapping, period: int = PERIOD) -> dict:
     return out
 
 
-def period_of(slots: Mapping) -> list:
-    """The source of each slot of a period, by EDF among the released blocks."""
-    period = sum(slots.values())
+def line(weights: Mapping) -> Iterator:
+    """The source of each slot, without end, by EDF among the released blocks. Weights count as the exact fractions they are."""
+    exact = {k: Fraction(w) for k, w in weights.items()}
+    if any(w <= 0 for w in exact.values()):
+        raise ValueError("weights are positive")
+    one = lcm(*(w.denominator for w in exact.values()))
+    share = {k: int(w * one) for k, w in exact.items()}
+    whole = sum(share.values())
 
     def block(k, j: int) -> tuple[int, tuple]:
-        """(release, (deadline, PD2's order, source, j))"""
-        w = Fraction(slots[k], period)
-        due = -(-(j + 1) // w)
-        overlaps = (j + 1) / w != due  # the next window begins before this one ends
+        """(release, (deadline, PD2's order, source, j)); a weight is share / whole."""
+        w = share[k]
+        due = -(-(j + 1) * whole // w)
+        overlaps = (j + 1) * whole % w != 0  # the next window begins before this one ends
         group = due
-        if overlaps and w >= Fraction(1, 2) and w < 1:  # the end of the cascade of windows of two slots
-            group = -(-(-(-due * (1 - w) // 1)) // (1 - w))
-        return int((j / w) // 1), (int(due), -int(overlaps), -int(group), str(k), k, j)
+        if overlaps and whole <= 2 * w < 2 * whole:  # the end of the cascade of windows of two slots
+            group = -(-(-(-due * (whole - w) // whole)) * whole // (whole - w))
+        return j * whole // w, (due, -int(overlaps), -group, str(k), k, j)
 
-    waiting = [(*block(k, 0), k) for k in slots]
-    waiting = [(release, order) for release, order, _ in waiting]
+    waiting = [block(k, 0) for k in share]
     heapq.heapify(waiting)
     ready: list[tuple] = []
-    out = []
-    for slot in range(period):
+    slot = 0
+    while True:
         while waiting and waiting[0][0] <= slot:
             heapq.heappush(ready, heapq.heappop(waiting)[1])
         *_, k, j = heapq.heappop(ready)
-        out.append(k)
-        if j + 1 < slots[k]:
-            heapq.heappush(waiting, block(k, j + 1))
-    return out
+        yield k
+        heapq.heappush(waiting, block(k, j + 1))
+        slot += 1
 
 
-def phases(blocks: Mapping, weights: Mapping, period: int = PERIOD) -> list[dict]:
-    """When a source runs out, the others share its weight: a new phase. At most one phase for each source.
+def period_of(slots: Mapping) -> list:
+    """The source of each slot of a period."""
+    return list(islice(line(slots), sum(slots.values())))
+
 
-    Each: first slot, first block of each source, slots of a period, the slots' sources, and its end.
+def schedule(blocks: Mapping, weights: Mapping) -> Iterator[tuple]:
+    """(source, block, slot, phase) of all blocks, by slot.
+
+    When a source runs out, the others share its weight: a new phase, in which shares are counted anew. At most one phase
+    for each source.
     """
-    left, done, start, out = {k: n for k, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0, []
+    left, done, slot, phase = {k: n for k, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0, 0
     while left:
-        slots = whole_slots({k: weights[k] for k in left}, period)
-        line = period_of(slots)
-        places: dict = {k: [] for k in slots}
-        for at, k in enumerate(line):
-            places[k].append(at)
-        last = {k: (n - 1) // slots[k] * len(line) + places[k][(n - 1) % slots[k]] for k, n in left.items()}
-        length = min(last.values()) + 1
-        used = {k: length // len(line) * slots[k] + sum(at < length % len(line) for at in places[k]) for k in left}
-        out.append({"start": start, "first": {k: done[k] for k in left}, "used": used, "slots": slots, "places": places, "period": len(line)})
-        start += length
-        for k, n in used.items():
-            done[k] += n
-        left = {k: n - used[k] for k, n in left.items() if n > used[k]}
-    return out
+        for k in line({k: weights[k] for k in left}):
+            yield k, done[k], slot, phase
+            slot, done[k], left[k] = slot + 1, done[k] + 1, left[k] - 1
+            if not left[k]:
+                break
+        del left[k]
+        phase += 1
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, power: float = 0.5) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, power: float = 0.5) -> DataFrame:
     """``docs`` (doc_id, source) with block, slot and seat: read by (slot, seat), sources keep to their weights.
 
     ``weights`` by source; a source that they leave out, and all of them where none are given, weighs its row count to
     ``power``. A null source is a source. Every row stays, once; a source's rows are dealt to blocks in an order by hash,
-    so no task ranks a whole source. Only a count for each source comes to the driver, and only the phases' tables
-    (period x sources at most) go out.
+    so no task ranks a whole source. Only a count for each source comes to the driver. The schedule, a row for each block,
+    is written by one task, which holds one block of each source and a batch of rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
@@ -117,14 +122,17 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
     sizes = {r["source"]: r["n"] for r in counts.groupBy("source").agg(F.sum("_n").alias("n")).collect()}
     given = dict(weights or {})
     target = {k: given.get(k, float(n) ** power) for k, n in sizes.items()}
-    plan = []
-    for number, x in enumerate(phases({k: -(-n // block) for k, n in sizes.items()}, target, period)):
-        plan += [(k, number, x["first"][k], x["first"][k] + x["used"][k], x["start"], x["slots"][k], x["period"], x["places"][k]) for k in x["slots"]]
-    table = spark.createDataFrame(plan, "_source string, phase int, _from long, _to long, _start long, _slots long, _period long, _places array<int>")
-    j = F.col("block") - F.col("_from")
-    slot = F.col("_start") + F.floor(j / F.col("_slots")) * F.col("_period") + F.get("_places", (j % F.col("_slots")).cast("int"))
-    return (ranked.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") >= F.col("_from")) & (F.col("block") < F.col("_to")))
-            .select("doc_id", "source", "block", slot.alias("slot"), "seat", "phase"))
+    blocks = {k: -(-n // block) for k, n in sizes.items()}
+
+    def told(_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = schedule(blocks, target)
+        while batch := list(islice(rows, AT_ONCE)):
+            yield pd.DataFrame(batch, columns=["_source", "_block", "slot", "phase"])
+
+    table = spark.range(1, numPartitions=1).mapInPandas(told, "_source string, _block long, slot long, phase int")
+    table = written(table, "schedule")
+    return (ranked.join(table, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
+            .select("doc_id", "source", "block", "slot", "seat", "phase"))
 
 
 def placed(docs: DataFrame, weights: Mapping[str, float] | None = None, **options) -> DataFrame:

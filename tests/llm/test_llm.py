@@ -256,3 +256,22 @@ def test_ids_are_those_of_the_tokenizer():
     end = "<|endoftext|>"
     for text in ("", end, f" {end} {end}{end}x", "<|endoftext", f"a \n{end}\n\nb's  c", "x \u3000\x1c\x85 y", *(f"a{c * n} b{c * n}" for c in (" ", "\n", " \n") for n in (9_999, 10_000, 1_000_000))):
         assert list(encode(text)) == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_mixture_keeps_to_exact_weights(spark):
+    from fractions import Fraction
+    for weights in ({f"s{i:02}": 1 for i in range(20)}, {"a": 0.9998, "b": 0.0002}, {f"s{i}": (i + 1) ** 0.5 for i in range(17)}):
+        exact = {k: Fraction(w) for k, w in weights.items()}
+        share = {k: w / sum(exact.values()) for k, w in exact.items()}
+        got = dict.fromkeys(weights, 0)
+        for t, (k, _, slot, phase) in enumerate(mixing.schedule(dict.fromkeys(weights, 10**9), weights), 1):
+            got[k] += 1
+            assert slot == t - 1 and phase == 0 and abs(got[k] - t * share[k]) < 1
+            if t % 500 == 0:
+                assert all(abs(got[x] - t * share[x]) < 1 for x in got)
+            if t == 12_000:
+                break
+    docs = spark.createDataFrame([(i, "a" if i < 3000 else None) for i in range(3010)], "doc_id long, source string")
+    rows = mixing.mix(docs, {"a": 2999, None: 1}, block=1).collect()
+    nulls = sorted(r.slot for r in rows if r.source is None)
+    assert len(rows) == 3010 == len({r.slot for r in rows}) and nulls[0] < 3000 <= nulls[1]
