@@ -275,3 +275,29 @@ def test_mixture_keeps_to_exact_weights(spark):
     rows = mixing.mix(docs, {"a": 2999, None: 1}, block=1).collect()
     nulls = sorted(r.slot for r in rows if r.source is None)
     assert len(rows) == 3010 == len({r.slot for r in rows}) and nulls[0] < 3000 <= nulls[1]
+
+
+def test_near_copies_link_past_the_leader(spark):
+    """In a chain, and with null and repeated ids, classes are the components of all pairs above 0.8."""
+    rng = random.Random(2)
+    texts = []
+    for f in range(3):
+        base = [f"f{f}w{i}" for i in range(300)]
+        for _ in range(40):
+            new = list(base)
+            for i in rng.sample(range(300), rng.randint(0, 11)):
+                new[i] = f"x{rng.random()}"
+            texts.append(" ".join(new))
+    texts += [" ".join(f"t{j}" for j in range(i * 8, i * 8 + 150)) for i in range(10)]
+    grams = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(grams):
+            for j in range(i):
+                if root[i] != root[j] and len(a & grams[j]) >= 0.8 * len(a | grams[j]):
+                    root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    rows = spark.createDataFrame([*enumerate(texts), (500, texts[0]), (500, "other"), (None, texts[50]), (None, None)], "doc_id long, text string")
+    got = fingerprints.fingerprints(rows).select("doc_id", "class_id", "n_chars").collect()
+    assert {r.doc_id: r.class_id for r in got if r.doc_id is not None and r.doc_id < 500} == dict(enumerate(root))
+    assert sorted((r.n_chars, r.class_id) for r in got if r.doc_id == 500) == sorted([(5, 500), (len(texts[0]), root[0])])
+    assert {r.n_chars: r.class_id for r in got if r.doc_id is None} == {len(texts[50]): root[50], 0: None}
