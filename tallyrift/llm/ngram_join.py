@@ -289,19 +289,19 @@ def search(sets: list[np.ndarray], names: list[int], comps: list[int], asks: lis
 
 
 def linked_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, set_id, n) of all rows and (set_id, root) of the sets that are linked with another.
+    """(members: doc_id, h, set_id, n) of all rows, h the hash of the text, and (set_id, root) of the sets that are linked with another.
 
     Null and empty texts have no set. See the module for the method; nothing that grows with the corpus is broadcast or
     collected, only tables of a fixed size, and a worker holds one text or BLOCK sets.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     rank = docs.sparkSession.sparkContext.broadcast(ranks(source, words))
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, limits, seen = Shingler(words), Limits(num, den), set()
         for rows in batches:
             out = []
-            for doc, text in zip(rows["doc_id"].array, rows["text"], strict=True):
+            for doc, h, text in zip(rows["doc_id"].array, rows["h"], rows["text"], strict=True):
                 grams = shingle(text)
                 n, name, shown = len(grams), None, None
                 if n:
@@ -309,11 +309,11 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFr
                     if name not in seen:
                         seen.add(name)
                         shown = limits.shown(grams, rank.value).view(np.int64)
-                out.append((None if pd.isna(doc) else int(doc), name, n, limits.least(n) if n else 0, limits.class_of(n), shown))
-            frame = pd.DataFrame(out, columns=["doc_id", "set_id", "n", "least", "class", "grams"])
+                out.append((None if pd.isna(doc) else int(doc), h, name, n, limits.least(n) if n else 0, limits.class_of(n), shown))
+            frame = pd.DataFrame(out, columns=["doc_id", "h", "set_id", "n", "least", "class", "grams"])
             yield frame.assign(doc_id=pd.array(frame["doc_id"], dtype="Int64"), set_id=pd.array(frame["set_id"], dtype="Int64"))
 
-    members = written(source.mapInPandas(first, "doc_id long, set_id long, n int, least int, class int, grams array<long>"), "sets")
+    members = written(source.mapInPandas(first, "doc_id long, h long, set_id long, n int, least int, class int, grams array<long>"), "sets")
     # A running first value needs no buffer. A set comes again from other tasks that have copies of it.
     shows = members.select("set_id", F.explode("grams").alias("sig"))
     led = shows.select("sig", "set_id", F.min("set_id").over(_by("sig", "set_id")).alias("lead")).where("set_id != lead")
@@ -472,15 +472,23 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_similar(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """``docs``, all columns, with one row of each group of linked documents: that with the smallest doc_id.
+    """``docs``, all columns, with one row of each group of linked texts: that with the smallest doc_id.
 
-    Documents without words stay. Rows without an id stay only where their group has no id at all. Repeated rows with
-    the smallest id of a group are one document and leave one row.
+    Rows are told apart by doc_id and text, so each goes or stays by its own text, whatever other rows have its id.
+    Documents without words stay. A row without an id stays only where its group has no id at all. Of a group's rows
+    with the same smallest id, or without any, the smallest hash of a text decides; of equal rows any one stays.
     """
-    found = similar_documents(docs, words, num, den)
-    gone = found.where("n_shingles > 0 AND doc_id IS DISTINCT FROM component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    lone = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    return docs.join(gone.select(F.coalesce("_gone", F.lit(-(2**63))).alias("_gone")), lone == F.col("_gone"), "left_anti")
+    members, comps = linked_sets(docs, words, num, den)
+    rows = members.where("set_id IS NOT NULL").groupBy("doc_id", "h", "set_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = written(rows.join(comps, "set_id", "left").select("doc_id", "h", "n", F.coalesce("root", "set_id").alias("root")), "rows")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
+    told = written(rows.join(first, "root").select(F.col("doc_id").alias("_i"), F.col("h").alias("_t"), "n", stays.alias("stays")), "told")
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_t"))
+    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_h": F.xxhash64("text")})
+    out = keyed.join(told.where("NOT stays OR n > 1").select("_i", "_t"), same, "left_anti")
+    repeated = keyed.join(told.where("stays AND n > 1").select("_i", "_t"), same, "left_semi").dropDuplicates(["_id", "_h"])
+    return out.unionByName(repeated).select(*docs.columns)
 
 
 ORACLE = r"""

@@ -301,3 +301,12 @@ def test_near_copies_link_past_the_leader(spark):
     assert {r.doc_id: r.class_id for r in got if r.doc_id is not None and r.doc_id < 500} == dict(enumerate(root))
     assert sorted((r.n_chars, r.class_id) for r in got if r.doc_id == 500) == sorted([(5, 500), (len(texts[0]), root[0])])
     assert {r.n_chars: r.class_id for r in got if r.doc_id is None} == {len(texts[50]): root[50], 0: None}
+
+
+def test_drop_similar_decides_by_row(spark):
+    text = lambda k, last="": " ".join(f"{k}{i}" for i in range(100)) + f" {last}"
+    docs = [(1, text("a")), (None, text("a", "x")), (None, text("b")), (None, None), (None, text("c")), (None, text("c")), (None, text("c", "y")),
+            (7, text("d")), (7, text("e")), (6, text("d", "z")), (9, text("f")), (9, text("f")), (9, text("f", "v"))]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), (r.text or "-")[0]) for r in ngram_join.drop_similar(rows).collect())
+    assert got == sorted([("1", "a"), ("None", "b"), ("None", "-"), ("None", "c"), ("7", "e"), ("6", "d"), ("9", "f")])
