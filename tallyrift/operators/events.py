@@ -160,17 +160,32 @@ def pair_metrics(pairs: DataFrame, truth: Column, proposed: Column, accepted: Co
     return out.withColumns({"precision": ratio("tp", F.col("tp") + F.col("fp")), "recall": ratio("tp", F.col("tp") + F.col("fn_prefiltered") + F.col("fn_rejected"))})
 
 
-def nearest(rows: DataFrame, unit: str, within: str, value: str, n: int) -> DataFrame:
+def nearest(rows: DataFrame, unit: str, within: str, value: str, n: int, least: int = 0, digits: int = 6) -> DataFrame:
     """(unit, other, gap, place): the n closest of the same group by value, the smaller unit on a tie.
 
-    In value order, the n nearest of a row are among its n neighbours on either side: windows, not a self-join.
+    Values count to ``digits`` places; rows without one are left out. The n nearest of a row are among its own value and
+    the n distinct ones on either side, and of each the n smallest units other than it: windows, not a self-join. A unit
+    whose group has fewer than ``least`` others is compared with those of all groups, whose distinct values one task sorts.
     """
-    w = Window.partitionBy(within).orderBy(value, unit)
-    near = [F.struct(F.lag(unit, i).over(w).alias("other"), F.lag(value, i).over(w).alias("v")) for i in range(1, n + 1)]
-    near += [F.struct(F.lead(unit, i).over(w).alias("other"), F.lead(value, i).over(w).alias("v")) for i in range(1, n + 1)]
-    around = rows.select(unit, value, F.array(*near).alias("_near"))
-    cut = around.select(unit, value, F.explode(F.filter("_near", lambda x: x["other"].isNotNull())).alias("x"))
-    gaps = cut.select(unit, "x.other", F.abs(F.col("x.v") - F.col(value)).alias("gap"))
+    rows = rows.where(F.col(value).isNotNull()).select(unit, F.col(within).alias("_pool"), F.round(value, digits).alias(value))
+    if not least:
+        return _nearest(rows, rows, unit, value, n, digits)
+    sized = rows.withColumn("_others", F.count(F.lit(1)).over(Window.partitionBy("_pool")) - 1)
+    own = _nearest(sized.where(F.col("_others") >= least).drop("_others"), rows, unit, value, n, digits)
+    all_ = F.lit(0).alias("_pool")
+    lone = sized.where(F.col("_others") < least).select(unit, all_, value)
+    return own.unionByName(_nearest(lone, rows.select(unit, all_, value), unit, value, n, digits))
+
+
+def _nearest(asking: DataFrame, rows: DataFrame, unit: str, value: str, n: int, digits: int) -> DataFrame:
+    smallest = F.row_number().over(Window.partitionBy("_pool", value).orderBy(unit))
+    tops = rows.withColumn("_n", smallest).where(F.col("_n") <= n + 1).groupBy("_pool", value).agg(F.array_sort(F.collect_list(unit)).alias("_units"))
+    w = Window.partitionBy("_pool").orderBy(value)
+    near = [F.struct(F.col(value).alias("_v"), F.col("_units").alias("units"))]
+    near += [F.struct(f(value, i).over(w).alias("_v"), f("_units", i).over(w).alias("units")) for f in (F.lag, F.lead) for i in range(1, n + 1)]
+    around = asking.join(tops.select("_pool", value, F.array(*near).alias("_near")), ["_pool", value])
+    cut = around.select(unit, value, F.explode("_near").alias("x")).select(unit, value, "x._v", F.explode("x.units").alias("other")).where(F.col("other") != F.col(unit))
+    gaps = cut.select(unit, "other", F.round(F.abs(F.col("_v") - F.col(value)), digits).alias("gap"))
     placed = gaps.withColumn("place", F.row_number().over(Window.partitionBy(unit).orderBy("gap", "other")).cast("long"))
     return placed.where(F.col("place") <= n)
 

@@ -265,6 +265,14 @@ def nearest_comparables_5(s, d):
     return E.nearest(ref(s, d).where("NOT low"), "cut", "region", "rate", 5).withColumn("gap", F.round("gap", 6))
 
 
+@query("nearest_comparable_national", """, pool AS (SELECT cut, region, rate, count(*) OVER (PARTITION BY region) - 1 AS others FROM ref WHERE NOT low)
+SELECT a.cut, b.cut AS other, round(abs(a.rate - b.rate), 6) AS gap, row_number() OVER (PARTITION BY a.cut ORDER BY round(abs(b.rate - a.rate), 6), b.cut) AS place
+FROM pool a JOIN pool b ON a.cut <> b.cut AND (a.others < 2 OR a.region = b.region) QUALIFY place <= 1""")
+def nearest_comparable_national(s, d):
+    """As nearest_comparable, but from all regions where the own has fewer than two others."""
+    return E.nearest(ref(s, d).where("NOT low"), "cut", "region", "rate", 1, least=2)
+
+
 @query("dominant_families", "SELECT cut, year, family, n FROM (SELECT cut, year, family, row_number() OVER (PARTITION BY cut, year ORDER BY round(rate, 6) DESC, family) AS n FROM rates) WHERE n <= 2")
 def dominant_families(s, d):
     w = Window.partitionBy("cut", "year").orderBy(F.round("rate", 6).desc(), "family")

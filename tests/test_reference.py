@@ -75,3 +75,12 @@ def test_token_set_ratio():
 def test_greedy_keeps_first_of_similar_titles(spark):
     t = spark.createDataFrame([(1, 1, "robbery at the bank"), (1, 2, "robbery at the bank!"), (1, 3, "storm"), (2, 1, "robbery at the bank")], "b int, o int, t string")
     assert sorted((r.b, r.o) for r in E.greedy_titles(t, ["b"], "o", "t").collect()) == [(1, 1), (1, 3), (2, 1)]
+
+
+def test_nearest_takes_the_smaller_unit_on_a_tie(spark):
+    t = spark.createDataFrame([(u, 1, 7.0) for u in (1, 2, 5)] + [(u, 1, 8.0) for u in (9, 8, 3)] + [(u, 2, v) for u, v in ((20, 0.1), (21, 0.3), (22, 0.2))] + [(30, 3, 8.1)], "u int, g int, v double")
+    one = {r.u: r.other for r in E.nearest(t, "u", "g", "v", 1).collect()}
+    assert one == {1: 2, 2: 1, 5: 1, 3: 8, 8: 3, 9: 3, 20: 22, 21: 22, 22: 20}
+    three = [r.other for r in E.nearest(t, "u", "g", "v", 3).where("u = 5").orderBy("place").collect()]
+    assert three == [1, 2, 3]
+    assert {r.u: r.other for r in E.nearest(t, "u", "g", "v", 1, least=2).collect()} == one | {30: 3}
