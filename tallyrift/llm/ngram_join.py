@@ -311,7 +311,8 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFr
                         shown = limits.shown(grams, rank.value).view(np.int64)
                 out.append((None if pd.isna(doc) else int(doc), h, name, n, limits.least(n) if n else 0, limits.class_of(n), shown))
             frame = pd.DataFrame(out, columns=["doc_id", "h", "set_id", "n", "least", "class", "grams"])
-            yield frame.assign(doc_id=pd.array(frame["doc_id"], dtype="Int64"), set_id=pd.array(frame["set_id"], dtype="Int64"))
+            # From lists: a frame's column of numbers and None would round them to doubles.
+            yield frame.assign(doc_id=pd.array([x[0] for x in out], dtype="Int64"), set_id=pd.array([x[2] for x in out], dtype="Int64"))
 
     members = written(source.mapInPandas(first, "doc_id long, h long, set_id long, n int, least int, class int, grams array<long>"), "sets")
     # A running first value needs no buffer. A set comes again from other tasks that have copies of it.
