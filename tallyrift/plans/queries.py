@@ -451,6 +451,12 @@ def csv_formula_guard(s, d):
     return table(s, d, "documents").select("doc_id", X.csv_guard(F.substring("text", 1, 40)).alias("cell"))
 
 
+@query("csv_formula_guard_whole", r"SELECT doc_id, sha256(CASE WHEN regexp_matches(text, '^[=+\-@\t\r]') THEN '''' || text ELSE text END) AS digest FROM documents", False)
+def csv_formula_guard_whole(s, d):
+    """As csv_formula_guard, of the whole text, by its digest."""
+    return table(s, d, "documents").select("doc_id", F.sha2(X.csv_guard(F.col("text")), 256).alias("digest"))
+
+
 @query("number_formats", "SELECT o_orderkey, floor(o_totalprice + 0.5)::BIGINT AS js, round_even(o_totalprice, 0) AS even, translate(format('{:,.1f}', o_totalprice), ',.', '.,') AS es FROM orders", False)
 def number_formats(s, d):
     x = F.col("o_totalprice")
@@ -544,7 +550,7 @@ def pairs_in_block(s, d):
 
 @query("dedup_greedy", None)
 def dedup_greedy(s, d):
-    rows = table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", X.clean_title(F.col("text"), 80).alias("title"))
+    rows = table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", X.clean_title(F.col("text")).alias("title"))
     return E.greedy_titles(rows, ["conv_id"], "turn", "title")
 
 

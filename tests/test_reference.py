@@ -84,3 +84,10 @@ def test_nearest_takes_the_smaller_unit_on_a_tie(spark):
     three = [r.other for r in E.nearest(t, "u", "g", "v", 3).where("u = 5").orderBy("place").collect()]
     assert three == [1, 2, 3]
     assert {r.u: r.other for r in E.nearest(t, "u", "g", "v", 1, least=2).collect()} == one | {30: 3}
+
+
+def test_dedup_greedy_compares_whole_titles(spark, tmp_path):
+    same = "the same eighty characters at the head of both turns of this conversation, and on "
+    turns = [(1, i, "user", same + c * 200) for i, c in enumerate("qz")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert Q.QUERIES["dedup_greedy"](spark, str(tmp_path)).count() == 2
