@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrift.llm.common import ascii_lower, documents, whole, written
+from tallyrift.llm.common import ascii_lower, documents, tidy, unused, whole, written
 
 SLOTS, KICKS, FIRST_BUCKETS = 4, 200, 64
 
@@ -132,6 +132,7 @@ def copy_groups(rows: DataFrame) -> DataFrame:
     return counted.repartition("digest").mapInPandas(_indexed, kind)
 
 
+@tidy
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one of its equal texts that stays.
 
@@ -153,11 +154,11 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    marked = docs.withColumns({"_digest": F.unhex(F.sha2(ascii_lower(whole()), 256)), "_place": place})
-    keep = copy_groups(digests(docs)).select(
-        F.col("digest").alias("_digest"), F.coalesce("keep_id", F.lit(-(2**63))).alias("_place"))
+    key = [unused(docs, "digest"), unused(docs, "place")]
+    marked = docs.withColumns({key[0]: F.unhex(F.sha2(ascii_lower(whole()), 256)), key[1]: place})
+    keep = copy_groups(digests(docs)).select(F.col("digest").alias(key[0]), F.coalesce("keep_id", F.lit(-(2**63))).alias(key[1]))
     # Both keys: a digest that many rows share is spread by its ids, and one exchange serves the join and what follows.
-    return marked.join(keep, ["_digest", "_place"], "left_semi").dropDuplicates(["_digest", "_place"]).select(*names)
+    return marked.join(keep, key, "left_semi").dropDuplicates(key).select(*names)
 
 
 ORACLE = """

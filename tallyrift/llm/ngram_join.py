@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyrift.llm.common import bucketed, documents, in_set, written
+from tallyrift.llm.common import bucketed, documents, in_set, tidy, unused, written
 from tallyrift.llm.graph import components
 
 #: Sets of a block that one task holds; grams that are counted at once; bytes of a text that are hashed at once.
@@ -451,11 +451,13 @@ def _by(key: str, order: str):
     return Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+@tidy
 def similar_documents(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of (doc_id, text).
 
     Two documents are linked when den x shared >= num x united grams; component_id is the smallest id reachable. A
-    document without words is linked with nothing. Repeated rows are equal documents.
+    document without words, null or empty, is linked with nothing. Repeated rows are equal documents, each with its row;
+    other columns aren't read, and an empty table gives an empty one.
     """
     members, comps = linked_sets(docs, words, num, den)
     smallest = members.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("least"))
@@ -472,23 +474,26 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(documents(spark, sf_dir), 4, 85, 100)
 
 
+@tidy
 def drop_similar(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """``docs``, all columns, with one row of each group of linked texts: that with the smallest doc_id.
 
     Rows are told apart by doc_id and text, so each goes or stays by its own text, whatever other rows have its id.
     Documents without words stay. A row without an id stays only where its group has no id at all. Of a group's rows
-    with the same smallest id, or without any, the smallest hash of a text decides; of equal rows any one stays.
+    with the same smallest id, or without any, the smallest hash of a text decides; of equal rows any one stays. Extra
+    columns stay, whatever their names; an empty table stays empty.
     """
     members, comps = linked_sets(docs, words, num, den)
     rows = members.where("set_id IS NOT NULL").groupBy("doc_id", "h", "set_id").agg(F.count(F.lit(1)).alias("n"))
     rows = written(rows.join(comps, "set_id", "left").select("doc_id", "h", "n", F.coalesce("root", "set_id").alias("root")), "rows")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
-    told = written(rows.join(first, "root").select(F.col("doc_id").alias("_i"), F.col("h").alias("_t"), "n", stays.alias("stays")), "told")
-    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_t"))
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_h": F.xxhash64("text")})
-    out = keyed.join(told.where("NOT stays OR n > 1").select("_i", "_t"), same, "left_anti")
-    repeated = keyed.join(told.where("stays AND n > 1").select("_i", "_t"), same, "left_semi").dropDuplicates(["_id", "_h"])
+    i, t, id_, h = (unused(docs, c) for c in ("i", "t", "id", "h"))
+    told = written(rows.join(first, "root").select(F.col("doc_id").alias(i), F.col("h").alias(t), "n", stays.alias("stays")), "told")
+    same = F.col(id_).eqNullSafe(F.col(i)) & (F.col(h) == F.col(t))
+    keyed = docs.withColumns({id_: F.col("doc_id").cast("long"), h: F.xxhash64("text")})
+    out = keyed.join(told.where("NOT stays OR n > 1").select(i, t), same, "left_anti")
+    repeated = keyed.join(told.where("stays AND n > 1").select(i, t), same, "left_semi").dropDuplicates([id_, h])
     return out.unionByName(repeated).select(*docs.columns)
 
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrift.llm.common import documents, written
+from tallyrift.llm.common import documents, tidy, written
 
 LENGTH, END = 2048, 1
 #: Pieces that are packed together. What a bundle wastes is its few last, half-filled sequences.
@@ -79,6 +79,12 @@ def best_fit_decreasing(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.
     return window, offset
 
 
+def _place(df: DataFrame) -> list[str]:
+    """PLACE, if ``df`` has both as whole numbers; columns of these names and other kinds are none of this module's."""
+    kinds = dict(df.dtypes)
+    return list(PLACE) if all(kinds.get(c) in ("int", "bigint") for c in PLACE) else []
+
+
 @lru_cache(1)
 def _encoder(ranks_path: str, pattern: str, path: str) -> Callable[[str], Sequence[int]]:
     """The ids that the tokenizer of ``path`` gives a text, without a template's.
@@ -114,10 +120,11 @@ def cut(docs: DataFrame, length: int = LENGTH, end: int = END, vocabulary: tuple
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens) of each text's ids with ``end`` behind them.
 
     A null text is the empty one, whose only id is ``end``. Every piece but a document's last is a full window. Of the
-    ids only checksums leave the task: packing needs lengths alone. Slot and seat, where ``docs`` has them, stay.
+    ids only checksums leave the task: packing needs lengths alone. Slot and seat, where ``docs`` has them as whole numbers,
+    stay; other columns don't. Repeated rows and null ids are cut each for itself; an empty table has no pieces.
     """
     files = vocabulary or tokenizer_files()
-    place = [c for c in PLACE if c in docs.columns]
+    place = _place(docs)
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoder(*files)
@@ -143,8 +150,8 @@ def pack(pieces: DataFrame, length: int = LENGTH, bundle: int = BUNDLE) -> DataF
     document and their content. Each bundle is packed on its own in one task's memory; so no task grows with the corpus.
     Equal rows are packed each for itself. An empty table gives an empty table.
     """
-    place = [c for c in PLACE if c in pieces.columns]
-    mixed = len(place) == len(PLACE)
+    place = _place(pieces)
+    mixed = bool(place)
     sizes = pieces.agg(F.count(F.lit(1)).alias("n"), (F.max("slot") if mixed else F.lit(None)).alias("last")).first()
     bundles = max(1, -(-sizes["n"] // bundle))
     order = [*PLACE, "start"] if mixed else ["doc_id", "start", "ids_crc32"]
@@ -165,6 +172,7 @@ def pack(pieces: DataFrame, length: int = LENGTH, bundle: int = BUNDLE) -> DataF
         packed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + "".join(f", {c} long" for c in place) + ", sequence_id long, offset long")
 
 
+@tidy
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 ids; see ``cut`` and ``pack``."""
     return pack(written(cut(documents(spark, sf_dir)), "pieces"))

@@ -17,7 +17,7 @@ import pyarrow.ipc  # noqa: F401  pa.ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrift.llm.common import documents, in_set, small_side, whole, written
+from tallyrift.llm.common import documents, in_set, small_side, tidy, whole, written
 
 #: Characters of a gram, packed in 16 bits each; characters beyond those count as one.
 ORDER = 4
@@ -83,6 +83,7 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(i, max(0.05, i - (i + 1) * y * n[i] / n[i - 1])) if n[i - 1] else 0.5 * i for i in (1, 2, 3)]
 
 
+@tidy
 def train(trusted: DataFrame) -> DataFrame:
     """(key, lp, lg): the log probability of each gram of 1 to ORDER characters, and the log of the share that it gives
     to the order below as a context. Null texts are empty; without rows the model is one of the end alone.
@@ -178,8 +179,11 @@ def log_probabilities(gram: np.ndarray, keys: np.ndarray, lp: np.ndarray, lg: np
 
 
 def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """(doc_id, lang, n_chars, perplexity) of each row of (doc_id, lang, text), by character; an empty text's is that of
-    its end. Texts are dealt to blocks of about BLOCK bytes by a hash, so copies of one text are spread by their ids."""
+    """(doc_id, lang, n_chars, perplexity) of each row of (doc_id, lang, text), by character; a null or empty text's is that
+    of its end. Texts are dealt to blocks of about BLOCK bytes by a hash, so copies of one text are spread by their ids;
+    a longer text is a block of its own and is looked up in portions. Repeated rows and null ids each have their row; an
+    empty table gives an empty one. Other columns aren't read.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), whole().alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK))
@@ -215,13 +219,15 @@ def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def judged(scores: DataFrame, good: DataFrame) -> DataFrame:
     """``scores`` with their language's threshold and ``kept``. A language without trusted documents keeps all of its
-    own, as does a null one; the table of thresholds has a row for each language."""
+    own, as does a null one; the table of thresholds has a row for each language. A perplexity at the threshold is kept.
+    """
     trusted = scores.join(good.select("doc_id").distinct(), "doc_id", "left_semi")
     limits = trusted.groupBy("lang").agg((F.percentile_approx("perplexity", QUANTILE, 10_000) * MARGIN).alias("threshold")).withColumnRenamed("lang", "_lang")
     return scores.join(F.broadcast(limits), F.col("lang") == F.col("_lang"), "left").drop("_lang").withColumn(
         "kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
 
 
+@tidy
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's perplexity and whether it stays: (doc_id, lang, n_chars, perplexity, threshold, kept)."""
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyrift.llm.common import documents, whole
+from tallyrift.llm.common import documents, unused, whole
 
 #: Modulus and multiplier of the minimal standard generator, from which every shard's coefficients follow.
 PRIME, STEP = 2**31 - 1, 48271
@@ -31,24 +31,20 @@ def key_halves(key: Column) -> tuple[Column, Column]:
     return tuple(F.conv(F.substring(digest, at, 7), 16, 10).cast("long") for at in (1, 8))
 
 
-def rendezvous(x: Column, y: Column, weights: Sequence[float]) -> Column:
-    """The shard with the highest score; ties go to the lower number. Weights of 0 get nothing.
+def _score(x: Column, y: Column, shard: int, weight: float, even: bool) -> Column:
+    """-w / ln(u) is Schindelhauer and Schomaker's score: a shard wins with a probability proportional to w. With equal
+    weights it orders as u does, which spares the logarithm."""
+    a, b = coefficients(shard)
+    z = (x * a + y * b) % PRIME
+    return z if even else -F.lit(float(weight)) / F.log((z + 0.5) / PRIME)
 
-    -w / ln(u) is Schindelhauer and Schomaker's score: a shard wins with a probability proportional to w. With equal
-    weights it orders as u does, which spares the logarithm.
-    """
+
+def rendezvous(x: Column, y: Column, weights: Sequence[float], even: bool) -> Column:
+    """(score, neg): of the shard with the highest score, whose number is -neg; ties go to the lower number. Weights of 0
+    get nothing."""
     if not weights or min(weights) < 0 or not any(weights):
         raise ValueError("weights must be non-negative and one of them positive")
-    even = len(set(weights)) == 1
-
-    def score(shard: int) -> Column:
-        a, b = coefficients(shard)
-        z = (x * a + y * b) % PRIME
-        return z if even else -F.lit(float(weights[shard])) / F.log((z + 0.5) / PRIME)
-
-    live = [s for s, w in enumerate(weights) if w > 0]
-    best = F.array_max(F.array(*(F.struct(score(s).alias("score"), F.lit(-s).alias("neg")) for s in live)))
-    return (-best["neg"]).cast("int")
+    return F.array_max(F.array(*(F.struct(_score(x, y, s, w, even).alias("score"), F.lit(-s).alias("neg")) for s, w in enumerate(weights) if w > 0)))
 
 
 def assign_shards(df: DataFrame, key: str, weights: Sequence[float], shard: str = "shard", grown: str | None = None,
@@ -60,10 +56,15 @@ def assign_shards(df: DataFrame, key: str, weights: Sequence[float], shard: str
     one that is called like an output is replaced. An empty table stays empty.
     """
     x, y = key_halves(F.col(key))
-    added = {shard: rendezvous(x, y, weights)}
+    added = weights[-1] if added_weight is None else added_weight
+    even = len({*weights, added} if grown else set(weights)) == 1
+    name = unused(df, "best")
+    best = df.withColumn(name, rendezvous(x, y, weights, even))
+    out = {shard: (-F.col(name)["neg"]).cast("int")}
     if grown:
-        added[grown] = rendezvous(x, y, [*weights, weights[-1] if added_weight is None else added_weight])
-    return df.withColumns(added)
+        wins = _score(x, y, len(weights), added, even) > F.col(name)["score"] if added > 0 else F.lit(False)
+        out[grown] = F.when(wins, len(weights)).otherwise(-F.col(name)["neg"]).cast("int")
+    return best.withColumns(out).drop(name)
 
 
 def slots(df: DataFrame, shard: str, block: Column, order: Sequence[str], n_blocks: int, slot: str = "slot") -> DataFrame:
@@ -72,14 +73,14 @@ def slots(df: DataFrame, shard: str, block: Column, order: Sequence[str], n_bloc
     No task sees more than a block of a shard. The blocks' first slots are a running sum of at most shards x blocks
     counts, which bounds what is broadcast.
     """
-    cut = df.withColumn("_block", block)
-    counts = cut.groupBy(shard, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(shard).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(shard, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy(shard, "_block").orderBy(*(F.col(c).asc_nulls_first() for c in order))
-    ranked = cut.withColumn("_at", F.row_number().over(within).cast("long") - 1)
-    return (ranked.join(F.broadcast(first), [shard, "_block"])
-            .withColumn(slot, F.col("_first") + F.col("_at")).drop("_block", "_first", "_at"))
+    at, n, head, nth = (unused(df, c) for c in ("block", "n", "first", "at"))
+    cut = df.withColumn(at, block)
+    counts = cut.groupBy(shard, at).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(shard).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(shard, at, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(head))
+    within = Window.partitionBy(shard, at).orderBy(*(F.col(c).asc_nulls_first() for c in order))
+    ranked = cut.withColumn(nth, F.row_number().over(within).cast("long") - 1)
+    return ranked.join(F.broadcast(first), [shard, at]).withColumn(slot, F.col(head) + F.col(nth)).drop(at, head, nth)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
