@@ -6,16 +6,18 @@ parts and matches before it end.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrift.llm.common import documents, whole
+from tallyrift.llm.common import documents, unused, whole
 
 #: Characters on either side of a span, up to the next match of its kind, in which context words count.
 NEAR = 40
+#: Elements of an array that are folded at once.
+PART = 64
 #: Points that a context word adds; points from which an added span counts; points from which a span is called confident.
 CONTEXT, ENOUGH, CONFIDENT = 30, 50, 80
 
@@ -63,7 +65,7 @@ class Kind:
     pattern: str  #: as Java's matcher is to run it
     confirm: Callable[[Column], Column]
     points: int
-    words: str
+    words: str  #: context words, whole ones
     hint: str  #: a string without which nothing can match, or ""
     base: bool
 
@@ -72,12 +74,12 @@ class Kind:
 # run of one class costs its length. A match starts at a run's first character or where the last match ended (\G).
 KINDS = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-         lambda v: F.lit(True), 80, "mail|contact|write|address|kontakt|correo|courriel", "@", True),
-    Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}", _octets, 60, "ip|host|server|address|login|serveur|servidor", ".", True),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", _card, 70, "card|visa|master|credit|pay|karte|carte|tarjeta", "", True),
+         lambda v: F.lit(True), 80, "e?-?mails?|contacts?|write|address|kontakt|correo|courriel", "@", True),
+    Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}", _octets, 60, "ip|ipv4|hosts?|hostname|servers?|address|login|serveur|servidor", ".", True),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", _card, 70, "cards?|visa|mastercard|credit|pay|paid|payments?|karte|kreditkarte|carte|tarjeta", "", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda v: F.length(_digits(v)).between(9, 15), 60,
-         "phone|call|tel|mobile|fax|dial|anruf|llam", "+", True),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", mod97, 80, "iban|account|bank|konto|compte|cuenta", "", False),
+         "phones?|telephone|call|tel|mobile|fax|dial|anruf|anrufen|telefon|llamar|llame|telefono", "+", True),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", mod97, 80, "iban|accounts?|bank|konto|compte|cuenta", "", False),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", lambda v: ~v.rlike("^(000|666|9)") & ~v.rlike("-00-|-0000$"), 30,
          "ssn|social|security|insurance|taxpayer", "-", False),
 )
@@ -94,20 +96,51 @@ def _matched(text: Column, kind: Kind) -> tuple[Column, Column]:
     return F.when(some, found).otherwise(F.array().cast("array<string>")), F.when(some, gaps).otherwise(F.array(text))
 
 
-def _confirmed(found: Column, gaps: Column, number: int, kind: Kind) -> Column:
-    """The confirmed spans of a kind with their points."""
-    n = F.size(found)
-    rows = F.transform(F.arrays_zip(found.alias("v"), F.slice(gaps, 1, n).alias("b"), F.slice(gaps, 2, n).alias("a")), lambda r: F.struct(
-        r["v"].alias("v"), F.length(r["b"]).alias("gap"),
-        F.concat(F.right(r["b"], F.lit(NEAR)), F.lit(" "), F.left(r["a"], F.lit(NEAR))).rlike(f"(?i){kind.words}").alias("near")))
+def running(df: DataFrame, arrays: Sequence[str], op: Callable[[Column, Column], Column]) -> DataFrame:
+    """``df`` with each of these columns, arrays of ints of 0 or more, replaced by ``op`` (a sum or a maximum) over the
+    elements up to each.
+
+    An array grows by being copied, so it is folded in parts of PART elements, whose totals, folded in parts too, tell
+    where the next part starts. The cost grows with the array's length until it has some millions of elements. Each
+    step is a projection of its own, so that no part is computed again for every element.
+    """
+    def parts(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1)), F.lit(PART)), lambda i: F.slice(x, i, F.lit(PART)))
+
+    def fold(x: Column, start: Column) -> Column:
+        empty = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(x, empty, lambda acc, v: F.struct(op(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(op(acc["at"], v))).alias("out")), lambda acc: acc["out"])
+
+    def within(x: str, ends: str) -> Column:
+        """The parts of x, each from where the one before it ends."""
+        return F.flatten(F.zip_with(parts(F.col(x)), F.slice(F.concat(F.array(F.lit(0)), ends), F.lit(1), F.size(ends)), fold))
+
+    low, high = ({x: unused(df, f"{x}{i}") for x in arrays} for i in (1, 2))
+    for fine, coarse in (({x: x for x in arrays}, low), (low, high)):
+        df = df.withColumns({coarse[x]: F.transform(parts(F.col(fine[x])), lambda p: F.aggregate(p, F.lit(0), lambda a, b: op(a, b))) for x in arrays})
+    df = df.withColumns({high[x]: fold(F.col(high[x]), F.lit(0)) for x in arrays})
+    df = df.withColumns({low[x]: within(low[x], high[x]) for x in arrays})
+    return df.withColumns({x: within(x, low[x]) for x in arrays}).drop(*low.values(), *high.values())
+
 
-    def place(acc: Column, r: Column) -> Column:
-        start = acc["at"] + r["gap"]
-        end = start + F.length(r["v"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("s"), end.alias("e"), r["v"].alias("v"), r["near"].alias("near")))).alias("out"))
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
 
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,v:string,near:boolean>>").alias("out"))
-    placed = F.aggregate(rows, empty, place, lambda acc: acc["out"])
+
+def _lengths(found: Column, gaps: Column) -> Column:
+    """Of each match, together with the part before it."""
+    return F.transform(F.arrays_zip(found.alias("v"), F.slice(gaps, 1, F.size(found)).alias("b")), lambda r: F.length(r["b"]) + F.length(r["v"]))
+
+
+def _confirmed(found: Column, gaps: Column, ends: Column, number: int, kind: Kind) -> Column:
+    """The confirmed spans of a kind with their points."""
+    n = F.size(found)
+    # A gap that is shorter than NEAR is followed by a blank, a longer one by the character that stands there.
+    before = lambda gap: F.right(F.concat(F.lit(" "), gap), F.lit(NEAR + 1))
+    after = lambda gap: F.left(F.concat(gap, F.lit(" ")), F.lit(NEAR + 1))
+    placed = F.transform(F.arrays_zip(found.alias("v"), F.slice(gaps, 1, n).alias("b"), F.slice(gaps, 2, n).alias("a"), ends.alias("e")), lambda r: F.struct(
+        (r["e"] - F.length(r["v"])).alias("s"), r["e"].alias("e"), r["v"].alias("v"),
+        F.concat(before(r["b"]), F.lit(" "), after(r["a"])).rlike(f"(?i)[^a-z0-9](?:{kind.words})[^a-z0-9]").alias("near")))
     points = lambda r: F.least(F.lit(100), kind.points + F.when(r["near"], CONTEXT).otherwise(0))
     good = F.filter(placed, lambda r: kind.confirm(r["v"]) & (F.lit(True) if kind.base else points(r) >= ENOUGH))
     spans = F.transform(good, lambda r: F.struct(r["s"].alias("s"), F.lit(number).alias("k"), r["e"].alias("e"), F.lit(kind.name).alias("kind"), points(r).alias("points")))
@@ -117,26 +150,34 @@ def _confirmed(found: Column, gaps: Column, number: int, kind: Kind) -> Column:
 def personal_data(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     """``df`` with an array of spans (s, k, e, kind, points) by start and kind; s and e are code points, e exclusive.
 
-    Spans of a kind don't overlap; those of different kinds may. Null and empty texts have none. Narrow, in one pass
-    over each text; a text's cost grows with its length, whatever it holds.
+    Spans of a kind don't overlap; those of different kinds may, and two kinds that start together are told apart by
+    their order. Null and empty texts have none; repeated rows each have theirs, an empty table stays empty, and other
+    columns stay whatever they are called, but for one called as ``spans``, which is replaced. Narrow, without a shuffle;
+    a text's cost grows with its length, whatever it holds.
     """
     # In a step of their own, as each is used more than once and is dear.
-    matched = {f"_{what}_{k.name}": c for k in KINDS for what, c in zip(("found", "gaps"), _matched(whole(text), k), strict=True)}
-    kinds = [_confirmed(F.col(f"_found_{k.name}"), F.col(f"_gaps_{k.name}"), i, k) for i, k in enumerate(KINDS)]
-    return df.withColumns(matched).withColumn(spans, F.array_sort(F.concat(*kinds))).drop(*matched)
+    found, gaps, ends = ({k.name: unused(df, f"{what}_{k.name}") for k in KINDS} for what in ("found", "gaps", "ends"))
+    matched = {name[k.name]: c for k in KINDS for name, c in zip((found, gaps), _matched(whole(text), k), strict=True)}
+    placed = df.withColumns(matched).withColumns({ends[k.name]: _lengths(F.col(found[k.name]), F.col(gaps[k.name])) for k in KINDS})
+    placed = running(placed, list(ends.values()), _sum)
+    kinds = [_confirmed(F.col(found[k.name]), F.col(gaps[k.name]), F.col(ends[k.name]), i, k) for i, k in enumerate(KINDS)]
+    return placed.withColumn(spans, F.array_sort(F.concat(*kinds))).drop(*matched, *ends.values())
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with each span of ``text`` replaced by its kind in brackets; of overlapping ones the first stays."""
-    marked = personal_data(df, text, "_spans")
-
-    def step(acc: Column, r: Column) -> Column:
-        piece = F.concat(F.substring(F.col(text), acc["at"] + 1, r["s"] - acc["at"]), F.lit("["), r["kind"], F.lit("]"))
-        return F.when(r["s"] >= acc["at"], F.struct(r["e"].alias("at"), F.concat(acc["out"], piece).alias("out"))).otherwise(acc)
-
-    clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-                        lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))))
-    return marked.withColumn(text, clean).drop("_spans")
+    """``df`` with each run of overlapping spans of ``text`` replaced by its first span's kind in brackets, so nothing that
+    any span covers is left. The text is cut anew for each run, so the cost grows with length times runs."""
+    name = unused(df, "spans")
+    marked = personal_data(df, text, name)
+    spans, furthest = F.col(name), unused(df, "reach")
+    marked = running(marked.withColumn(furthest, F.transform(spans, lambda r: r["e"])), [furthest], F.greatest)
+    reach = F.col(furthest)
+    # A span begins a run if those before it, which start no later, reach no further than its start.
+    before = F.transform(F.arrays_zip(spans.alias("r"), F.concat(F.array(F.lit(0)), reach).alias("was")), lambda x: F.struct(x["r"]["s"].alias("s"), x["r"]["kind"].alias("kind"), x["was"].alias("was")))
+    runs = F.filter(before, lambda r: r["s"] >= r["was"])
+    head = F.array_join(F.transform(runs, lambda r: F.concat(F.substring(F.col(text), r["was"] + 1, r["s"] - r["was"]), F.lit("["), r["kind"], F.lit("]"))), "")
+    tail = F.substring(F.col(text), F.coalesce(F.get(reach, F.size(reach) - 1), F.lit(0)) + 1, F.length(F.col(text)))
+    return marked.withColumn(text, F.concat(head, tail)).drop(name, furthest)
 
 
 def _joined(spans: Column) -> Column:
@@ -172,7 +213,7 @@ _PLAIN = {
 _EACH = " UNION ALL ".join(f"""
 SELECT rid, {i} AS k, '{kind.name}' AS kind, s, s + length(v) AS e, least(100, {kind.points} + CASE WHEN near THEN {CONTEXT} ELSE 0 END) AS points
 FROM (SELECT rid, v, list_sum(list_transform(g[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0)::BIGINT AS s,
-             regexp_matches(right(g[i], {NEAR}) || ' ' || left(g[i + 1], {NEAR}), '(?i){kind.words}') AS near
+             regexp_matches(right(' ' || g[i], {NEAR + 1}) || ' ' || left(g[i + 1] || ' ', {NEAR + 1}), '(?i)[^a-z0-9](?:{kind.words})[^a-z0-9]') AS near
       FROM (SELECT rid, f, g, i, f[i] AS v FROM (SELECT rid, regexp_extract_all(text, '{_PLAIN[kind.name][0]}', 0) AS f, string_split_regex(text, '{_PLAIN[kind.name][0]}') AS g FROM texts),
             unnest(range(1, len(f) + 1)) u(i)))
 WHERE {_PLAIN[kind.name][1]} AND {'true' if kind.base else f'{kind.points} + CASE WHEN near THEN {CONTEXT} ELSE 0 END >= {ENOUGH}'}""" for i, kind in enumerate(KINDS))
