@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrift.llm.common import documents, in_set, whole, written
+from tallyrift.llm.common import documents, in_set, tidy, whole, written
 
 LENGTH, GRAM = 200, 16
 #: Bytes of text whose grams are hashed at once, and of contexts whose suffixes are sorted at once.
@@ -51,39 +51,43 @@ def window_minima(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def contexts(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, gram's hash, context's hash, first start, last start, gram's place) of all contexts, by portions of the texts."""
+    """(text, gram's hash, context's hash, first start, last start, gram's place) of all contexts, by portions of the texts.
+
+    Texts of more than AT_ONCE bytes are cut into pieces that share length - 1 bytes, so that every string lies in one of
+    them. A context may be cut there; its strings are still dealt to the same gram.
+    """
     import xxhash
 
+    pieces = [(i, at) for i, t in enumerate(texts) if len(t) >= length for at in range(0, len(t) - length + 1, AT_ONCE)]
     at = 0
-    while at < len(texts):
-        size, end = 0, at
-        while end < len(texts) and (size == 0 or size + len(texts[end]) <= AT_ONCE):
-            size += len(texts[end])
-            end += 1
-        part, first = texts[at:end], at
-        at = end
+    while at < len(pieces):
+        size, part, which, skipped = 0, [], [], []
+        while at < len(pieces) and size <= AT_ONCE:
+            i, skip = pieces[at]
+            part.append(texts[i][skip : skip + AT_ONCE + length - 1])
+            which.append(i)
+            skipped.append(skip)
+            size += len(part[-1])
+            at += 1
+        which, skipped = np.array(which), np.array(skipped)
         sizes = np.fromiter(map(len, part), np.int64, len(part))
-        if size < length or sizes.max() < length:
-            continue
-        if size > int(_PLACE):
-            raise ValueError("a text of 64 MB or more")
         data = b"".join(part) + b"\0" * GRAM
         hashes = gram_hashes(data, size)
         low = window_minima((hashes & ~_PLACE) | np.arange(size, dtype=np.uint64), length - GRAM + 1)
         begin = np.cumsum(sizes) - sizes
         valid = np.zeros(size + 1, np.int8)
-        fits = sizes >= length
-        valid[begin[fits]] += 1
-        valid[(begin + sizes - length + 1)[fits]] -= 1
+        valid[begin] += 1
+        valid[begin + sizes - length + 1] -= 1
         starts = np.flatnonzero(np.cumsum(valid[:size]))
         gram = (low[starts] & _PLACE).astype(np.int64)
         new = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
         lo, hi = starts[new], starts[np.append(new[1:], len(starts)) - 1]
-        text = np.searchsorted(begin, lo, "right") - 1
+        own = np.searchsorted(begin, lo, "right") - 1
+        shift = skipped[own] - begin[own]
         view = memoryview(data)
         digest = xxhash.xxh3_64_intdigest
         whole = np.fromiter((digest(view[a : b + length]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint64, len(lo))
-        yield text + first, hashes[gram[new]], whole, lo - begin[text], hi - begin[text], gram[new] - begin[text]
+        yield which[own], hashes[gram[new]], whole, lo + shift, hi + shift, gram[new] + shift
 
 
 def two_stage(data: bytes, depth: int) -> np.ndarray:
@@ -286,7 +290,8 @@ def _strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """Of (row, text): (row, lo, hi), spans whose union is what repeated strings cover. ``row`` tells texts apart.
 
-    Texts of fewer than LENGTH bytes have none. Rows with equal ``row`` and text count as two. Contexts are counted in
+    Texts of fewer than LENGTH bytes have none; those of many megabytes are cut for hashing only. Rows with equal ``row``
+    and text count as two. Contexts are counted in
     each partition before they are shuffled; the join's other side has a row for each gram, so that Spark splits a hot
     gram's rows; a gram with more than HOT distinct contexts is not sorted in one place, its strings are counted by hash.
     """
@@ -340,11 +345,13 @@ def _without(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.assign(doc_id=pd.array(frame["doc_id"], dtype="Int64"))
 
 
+@tidy
 def without_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_text as binary) of each document of (doc_id, text).
 
     A string's every occurrence goes, the first one too. Null texts are empty. Removal may cut a character in two, so
-    what is left is bytes. Texts without repeats are never shuffled.
+    what is left is bytes. Texts without repeats are never shuffled. Repeated rows each have their row; rows with null ids
+    too; of an empty table there are none. Other columns aren't read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).withColumn("row", _row_key())
     spans = written(repeated_spans(rows.select("row", "text")), "spans")
