@@ -13,14 +13,15 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator, Mapping
 from fractions import Fraction
+from functools import reduce
 from itertools import islice
 from math import lcm
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyrift.llm.common import documents, written
+from tallyrift.llm.common import documents, tidy, unused, written
 
 #: Documents of a block; slots of a period of whole slots; blocks of ranks counted at once; blocks of a batch.
 BLOCK, PERIOD, RANK_BLOCKS, AT_ONCE = 16, 1024, 256, 50_000
@@ -99,25 +100,32 @@ def schedule(blocks: Mapping, weights: Mapping) -> Iterator[tuple]:
         phase += 1
 
 
+@tidy
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, power: float = 0.5) -> DataFrame:
     """``docs`` (doc_id, source) with block, slot and seat: read by (slot, seat), sources keep to their weights.
 
     ``weights`` by source; a source that they leave out, and all of them where none are given, weighs its row count to
-    ``power``. A null source is a source. Every row stays, once; a source's rows are dealt to blocks in an order by hash,
-    so no task ranks a whole source. Only a count for each source comes to the driver. The schedule, a row for each block,
-    is written by one task, which holds one block of each source and a batch of rows.
+    ``power``. A null source is a source. Every row stays, once, rows with null or repeated ids too; other columns aren't
+    read, and an empty table gives an empty one. A source's rows are dealt to blocks in an order by hash, so no task ranks
+    a whole source. Only a count for each source comes to the driver. The schedule, a row for each block, is written by
+    one task, which holds one block of each source and a batch of rows.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(RANK_BLOCKS)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.lit(None).cast("long").alias("h"))
+    return _mixed(rows, weights, block, power).drop("h")
+
+
+def _mixed(rows: DataFrame, weights: Mapping[str, float] | None, block: int = BLOCK, power: float = 0.5) -> DataFrame:
+    """``mix`` of rows (doc_id, source, h); h tells apart rows of one id."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("doc_id", "h", F.lit(7)), F.lit(RANK_BLOCKS)))
     counts = rows.groupBy("source", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(F.col("source").alias("_source"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy("source", "_part").orderBy(F.xxhash64("doc_id", F.lit(11)), F.col("doc_id"))
+    within = Window.partitionBy("source", "_part").orderBy(F.xxhash64("doc_id", "h", F.lit(11)), F.col("doc_id"), F.col("h"))
     ranked = rows.withColumn("_at", F.row_number().over(within).cast("long") - 1)
     ranked = ranked.join(first, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_p")))
-    ranked = ranked.select("doc_id", "source", (F.col("_first") + F.col("_at")).alias("_rank"))
-    ranked = ranked.select("doc_id", "source", F.floor(F.col("_rank") / block).alias("block"), (F.col("_rank") % block).alias("seat"))
+    ranked = ranked.select("doc_id", "source", "h", (F.col("_first") + F.col("_at")).alias("_rank"))
+    ranked = ranked.select("doc_id", "source", "h", F.floor(F.col("_rank") / block).alias("block"), (F.col("_rank") % block).alias("seat"))
 
     sizes = {r["source"]: r["n"] for r in counts.groupBy("source").agg(F.sum("_n").alias("n")).collect()}
     given = dict(weights or {})
@@ -132,31 +140,49 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
     table = spark.range(1, numPartitions=1).mapInPandas(told, "_source string, _block long, slot long, phase int")
     table = written(table, "schedule")
     return (ranked.join(table, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
-            .select("doc_id", "source", "block", "slot", "seat", "phase"))
+            .select("doc_id", "source", "h", "block", "slot", "seat", "phase"))
 
 
+@tidy
 def placed(docs: DataFrame, weights: Mapping[str, float] | None = None, **options) -> DataFrame:
     """``docs``, all columns, with slot and seat: their places in the mixture. Columns of these names are replaced.
 
-    Repeated ids take each other's places, which changes nothing but their order.
+    Places are dealt to the rows' keys - id, source, hash of the text - which are all that is shuffled for them; the texts
+    are then shuffled once, to meet their places. Only rows that agree in the whole key are numbered, and they change
+    places at will. Null ids are as good as any, since the texts spread them; extra columns stay, whatever their names.
     """
     names = [c for c in docs.columns if c not in ("slot", "seat")]
-    keyed = docs.select(*names).withColumns({"_id": F.col("doc_id").cast("long"), "_source": F.col("source").cast("string")})
-    places = mix(docs, weights, **options)
-    nth = lambda df, *key: df.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))))
-    places = nth(places, "doc_id", "source").select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("_nth").alias("_m"), "slot", "seat")
-    keyed = nth(keyed, "_id", "_source")
-    joined = keyed.join(places, F.col("_id").eqNullSafe(F.col("_i")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_nth") == F.col("_m")))
-    return joined.select(*names, "slot", "seat")
+    key = [unused(docs, c) for c in ("id", "source", "h")]
+    text = F.xxhash64("text") if "text" in names else F.lit(None).cast("long")
+    keys = [F.col("doc_id").cast("long"), F.col("source").cast("string"), text]
+    keyed = docs.select(*(docs[c] for c in names), *(k.alias(c) for k, c in zip(keys, key, strict=True)))
+    rows = written(keyed.select(*(F.col(c).alias(n) for c, n in zip(key, ("doc_id", "source", "h"), strict=True))), "keys")
+    places = written(_mixed(rows, weights, **options).select("doc_id", "source", "h", "slot", "seat"), "places")
+    told = places.select(*(F.col(n).alias(f"{c}_") for c, n in zip(key, ("doc_id", "source", "h"), strict=True)), "slot", "seat")
+    own = [f"{c}_" for c in key]
+    same = lambda one, other: reduce(Column.__and__, (F.col(a).eqNullSafe(F.col(b)) for a, b in zip(one, other, strict=True)))
+    again = written(places.groupBy("doc_id", "source", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "source", "h"), "again")
+    if again.isEmpty():
+        return keyed.join(told, same(key, own)).select(*names, "slot", "seat")
+    twice = ["doc_id", "source", "h"]
+    repeated = again.select(*(F.col(c).alias(f"{k}_again") for c, k in zip(twice, key, strict=True)))
+    other = [f"{k}_again" for k in key]
+    nth = unused(docs, "nth")
+    number = lambda df, by: df.withColumn(nth, F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(1))))
+    one = keyed.join(repeated, same(key, other), "left_anti").join(told, same(key, own)).select(*names, "slot", "seat")
+    many = number(keyed.join(repeated, same(key, other), "left_semi"), key)
+    seats = number(told.join(repeated, same(own, other), "left_semi"), own).withColumnRenamed(nth, f"{nth}_")
+    return one.unionByName(many.join(seats, same([*key, nth], [*own, f"{nth}_"])).select(*names, "slot", "seat"))
 
 
 def in_order(docs: DataFrame, weights: Mapping[str, float] | None = None, **options) -> DataFrame:
     """``docs``, all columns, sorted by the mixture over all partitions: their files, in order, are the mixture."""
-    own = {c: F.col(c).alias(f"_own_{c}") for c in ("slot", "seat") if c in docs.columns}
-    told = placed(docs.select("*", *own.values()), weights, **options)
-    return told.orderBy("slot", "seat").select(*(F.col(f"_own_{c}").alias(c) if c in own else F.col(c) for c in docs.columns))
+    own = {c: unused(docs, f"own_{c}") for c in ("slot", "seat") if c in docs.columns}
+    told = placed(docs.select("*", *(F.col(c).alias(a) for c, a in own.items())), weights, **options)
+    return told.orderBy("slot", "seat").select(*(F.col(own[c]).alias(c) if c in own else F.col(c) for c in docs.columns))
 
 
+@tidy
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in a mixture of sources by the square roots of their sizes; see ``mix``."""
     return mix(written(documents(spark, sf_dir).select("doc_id", "source"), "sources"))
