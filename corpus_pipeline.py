@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrift.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from tallyrift.llm.common import documents, written
+from tallyrift.llm.common import documents, tidy, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +43,9 @@ STAGES = [("toxicity", toxicity_stage), ("exact dedup", exact_stage), ("n-gram j
 ORACLE_SQL = None  # the network and the schedule aren't SQL
 
 
+@tidy
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what they write goes once the next ones have read it, but for what the result reads."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
