@@ -2,28 +2,55 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and what they become.
-ACCENTED = "áéíóúüñàèìòùâêîôûäëïöçõãå"
-PLAIN = "aeiouunaeiouaeiouaeiocoaa"
+
+@cache
+def _decomposed() -> tuple[str, str]:
+    """Characters that decompose into one character and nonspacing marks, and those characters; then the marks, which go.
+
+    By the Unicode tables, so every script counts. Hangul syllables, which decompose into several letters, stay whole.
+    """
+    whole, base, marks = [], [], []
+    for code in (*range(0x80, 0xAC00), *range(0xF900, 0x1F000)):
+        c = chr(code)
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+        elif (parts := unicodedata.normalize("NFD", c)) != c:
+            rest = [p for p in parts if unicodedata.category(p) != "Mn"]
+            if len(rest) == 1:
+                whole.append(c)
+                base.append(rest[0])
+    return "".join(whole + marks), "".join(base)
+
+
+def unmarked(x: Column) -> Column:
+    """NFD without nonspacing marks."""
+    return F.translate(x, *_decomposed())
 
 
 def norm(x: Column) -> Column:
     """Lower case without accents, untrimmed."""
-    return F.translate(F.lower(x), ACCENTED, PLAIN)
+    return unmarked(F.lower(x))
+
+
+def trimmed_norm(x: Column) -> Column:
+    return norm(F.trim(x))
 
 
 def slug(x: Column) -> Column:
     """Accents and quotes away, runs of other than a-z and 0-9 to one hyphen, none at the ends."""
-    plain = F.regexp_replace(norm(x), "['’\"]", "")
-    return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-|-$", "")
+    plain = F.regexp_replace(unmarked(x), "['`‘’]", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
 def title_key(x: Column) -> Column:
     """ASCII only, punctuation to spaces, spaces collapsed."""
-    ascii_ = F.regexp_replace(norm(x), r"[^\x00-\x7F]", "")
+    ascii_ = F.lower(F.regexp_replace(unmarked(x), r"[^\x00-\x7F]", ""))
     return F.trim(F.regexp_replace(F.regexp_replace(ascii_, r"[^a-z0-9\s]", " "), r"\s+", " "))
 
 
@@ -32,11 +59,11 @@ def strip_tags(x: Column) -> Column:
 
 
 def visible_text(html: Column) -> Column:
-    """Scripts, styles and tags to spaces, four entities decoded, white space collapsed."""
-    out = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", " ")
-    out = F.regexp_replace(out, r"(?is)<style[^>]*>.*?</style>", " ")
-    out = F.regexp_replace(out, r"<[^>]+>", " ")
-    for entity, char in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+    """Scripts, styles and tags, empty ones too, to spaces; four entities decoded in this order; white space collapsed."""
+    out = F.regexp_replace(html, r"(?is)<script.*?</script>", " ")
+    out = F.regexp_replace(out, r"(?is)<style.*?</style>", " ")
+    out = F.regexp_replace(out, r"<[^>]*>", " ")
+    for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " ")):
         out = F.replace(out, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
@@ -53,8 +80,8 @@ def clean_title(x: Column, most: int = 300) -> Column:
 
 def json_fence(x: Column) -> Column:
     """The inside of a fenced block, or the whole text, trimmed."""
-    inner = F.regexp_extract(x, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
-    return F.trim(F.when(inner != "", inner).otherwise(x))
+    fenced = r"(?s)^\s*```(?:json)?\s*(.*?)\s*```\s*$"
+    return F.trim(F.when(x.rlike(fenced), F.regexp_extract(x, fenced, 1)).otherwise(x))
 
 
 def csv_guard(x: Column) -> Column:
@@ -81,10 +108,20 @@ def safe_scheme(url: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """Without utm_ parameters; the others keep their order. Without a query it stays as it is."""
-    parts = F.split(url, r"\?", 2)
-    kept = F.array_join(F.filter(F.split(F.get(parts, 1), "&"), lambda p: ~F.lower(p).startswith("utm_")), "&")
-    return F.when(F.size(parts) < 2, url).when(kept == "", F.get(parts, 0)).otherwise(F.concat(F.get(parts, 0), F.lit("?"), kept))
+    """Without utm_ parameters; the others are decoded and encoded anew, grouped by name in the order in which names first
+    come. Without a query the address stays as it is; a fragment stays behind the query."""
+    parts = F.split(F.regexp_extract(url, "^[^#]*", 0), r"\?", 2)
+    fragment = F.regexp_extract(url, "#.*$", 0)
+    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+    pair = lambda p: F.struct(plain(F.substring_index(p, "=", 1)).alias("k"), plain(F.when(F.contains(p, F.lit("=")), F.substring(p, F.instr(p, "=") + 1, F.length(p))).otherwise(F.lit(""))).alias("v"))
+    pairs = F.transform(F.filter(F.split(F.get(parts, 1), "&"), lambda p: p != ""), pair)
+    kept = F.filter(pairs, lambda p: ~F.lower(p["k"]).startswith("utm_"))
+    names = F.array_distinct(F.transform(kept, lambda p: p["k"]))
+    encode = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    grouped = F.flatten(F.transform(names, lambda n: F.filter(kept, lambda p: p["k"] == n)))
+    query = F.array_join(F.transform(grouped, lambda p: F.concat(encode(p["k"]), F.lit("="), encode(p["v"]))), "&")
+    whole = F.concat(F.get(parts, 0), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)), fragment)
+    return F.when((F.size(parts) < 2) | (F.get(parts, 1) == ""), url).otherwise(whole)
 
 
 def locale_number(x: Column) -> Column:
@@ -144,3 +181,123 @@ def interpolate(template: Column, values: dict[str, Column]) -> Column:
     for k, v in values.items():
         template = F.replace(template, F.lit("{" + k + "}"), v.cast("string"))
     return template
+
+
+# Fixed values.
+MONTHS_ES = "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()
+REGION_PLAIN, REGION_DEL = ("Metropolitana",), ("Maule", "Biobío")
+FORBIDDEN_NAMES = ("safest", "most dangerous", "safe", "dangerous")
+
+
+def citation(outlet: Column, date: Column, title: Column, url: Column) -> Column:
+    """Outlet. (year, day de month). Title. Address - with "s. a." for a missing outlet and "(s. f.)" for a date that isn't one."""
+    head = F.substring(F.coalesce(date, F.lit("")), 1, 10)
+    day = F.when(head.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_timestamp(head, F.lit("yyyy-M-d")).cast("date"))
+    said = F.concat(F.lit("("), F.year(day), F.lit(", "), F.dayofmonth(day), F.lit(" de "), F.element_at(F.array(*map(F.lit, MONTHS_ES)), F.month(day)), F.lit(")"))
+    who = F.trim(F.coalesce(outlet, F.lit("")))
+    return F.concat(F.when(who != "", F.concat(who, F.lit(". "))).otherwise("s. a. "), F.coalesce(said, F.lit("(s. f.)")), F.lit(". "),
+                    F.coalesce(title, F.lit("")), F.lit(". "), F.coalesce(url, F.lit("")))
+
+
+def region_phrase(name: Column) -> Column:
+    """The Spanish phrase for a region, with del, de or neither."""
+    link = F.when(name.isin(*REGION_PLAIN), " ").when(name.isin(*REGION_DEL), " del ").otherwise(" de ")
+    return F.concat(F.lit("Región"), link, name)
+
+
+def capitalised(x: Column) -> Column:
+    return F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 2**31 - 1))
+
+
+def without_space(x: Column) -> Column:
+    return F.regexp_replace(x, r"\s+", "")
+
+
+def label(code: Column, names: dict[str, str]) -> Column:
+    """A code's name, or the code."""
+    pairs = [F.lit(x) for kv in names.items() for x in kv]
+    return F.coalesce(F.element_at(F.create_map(*pairs), code), code) if pairs else code
+
+
+def short_number(x: Column) -> Column:
+    """1,234.5 and 1,234: groups of thousands and one decimal place, if it isn't 0."""
+    return F.regexp_replace(F.format_number(F.floor(F.abs(x) * 10 + 0.5) / 10 * F.signum(x), 1), r"\.0$", "")
+
+
+def band_label(low: Column, high: Column) -> Column:
+    """low + 1 – high, from 0 where there is no lower break; without an upper one low+. Breaks count as whole numbers."""
+    first = F.when(low.isNull(), 0).otherwise(low + 1)
+    number = lambda v: F.format_number(js_round(v), 0)
+    return F.when(high.isNull(), F.concat(number(first), F.lit("+"))).otherwise(F.concat(number(first), F.lit(" – "), number(high)))
+
+
+def marked_match(name: Column, query: str) -> Column:
+    """(head, match, tail) of a name around the first place of the query, without accents and case; all head without one."""
+    q = norm(F.trim(F.lit(query)))
+    at = F.when(q == "", 0).otherwise(F.instr(norm(name), q))
+    long_ = F.lit(2**31 - 1)
+    return F.struct(F.when(at > 0, F.substring(name, F.lit(1), at - 1)).otherwise(name).alias("head"),
+                    F.when(at > 0, F.substring(name, at, F.length(q))).otherwise("").alias("match"),
+                    F.when(at > 0, F.substring(name, at + F.length(q), long_)).otherwise("").alias("tail"))
+
+
+def leading_json(x: Column) -> Column:
+    """The object or array at the start of a text, up to its closing bracket; null if there is none.
+
+    Brackets inside of strings don't count: strings are blanked out first, in place.
+    """
+    t = F.trim(json_fence(x))
+    blank = F.regexp_replace(t, r'\\.', "__")
+    strings = F.split(blank, '"')
+    flat = F.array_join(F.transform(strings, lambda s, i: F.when(i % 2 == 0, s).otherwise(F.repeat(F.lit("_"), F.length(s)))), "_")
+    step = lambda acc, c: F.struct((acc["at"] + 1).alias("at"), (acc["depth"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)).alias("depth"),
+                                   F.when((acc["end"] == 0) & (acc["depth"] == 1) & c.isin("}", "]"), acc["at"] + 1).otherwise(acc["end"]).alias("end"))
+    done = F.aggregate(F.split(flat, ""), F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("end")), step)
+    return F.when(t.rlike(r"^[{\[]") & (done["end"] > 0), F.substring(t, F.lit(1), done["end"]))
+
+
+def pair_envelope(one: Column, other: Column, names: tuple[str, str] = ("titular_a", "titular_b")) -> Column:
+    """Two cleaned titles as one JSON object."""
+    return F.to_json(F.struct(clean_title(one).alias(names[0]), clean_title(other).alias(names[1])))
+
+
+def neutral_name(name: Column) -> Column:
+    """The name, or an error where it has one of the words that a list's name must not have."""
+    bad = F.lower(name).rlike("|".join(FORBIDDEN_NAMES))
+    return F.when(~bad | name.isNull(), name).otherwise(F.raise_error(F.concat(F.lit("forbidden word in list name: "), name)))
+
+
+def safe_to_fetch(url: Column) -> Column:
+    """http or https, a host, no user in it, and no address literal of a private, local, reserved or multicast range.
+
+    Names aren't resolved: that is the fetching side's, at the time it connects. IPv4 literals and the IPv6 ranges ::, ::1,
+    fc00::/7, fe80::/10 and ff00::/8, and IPv4 ones mapped into IPv6.
+    """
+    auth = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    host = F.lower(F.when(auth.startswith("["), F.regexp_extract(auth, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(auth, r":\d*$", "")))
+    four = F.regexp_extract(host, r"^(?:::ffff:)?((?:\d{1,3}\.){3}\d{1,3})$", 1)
+    part = [F.get(F.split(four, r"\."), i).try_cast("int") for i in range(4)]
+    a, b, c = part[:3]
+    blocked4 = (a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31))
+                | ((a == 192) & (b == 168)) | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113)))
+    blocked6 = F.contains(host, F.lit(":")) & host.rlike("^(::1?$|f[cd]|fe[89ab]|ff|2001:db8)")
+    return F.coalesce(safe_scheme(url) & (host != "") & ~F.contains(auth, F.lit("@")) & ~F.when(four != "", blocked4).otherwise(blocked6), F.lit(False))
+
+
+def cut_bytes(x: Column, most: int) -> Column:
+    """The longest start of a text that has at most ``most`` bytes of UTF-8."""
+    data = F.encode(x, "UTF-8")
+    # A character is cut if the byte behind the limit continues it; it has at most 4 bytes.
+    back = F.aggregate(F.sequence(F.lit(1), F.lit(4)), F.lit(None).cast("int"), lambda acc, i: F.when(
+        acc.isNotNull() | ((F.conv(F.hex(F.substring(data, F.lit(most + 2) - i, F.lit(1))), 16, 10).cast("int").bitwiseAND(F.lit(0xC0))) == 0x80), acc).otherwise(i - 1))
+    return F.when(F.octet_length(x) <= most, x).otherwise(F.decode(F.substring(data, F.lit(1), F.lit(most) - F.coalesce(back, F.lit(0))), "UTF-8"))
+
+
+def date_or(x: Column, default: Column) -> Column:
+    return F.coalesce(iso_date(x), default)
+
+
+def region_file(region: Column) -> Column:
+    """1 to 16 as they are, else the old code's tens."""
+    n = region.cast("int")
+    return F.when(n.between(1, 16), n).otherwise(F.floor(n / 10)).cast("string")

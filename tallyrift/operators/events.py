@@ -103,6 +103,14 @@ def digest(rows: DataFrame, value: str, by: Sequence[str] = (), sep: str = "\n")
     return rows.groupBy(*by).agg(F.sha2(joined, 256).alias("digest"), F.count(F.lit(1)).alias("n"))
 
 
+def digest_ranges(rows: DataFrame, value: str, by: Sequence[str] = (), sep: str = "\n", prefix: int = 2) -> DataFrame:
+    """SHA-256 over the digests, in order, of the ranges of hexadecimal hashes with equal first ``prefix`` digits, each
+    that of its hashes in order. No row holds more than a range; the longer the prefix, the smaller ranges are."""
+    parts = digest(rows.withColumn("_range", F.substring(value, 1, prefix)), value, [*by, "_range"], sep)
+    told = parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_range", "digest"))).alias("x"), F.sum("n").alias("n"))
+    return told.select(*by, F.sha2(F.array_join(F.col("x.digest"), sep), 256).alias("digest"), "n")
+
+
 def greedy_titles(rows: DataFrame, block: Sequence[str], order: str, title: str, least: float = 0.82) -> DataFrame:
     """Rows of each block whose title is less similar than ``least`` to all kept before it. The order decides; that is
     why a block is one task, and why blocks should be small: the comparison is quadratic in them."""

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyrift.operators.ordering import at_places, numbered
+
 
 def total_rate(rates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The sum of the families' rates, 0 if all are null."""
@@ -42,11 +44,10 @@ def at_year(totals: DataFrame, year: int, unit: str = "cut") -> DataFrame:
 
 
 def rank(rows: DataFrame, out: str, by: str, tie: str, within: Sequence[str] = (), eligible: Column | None = None, descending: bool = True) -> DataFrame:
-    """1..n without gaps or ties among the eligible, null for the others."""
-    ok = F.lit(True) if eligible is None else eligible
-    value = F.desc(by) if descending else F.asc(by)
-    w = Window.partitionBy(*within, ok).orderBy(value, F.asc(tie))
-    return rows.withColumn(out, F.when(ok, F.row_number().over(w)).cast("long"))
+    """1..n without gaps or ties among the eligible, null for the others. By ranges, see ``ordering``: no group is one task's."""
+    ok = F.coalesce(F.lit(True) if eligible is None else eligible, F.lit(False))
+    told, _ = numbered(rows.withColumn("_ok", ok), out, by, tie, [*within, "_ok"], descending)
+    return told.withColumn(out, F.when(F.col("_ok"), F.col(out))).drop("_ok")
 
 
 def three_step_trend(totals: DataFrame, unit: str = "cut", threshold: float = 5.0) -> DataFrame:
@@ -67,8 +68,8 @@ def percentile_card(rank_: Column, n: Column) -> Column:
 
 def band_percentile(rows: DataFrame, value: str = "rate") -> DataFrame:
     """By the share of rows that are smaller: fifths, 1 to 5."""
-    p = (F.rank().over(Window.orderBy(value)) - 1) / F.count(F.lit(1)).over(Window.partitionBy())
-    return rows.withColumn("level", _fifths(p).cast("long"))
+    told, n = numbered(rows, "_rank", value)
+    return told.withColumn("level", _fifths((F.col("_rank") - 1) / F.lit(max(n, 1))).cast("long")).drop("_rank")
 
 
 def _fifths(p: Column) -> Column:
@@ -77,7 +78,15 @@ def _fifths(p: Column) -> Column:
 
 def band_quantile_cut(rows: DataFrame, value: str = "score") -> DataFrame:
     """By interpolated quintiles, closed on the right; all 3 if two edges fall together."""
-    edges = rows.agg(F.expr(f"percentile({value}, array(0.0, 0.2, 0.4, 0.6, 0.8, 1.0))").alias("_e"))
+    def places(n: int) -> list[int]:
+        """The two values around each fifth."""
+        return [p for i in range(6) for p in ((n - 1) * i // 5 + 1, min(n, (n - 1) * i // 5 + 2))]
+
+    low = lambda i: F.col(f"_b{2 * i}")
+    around = at_places(rows, value, places)
+    n = rows.agg(F.count(value).alias("_n"))
+    share = lambda i: ((F.col("_n") - 1) * i % 5) / 5
+    edges = around.crossJoin(n).select(F.array(*(low(i) + (F.col(f"_b{2 * i + 1}") - low(i)) * share(i) for i in range(6))).alias("_e"))
     e = lambda i: F.get("_e", i)
     apart = F.size(F.array_distinct("_e")) == 6
     level = F.when(~apart, 3).when(F.col(value) <= e(1), 1).when(F.col(value) <= e(2), 2).when(F.col(value) <= e(3), 3).when(F.col(value) <= e(4), 4).otherwise(5)
@@ -85,9 +94,8 @@ def band_quantile_cut(rows: DataFrame, value: str = "score") -> DataFrame:
 
 
 def _positions(rows: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
-    """One row: the values at floor(n * share) in order, found by position rather than by a collected list."""
-    ranked = rows.select(F.col(value).alias("_v")).withColumns({"_at": F.row_number().over(Window.orderBy("_v")) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy())})
-    return ranked.agg(*(F.max(F.when(F.col("_at") == F.floor(F.col("_n") * s), F.col("_v"))).alias(f"_b{i}") for i, s in enumerate(shares)))
+    """One row: the values at floor(n * share) in order."""
+    return at_places(rows, value, lambda n: [min(n, int(n * s) + 1) for s in shares])
 
 
 def band_by_position(rows: DataFrame, population: DataFrame, value: str = "rate") -> DataFrame:
@@ -111,14 +119,21 @@ def level_breaks(rows: DataFrame, value: str = "rate") -> DataFrame:
     return levels.join(F.broadcast(top), "level", "left").select("level", carried.alias("upper"))
 
 
-def tier(rank_: Column, n: int) -> Column:
-    """Top and bottom tenths and quarters of n ranks."""
-    r = lambda share: int(n * share)
-    return F.when(rank_ <= r(0.1), "top10").when(rank_ <= r(0.25), "top25").when(rank_ > n - r(0.1), "bottom10").when(rank_ > n - r(0.25), "bottom25").otherwise("mid")
+def tier(rank_: Column, n: Column) -> Column:
+    """Tenths and quarters of n ranks at either end; the cuts are rounded, halves upwards, and belong to their ends."""
+    cut = lambda share: F.floor(n * share + 0.5)
+    return F.when(rank_ <= cut(0.1), "top10").when(rank_ <= cut(0.25), "top25").when(rank_ >= cut(0.9), "bottom10").when(rank_ >= cut(0.75), "bottom25").otherwise("mid")
+
+
+def comparison_band(signed_pct: Column) -> Column:
+    """How far above or below a mean: by a fifth, by a half."""
+    size, side = F.abs(signed_pct), F.when(signed_pct > 0, "above").otherwise("below")
+    return F.when(size >= 50, F.concat(F.lit("high_"), side)).when(size >= 20, F.concat(F.lit("mid_"), side)).otherwise("near")
 
 
 def histogram_p97(rows: DataFrame, value: str = "rate", bins: int = 24) -> DataFrame:
-    """(bin, n, share of the fullest): equal widths from 0 to the value at floor(n * .97); larger ones in the last bin."""
+    """(bin, n, share of the fullest): equal widths from 0 to the positive value at floor(n * .97); larger ones in the last bin."""
+    rows = rows.where(F.col(value) > 0)
     cap = _positions(rows, value, (0.97,)).select(F.col("_b0").alias("_cap"))
     at = F.least(F.lit(bins - 1), F.floor(F.col(value) / F.nullif(F.col("_cap"), F.lit(0.0)) * bins))
     counts = rows.join(F.broadcast(cap)).groupBy(F.coalesce(at, F.lit(0)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -130,10 +145,7 @@ def histogram_p97(rows: DataFrame, value: str = "rate", bins: int = 24) -> DataF
 
 def winsorised(rows: DataFrame, metric: str, out: str, share: float = 0.01) -> DataFrame:
     """0 to 100 between the (k+1)-th smallest and largest non-null values, k = int(share * n); null stays, a constant is 0."""
-    some = rows.where(F.col(metric).isNotNull()).select(F.col(metric).alias("_v"))
-    ranked = some.withColumns({"_at": F.row_number().over(Window.orderBy("_v")), "_n": F.count(F.lit(1)).over(Window.partitionBy())})
-    k = F.floor(F.col("_n") * share)
-    edge = ranked.agg(F.max(F.when(F.col("_at") == k + 1, F.col("_v"))).alias("_lo"), F.max(F.when(F.col("_at") == F.col("_n") - k, F.col("_v"))).alias("_hi"))
+    edge = at_places(rows, metric, lambda n: [int(n * share) + 1, n - int(n * share)]).select(F.col("_b0").alias("_lo"), F.col("_b1").alias("_hi"))
     x = F.least(F.greatest(F.col(metric), F.col("_lo")), F.col("_hi"))
     scaled = F.when(F.col("_hi") > F.col("_lo"), (x - F.col("_lo")) * 100 / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
     return rows.join(F.broadcast(edge)).withColumn(out, F.when(F.col(metric).isNotNull(), scaled)).drop("_lo", "_hi")
