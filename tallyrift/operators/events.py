@@ -129,28 +129,6 @@ def greedy_titles(rows: DataFrame, block: Sequence[str], order: str, title: str,
     return rows.groupBy(*block).applyInPandas(keep, rows.schema)
 
 
-def token_set_ratio(a: str, b: str) -> float:
-    """0 to 100: the best ratio among the common words and either side's, sorted."""
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 0.0
-    both = " ".join(sorted(x & y))
-    one, two = (" ".join(filter(None, (both, " ".join(sorted(r))))) for r in (x - y, y - x))
-    if both and (x <= y or y <= x):
-        return 100.0
-
-    def ratio(s: str, t: str) -> float:
-        """2 x the longest common subsequence in the lengths' sum."""
-        row = [0] * (len(t) + 1)
-        for c in s:
-            before = 0
-            for j, d in enumerate(t, 1):
-                before, row[j] = row[j], before + 1 if c == d else max(row[j], row[j - 1])
-        return 200.0 * row[-1] / (len(s) + len(t)) if s or t else 0.0
-
-    return max([ratio(one, two), *([ratio(both, one), ratio(both, two)] if both else [])])
-
-
 def block_pairs(rows: DataFrame, block: Sequence[str], order: str) -> DataFrame:
     """All pairs a before b of a block, as the reference queries ask for them; blocks are small by their keys."""
     b = rows.select(*block, *(F.col(c).alias(f"{c}_b") for c in rows.columns if c not in block))

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from tallyrift.functions import scalars as X
 from tallyrift.operators import events as E
+from tallyrift.operators import matching as M
 from tallyrift.operators import stats as S
-from tallyrift.plans import queries as Q
+from tallyrift.plans import registry as Q
 from tallyrift.sources import readers as R
 from tallyrift.streaming import jobs
 
@@ -67,9 +68,9 @@ def test_token_url(spark):
 
 
 def test_token_set_ratio():
-    assert E.token_set_ratio("a b c", "c b a") == 100.0
-    assert E.token_set_ratio("", "a") == 0.0
-    assert 0 < E.token_set_ratio("abc def", "abd xyz") < 100
+    assert M.token_set_ratio("a b c", "c b a") == 100.0
+    assert M.token_set_ratio("", "a") == 0.0
+    assert 0 < M.token_set_ratio("abc def", "abd xyz") < 100
 
 
 def test_greedy_keeps_first_of_similar_titles(spark):
