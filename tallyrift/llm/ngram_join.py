@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from tallyrift.llm.common import bucketed, documents, in_set, tidy, unused, written
 from tallyrift.llm.graph import components
 
+#: Sets that one task checks against their leader: so few that a large family is many tasks' work.
+FOLLOWERS = 128
 #: Sets of a block that one task holds; grams that are counted at once; bytes of a text that are hashed at once.
 BLOCK, AT_ONCE, PIECE = 1500, 2_000_000, 1 << 16
 #: Counters of the table that orders grams, of which SLICE are summed at once. With more grams only the order is coarser.
@@ -363,7 +365,7 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFr
     leading = led.groupBy("set_id", "lead").agg(F.sum("w").alias("c")).join(about, "set_id").where("c >= least")
     leading = leading.join(about.select(F.col("set_id").alias("lead"), F.col("n").alias("m")), "lead").where(_fit("n", "m", num, den))
     best = written(leading.groupBy("set_id").agg(F.max_by("lead", F.struct("c", "lead")).alias("lead")), "best")
-    sizes = best.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("deals"))
+    sizes = best.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / FOLLOWERS).cast("int").alias("deals"))
     followers = best.join(sizes, "lead").select(F.col("lead").alias("sig"), "set_id", F.pmod(F.xxhash64("set_id"), F.col("deals")).cast("int").alias("deal"), F.lit(False).alias("asks"))
     leaders = sizes.select(F.col("lead").alias("sig"), F.col("lead").alias("set_id"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.lit(True).alias("asks"))
     first_cells = followers.unionByName(leaders).withColumns({"asker": F.lit(0), "root": F.col("set_id")})
