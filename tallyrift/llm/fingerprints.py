@@ -15,9 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyrift.llm.common import bucketed, documents, in_set, whole, written
+from tallyrift.llm.common import bucketed, documents, in_set, tidy, whole, written
 from tallyrift.llm.graph import components
-from tallyrift.llm.ngram_join import BLOCK, Limits, search
+from tallyrift.llm.ngram_join import BLOCK, FOLLOWERS, Limits, search
 
 WORDS, PERMUTATIONS = 5, 128
 #: Bands of 4 rows: at a similarity of 0.8 two texts share none of 32 with a probability of 5e-8.
@@ -34,7 +34,7 @@ _FACTORS = np.random.default_rng(20240229).integers(1, 2**63, (2, PERMUTATIONS),
 class Shingles:
     """Hashes of the runs of ``words`` lower-case words of texts; a shorter text is one run, one without words has none."""
 
-    def __init__(self, words: int = WORDS, remember: int = 500_000):
+    def __init__(self, words: int = WORDS, remember: int = 50_000):
         self.words, self.remember, self.known = words, remember, {}
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,9 +68,11 @@ def signatures(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     for at in range(0, len(hashes), AT_ONCE):
         x, who = hashes[at : at + AT_ONCE], owner[at : at + AT_ONCE]
         first = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
-        texts = who[first]
+        texts, y = who[first], np.empty_like(x)
         for p in range(PERMUTATIONS):
-            least = np.minimum.reduceat((x * _FACTORS[0, p] + _FACTORS[1, p]) >> np.uint64(32), first)
+            np.multiply(x, _FACTORS[0, p], out=y)
+            np.add(y, _FACTORS[1, p], out=y)
+            least = np.minimum.reduceat(y, first) >> np.uint64(32)  # the order of the upper halves is that of the whole numbers
             out[p, texts] = np.minimum(out[p, texts], least.astype(np.uint32))
     return np.ascontiguousarray(out.T)
 
@@ -126,6 +128,7 @@ def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield told(ready)
 
 
+@tidy
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of (doc_id, text) and of each text edited with the next one, by descending id; see ``edited``.
 
@@ -244,7 +247,7 @@ def near_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     dealt = lambda n: F.pmod(F.xxhash64("name"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     best = written(led.groupBy("name").agg(F.max_by("lead", F.struct("c", "lead")).alias("sig")), "best")
-    sizes = best.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("deals"))
+    sizes = best.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / FOLLOWERS).cast("int").alias("deals"))
     followers = best.join(sizes, "sig").select("sig", "name", dealt("deals").alias("deal"), F.lit(False).alias("asks"))
     leaders = sizes.select("sig", F.col("sig").alias("name"), each("deals").alias("deal"), F.lit(True).alias("asks"))
     links = searched(followers.unionByName(leaders).withColumns({"asker": F.lit(0), "root": F.col("name")}))
@@ -269,9 +272,10 @@ def near_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
         "doc_id", "h", F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
+@tidy
 def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, class_id) of the rows with an id; see ``near_classes``. ``similarity`` counts in whole hundredths."""
-    return near_classes(docs.where("doc_id IS NOT NULL"), round(similarity * 100)).select("doc_id", "class_id")
+    """(doc_id, class_id) of every row, those with a null id too; see ``near_classes``. ``similarity`` counts in whole hundredths."""
+    return near_classes(docs, round(similarity * 100)).select("doc_id", "class_id")
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
