@@ -1,13 +1,17 @@
-"""Writers: keyed tables, guarded CSV, JSON lines, payloads with a size limit, appends that keep what was first."""
+"""Writers: keyed tables, guarded CSV, JSON, payloads with a size limit, appends that keep what was first, gates."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import io
+import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrift.functions.scalars import csv_guard
+from tallyrift.sources.readers import there
 
 
 def partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
@@ -46,3 +50,106 @@ def append_first_seen(new: DataFrame, path: str, key: str) -> None:
         old = None
     rows = new.dropDuplicates([key])
     (rows if old is None else rows.join(old.select(key), key, "left_anti")).write.mode("append").parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def moved(spark: SparkSession, staging: str, path: str) -> None:
+    """Put what lies at ``staging`` in the place of ``path``; readers see the old or the new, never a part."""
+    fs, new = _file_system(spark, staging)
+    _, at = _file_system(spark, path)
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-old-{uuid.uuid4().hex}")
+    if fs.exists(at):
+        fs.rename(at, old)
+    fs.rename(new, at)
+    fs.delete(old, True)
+
+
+def whole(df: DataFrame, path: str, kind: str = "parquet", **options) -> None:
+    """Overwrite a table by way of a staging folder: a job that fails leaves what was there."""
+    staging = f"{path.rstrip('/')}-new-{uuid.uuid4().hex}"
+    df.write.format(kind).options(**options).save(staging)
+    moved(df.sparkSession, staging, path)
+
+
+def gated(df: DataFrame, path: str, passes: Callable[[DataFrame], bool]) -> bool:
+    """Overwrite a table if what was written passes; else the last good one stays. Whether it did."""
+    spark, staging = df.sparkSession, f"{path.rstrip('/')}-new-{uuid.uuid4().hex}"
+    df.write.parquet(staging)
+    if passes(spark.read.parquet(staging)):
+        moved(spark, staging, path)
+        return True
+    fs, at = _file_system(spark, staging)
+    fs.delete(at, True)
+    return False
+
+
+def keyed_json(df: DataFrame, path: str, key: str) -> None:
+    """A folder of JSON for each key: key=.../part-*.json."""
+    df.repartition(key).write.mode("overwrite").partitionBy(key).json(path)
+
+
+def one_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
+    """A single guarded CSV file with a byte order mark, as spreadsheets want it; for what is published, row by row."""
+    spark = df.sparkSession
+    fs, at = _file_system(spark, path)
+    out = fs.create(at, True)
+    try:
+        line, text = io.StringIO(), csv.writer
+        writer = text(line, lineterminator="\n")
+        writer.writerow(columns)
+        out.write(bytearray(b"\xef\xbb\xbf"))
+        for row in df.select(*(F.coalesce(csv_guard(F.col(c).cast("string")), F.lit("")).alias(c) for c in columns)).toLocalIterator():
+            writer.writerow(row)
+            if line.tell() > 1 << 20:
+                out.write(bytearray(line.getvalue().encode()))
+                line.seek(0), line.truncate()
+        out.write(bytearray(line.getvalue().encode()))
+    finally:
+        out.close()
+
+
+def rewritten(df: DataFrame, path: str, by: str, column: str, now: Column) -> dict[str, int]:
+    """Correct a column of a table in place; only partitions in which it changes are written. {changed, kept}."""
+    spark = df.sparkSession
+    told = df.withColumn("_now", now)
+    changed = ~F.col(column).eqNullSafe(F.col("_now"))
+    counts = told.agg(F.count_if(changed).alias("changed"), F.count_if(~changed).alias("kept")).first().asDict()
+    if counts["changed"]:
+        parts = told.where(changed).select(by).distinct()
+        staging = f"{path.rstrip('/')}-new-{uuid.uuid4().hex}"
+        told.join(F.broadcast(parts), by, "left_semi").withColumn(column, F.col("_now")).drop("_now").write.partitionBy(by).parquet(staging)
+        partitions(spark.read.parquet(staging), path, [by])
+        fs, at = _file_system(spark, staging)
+        fs.delete(at, True)
+    return counts
+
+
+def filled(rows: DataFrame, path: str, key: str, work: Callable[[DataFrame], DataFrame], size: int = 10, failures: int = 3) -> int:
+    """Work through the rows that ``path`` doesn't have yet, ``size`` at a time in the order of their key, each lot appended
+    as it is done; a lot that fails is tried once more, and after ``failures`` lots in a row it is given up. How many were
+    done: a run that ended early goes on where it was. ``size`` grows with what a cluster does at once.
+    """
+    spark, done, bad, after = rows.sparkSession, 0, 0, None
+    while True:
+        todo = rows.join(spark.read.parquet(path).select(key), key, "left_anti") if there(spark, path) else rows
+        lot = (todo if after is None else todo.where(F.col(key) > after)).orderBy(key).limit(size).cache()
+        last = lot.agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("k")).first()
+        try:
+            if not last["n"]:
+                return done
+            for attempt in (0, 1):
+                try:
+                    work(lot).write.mode("append").parquet(path)
+                    done, bad = done + last["n"], 0
+                    break
+                except Exception:  # noqa: BLE001  a lot's failure is its own
+                    if attempt:
+                        bad, after = bad + 1, last["k"]
+            if bad >= failures:
+                raise RuntimeError(f"{failures} lots in a row failed, the last at {last['k']}")
+        finally:
+            lot.unpersist()

@@ -51,8 +51,9 @@ def rolling_window(rows: DataFrame, key: str, order: str, today: str, into: str,
 
     def batch(df: DataFrame, number: int) -> None:
         new = first_wins([split_by_age(df, "date", F.lit(today).cast("date"), days)], key, order)
+        slots = [r["slot"] for r in new.select("slot").distinct().collect()]  # a key can only lie there; other slots aren't read
         try:
-            new = new.join(spark.read.parquet(into).select(key), key, "left_anti")
+            new = new.join(spark.read.parquet(into).where(F.col("slot").isin("current", *slots)).select(key), key, "left_anti")
         except AnalysisException as e:  # nothing is there before the first batch
             if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
@@ -63,6 +64,38 @@ def rolling_window(rows: DataFrame, key: str, order: str, today: str, into: str,
     return spark.read.parquet(into)
 
 
+def daily_counts(rows: DataFrame, time: str, by: str, into: str, checkpoint: str) -> DataFrame:
+    """(day, by, n): tumbling days. Every batch writes all counts anew, so late rows count where they belong."""
+    spark = rows.sparkSession
+    counts = rows.groupBy(F.window(time, "1 day").alias("w"), by).agg(F.count(F.lit(1)).alias("n"))
+    flat = counts.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), by, "n")
+    q = flat.writeStream.foreachBatch(lambda df, number: df.write.mode("overwrite").parquet(into)).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(into)
+
+
+def bounded(rows: DataFrame, order: str, most: int) -> DataFrame:
+    """The first ``most`` rows of a batch; the others are for the next run."""
+    return rows.orderBy(order).limit(most)
+
+
+def each_apart(parts: dict[str, DataFrame], write) -> dict[str, str]:
+    """Write each part for itself; {part: error} of those that failed, which stop no other."""
+    failed = {}
+    for name, df in parts.items():
+        try:
+            write(name, df)
+        except Exception as e:  # noqa: BLE001
+            failed[name] = f"{type(e).__name__}: {e}"[:500]
+    return failed
+
+
+def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    home = folder(spark)
+    rows = source(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return daily_counts(rows, "ts", "event_type", f"{home}/out", f"{home}/state")
+
+
 def stream_seen_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many users each first event's type brought; a user counts once."""
     home = folder(spark)
@@ -77,8 +110,9 @@ def stream_rolling_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {"stream_seen_dedup": stream_seen_dedup, "stream_rolling_window": stream_rolling_window}
+QUERIES = {"stream_daily_counts": stream_daily_counts, "stream_seen_dedup": stream_seen_dedup, "stream_rolling_window": stream_rolling_window}
 ORACLES = {
+    "stream_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stream_seen_dedup": "SELECT count(DISTINCT user_id) AS n, count(DISTINCT user_id) AS users FROM events",
     "stream_rolling_window": "SELECT CASE WHEN ts::DATE >= DATE '2024-02-10' - 30 THEN 'current' ELSE strftime(ts, '%Y-%m') END AS slot, count(*) AS n FROM events GROUP BY 1",
 }
