@@ -392,3 +392,34 @@ def all_zero_units(s, d):
 @query("confident", "SELECT event_id FROM events WHERE value / 100 >= 0.6", False)
 def confident(s, d):
     return table(s, d, "events").where(F.col("value") / 100 >= 0.6).select("event_id")
+
+
+@query("composite_inputs", """, v AS (SELECT o_custkey AS cut, count(*) AS victims FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) = 2000 GROUP BY 1), w AS (SELECT s_suppkey AS cut, s_acctbal AS workers FROM supplier)
+SELECT cut, round(CASE WHEN victims IS NULL OR CASE WHEN workers IS NULL OR workers / pop > 5 THEN pop ELSE workers END <= 0 THEN 0 ELSE victims * 1e5 / CASE WHEN workers IS NULL OR workers / pop > 5 THEN pop ELSE workers END END, 4) AS rate, workers IS NULL AS no_workers FROM dim LEFT JOIN v USING (cut) LEFT JOIN w USING (cut)""")
+def composite_inputs(s, d):
+    """Units with their victims by workers, or by population where workers are missing or too many; no victims are 0."""
+    victims = table(s, d, "orders").where((F.col("o_orderstatus") == "F") & (F.year("o_orderdate") == 2000)).groupBy(F.col("o_custkey").alias("cut")).agg(F.count(F.lit(1)).alias("victims"))
+    workers = table(s, d, "supplier").select(F.col("s_suppkey").alias("cut"), F.col("s_acctbal").alias("workers"))
+    rows = dim(s, d).join(victims, "cut", "left").join(workers, "cut", "left").withColumn("x", S.exposure_denominator(F.col("workers"), F.col("pop")))
+    rate = F.when(F.col("victims").isNull() | (F.col("x.denominator") <= 0), 0.0).otherwise(F.col("victims") * 1e5 / F.col("x.denominator"))
+    return rows.select("cut", F.round(rate, 4).alias("rate"), F.col("workers").isNull().alias("no_workers"))
+
+
+# A map's layers, by id, kind and place of their family in a payload row.
+LAYERS = [("ci", "composite", None), ("total", "family", None), ("vida", "family", 0), ("propiedad", "family", 5), ("robos_violentos", "family", 1), ("incivilidades", "family", 6), ("vif", "family", 2), ("drogas", "family", 3),
+          ("armas", "family", 4), ("homicidios", "family", None)]
+
+
+@query("map_layers", "SELECT * FROM (VALUES ('ci', 'composite', -1), ('total', 'family', -1), ('vida', 'family', 0), ('propiedad', 'family', 5), ('robos_violentos', 'family', 1), ('incivilidades', 'family', 6), ('vif', 'family', 2), ('drogas', 'family', 3), ('armas', 'family', 4), ('homicidios', 'family', -1)) t(id, kind, place)", False)
+def map_layers(s, d):
+    """The layers of a map; -1 where a layer is of no family of a row."""
+    return s.createDataFrame(LAYERS, "id string, kind string, place int").fillna(-1)
+
+
+@query("route_budget", "SELECT 2 * count(*) AS routes, 2 * count(*) <= 18000 AS within, true AS symmetric FROM (SELECT n_nationkey FROM nation UNION ALL SELECT s_suppkey FROM supplier)", False)
+def route_budget(s, d):
+    """How many pages there are, whether that is within the host's limit, and whether each has its other language's."""
+    nations = table(s, d, "nation").select(P.address_pair(("commune", "comuna"), X.slug(F.col("n_name"))).alias("p"))
+    units = table(s, d, "supplier").select(P.address_pair(("commune", "comuna"), X.slug(F.col("s_name"))).alias("p"))
+    n = F.count("p.en") + F.count("p.es")
+    return nations.unionByName(units).agg(n.alias("routes"), (n <= 18_000).alias("within"), (F.count_distinct("p.en") == F.count_distinct("p.es")).alias("symmetric"))
