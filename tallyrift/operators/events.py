@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyrift.operators.ordering import numbered
+
 
 def facet_counts(rows: DataFrame, dimensions: Sequence[str]) -> DataFrame:
     """(dimension, key, n) of each dimension in one pass, by grouping sets."""
@@ -150,13 +152,14 @@ def nearest(rows: DataFrame, unit: str, within: str, value: str, n: int, least:
     """(unit, other, gap, place): the n closest of the same group by value, the smaller unit on a tie.
 
     Values count to ``digits`` places; rows without one are left out. The n nearest of a row are among its own value and
-    the n distinct ones on either side, and of each the n smallest units other than it: windows, not a self-join. A unit
-    whose group has fewer than ``least`` others is compared with those of all groups, whose distinct values one task sorts.
+    the n distinct ones on either side, and of each the n smallest units other than it: values meet by their places in
+    order, which no task sorts as a whole. A unit whose group has fewer than ``least`` others is compared with those of
+    all groups.
     """
     rows = rows.where(F.col(value).isNotNull()).select(unit, F.col(within).alias("_pool"), F.round(value, digits).alias(value))
     if not least:
         return _nearest(rows, rows, unit, value, n, digits)
-    sized = rows.withColumn("_others", F.count(F.lit(1)).over(Window.partitionBy("_pool")) - 1)
+    sized = rows.join(rows.groupBy("_pool").agg((F.count(F.lit(1)) - 1).alias("_others")), "_pool")
     own = _nearest(sized.where(F.col("_others") >= least).drop("_others"), rows, unit, value, n, digits)
     all_ = F.lit(0).alias("_pool")
     lone = sized.where(F.col("_others") < least).select(unit, all_, value)
@@ -166,11 +169,10 @@ def nearest(rows: DataFrame, unit: str, within: str, value: str, n: int, least:
 def _nearest(asking: DataFrame, rows: DataFrame, unit: str, value: str, n: int, digits: int) -> DataFrame:
     smallest = F.row_number().over(Window.partitionBy("_pool", value).orderBy(unit))
     tops = rows.withColumn("_n", smallest).where(F.col("_n") <= n + 1).groupBy("_pool", value).agg(F.array_sort(F.collect_list(unit)).alias("_units"))
-    w = Window.partitionBy("_pool").orderBy(value)
-    near = [F.struct(F.col(value).alias("_v"), F.col("_units").alias("units"))]
-    near += [F.struct(f(value, i).over(w).alias("_v"), f("_units", i).over(w).alias("units")) for f in (F.lag, F.lead) for i in range(1, n + 1)]
-    around = asking.join(tops.select("_pool", value, F.array(*near).alias("_near")), ["_pool", value])
-    cut = around.select(unit, value, F.explode("_near").alias("x")).select(unit, value, "x._v", F.explode("x.units").alias("other")).where(F.col("other") != F.col(unit))
+    placed, _ = numbered(tops, "_at", value, within=["_pool"])  # values are distinct in their pool
+    near = placed.select("_pool", F.explode(F.sequence(F.col("_at") - n, F.col("_at") + n)).alias("_at"), F.col(value).alias("_own"))
+    around = near.join(placed, ["_pool", "_at"]).select("_pool", F.col("_own").alias(value), F.col(value).alias("_v"), "_units")
+    cut = asking.join(around, ["_pool", value]).select(unit, value, "_v", F.explode("_units").alias("other")).where(F.col("other") != F.col(unit))
     gaps = cut.select(unit, "other", F.round(F.abs(F.col("_v") - F.col(value)), digits).alias("gap"))
     placed = gaps.withColumn("place", F.row_number().over(Window.partitionBy(unit).orderBy("gap", "other")).cast("long"))
     return placed.where(F.col("place") <= n)
