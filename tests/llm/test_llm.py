@@ -92,7 +92,6 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
     import public_tokenizers
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     ids = {d: np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4") for d, x in docs.items()}
     rows = packing.op7_packing(spark, SF).collect()
@@ -165,6 +164,7 @@ def test_joins_across_blocks_and_deals(spark, monkeypatch):
     """A chain in which only neighbours are linked, with small blocks and deals."""
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
     monkeypatch.setattr(ngram_join, "SMALL", 2)
+    monkeypatch.setattr(ngram_join, "FOLLOWERS", 2)
     chain = [(i, " ".join(f"t{j}" for j in range(i * 8, i * 8 + 150))) for i in range(12)]
     rows = spark.createDataFrame([*chain, (50, " ".join(f"z{j}" for j in range(150)))], "doc_id long, text string").repartition(5)
     got = {r.doc_id: r.component_id for r in ngram_join.similar_documents(rows, 4, 85, 100).collect()}
