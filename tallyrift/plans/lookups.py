@@ -226,7 +226,8 @@ def region_files(s, d):
 # Pairs of titles, clusters
 
 def _turns(s, d):
-    return table(s, d, "conversations").select("conv_id", "turn", X.clean_title(F.col("text")).alias("title"))
+    """Whole texts as they are: case and accents count."""
+    return table(s, d, "conversations").select("conv_id", "turn", F.col("text").alias("title"))
 
 
 @query("token_set_pairs", None)

@@ -492,14 +492,14 @@ def url_scheme_guard(s, d):
     return table(s, d, "pages").where(X.safe_scheme(F.col("url"))).select("page_id")
 
 
-@query("csv_formula_guard", r"SELECT doc_id, CASE WHEN regexp_matches(text, '^[=+\-@\t\r]') THEN '''' || substr(text, 1, 40) ELSE substr(text, 1, 40) END AS cell FROM documents", False)
+@query("csv_formula_guard", r"SELECT doc_id, CASE WHEN regexp_matches(text, '^[=+\-@\t\r]') THEN '''' || text ELSE text END AS cell FROM documents", False)
 def csv_formula_guard(s, d):
-    return table(s, d, "documents").select("doc_id", X.csv_guard(F.substring("text", 1, 40)).alias("cell"))
+    return table(s, d, "documents").select("doc_id", X.csv_guard(F.col("text")).alias("cell"))
 
 
 @query("csv_formula_guard_whole", r"SELECT doc_id, sha256(CASE WHEN regexp_matches(text, '^[=+\-@\t\r]') THEN '''' || text ELSE text END) AS digest FROM documents", False)
 def csv_formula_guard_whole(s, d):
-    """As csv_formula_guard, of the whole text, by its digest."""
+    """As csv_formula_guard, by the cell's digest."""
     return table(s, d, "documents").select("doc_id", F.sha2(X.csv_guard(F.col("text")), 256).alias("digest"))
 
 
