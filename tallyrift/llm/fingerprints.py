@@ -34,7 +34,7 @@ _FACTORS = np.random.default_rng(20240229).integers(1, 2**63, (2, PERMUTATIONS),
 class Shingles:
     """Hashes of the runs of ``words`` lower-case words of texts; a shorter text is one run, one without words has none."""
 
-    def __init__(self, words: int = WORDS, remember: int = 50_000):
+    def __init__(self, words: int = WORDS, remember: int = 150_000):
         self.words, self.remember, self.known = words, remember, {}
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
