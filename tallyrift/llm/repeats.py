@@ -23,6 +23,8 @@ from tallyrift.llm.common import documents, in_set, tidy, whole, written
 LENGTH, GRAM = 200, 16
 #: Bytes of text whose grams are hashed at once, and of contexts whose suffixes are sorted at once.
 AT_ONCE, CHUNK = 1 << 20, 1 << 19
+#: Contexts that a task sorts at once.
+RUN = 1_000_000
 #: Distinct contexts of a gram beyond which its strings are dealt out one by one, each by its own hash.
 HOT = 20_000
 
@@ -165,15 +167,24 @@ _FOUND = "row long, gram long, context long, lo int, hi int, at int, n int"
 
 
 def _found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Contexts, one row for each that is distinct in the partition, n: 1 or 2 for more; with n 0, the spans of those
-    that repeat here already. So a passage of a third of all rows leaves as one row a partition."""
+    """Contexts, one row for each that is distinct in a run of RUN of them, n: 1 or 2 for more; with n 0, the spans of those
+    that repeat here already. So a passage of a third of all rows leaves as one row a run."""
     kept: list[list[np.ndarray]] = []
+    size = 0
     for rows in batches:
         own = rows["row"].to_numpy(np.int64)
         for text, gram, context, lo, hi, at in contexts([(t or "").encode("utf-8", "surrogatepass") for t in rows["text"]]):
             kept.append([own[text], _signed(gram), _signed(context), *(x.astype(np.int32) for x in (lo, hi, at))])
-    if not kept:
-        return
+            size += len(gram)
+            if size >= RUN:
+                yield from _once(kept)
+                size = 0
+    if kept:
+        yield from _once(kept)
+
+
+def _once(kept: list[list[np.ndarray]]) -> Iterator[pd.DataFrame]:
+    """The rows of a run of contexts, which is emptied."""
     row, gram, context, lo, hi, place = (np.concatenate(x) for x in zip(*kept, strict=True))
     kept.clear()
     order = np.lexsort((context, gram))

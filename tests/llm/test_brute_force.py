@@ -7,6 +7,7 @@ from itertools import islice
 from math import ceil, exp, floor, log
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,24 @@ def test_long_texts_are_cut_only_for_hashing(spark, monkeypatch):
     assert all(len(g) == 1 for g in strings.values())
 
 
+def test_contexts_in_short_runs(monkeypatch):
+    """What a run tells adds up to the same, however short the runs are."""
+    rng = random.Random(9)
+    passages = ["".join(rng.choice("abcd ") for _ in range(400)) for _ in range(6)]
+    texts = ["".join(rng.choices(passages, k=4)) + str(i) for i in range(40)]
+    batches = [pd.DataFrame({"row": range(i, i + 10), "text": texts[i : i + 10]}) for i in range(0, 40, 10)]
+
+    def told(run):
+        monkeypatch.setattr(repeats, "RUN", run)
+        rows = pd.concat(list(repeats._found(iter(batches))))
+        spans = {(r.row, x) for r in rows[rows.n == 0].itertuples() for x in range(r.lo, r.hi)}
+        seen = rows[rows.n > 0].groupby(["gram", "context"]).n.sum().clip(upper=2)
+        return seen.to_dict(), spans, len(rows)
+
+    whole, short = told(10**9), told(30)
+    assert whole[0] == short[0] and short[1] <= whole[1] and short[2] > whole[2]
+
+
 def test_repeats_in_a_text_of_70_mb(spark):
     long_ = F.expr("array_join(transform(sequence(1, 1100000), i -> sha2(cast(i as string), 256)), '')")
     passage = "".join(chr(97 + i * i % 23) for i in range(300))
