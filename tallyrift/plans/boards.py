@@ -35,9 +35,9 @@ def directory_levels(s, d):
     return told.select("cut", F.when(F.col("rate") > 0, F.col("level")).otherwise(3).alias("level"))
 
 
-@query("directory_matches", f", {_NAMED} SELECT cut FROM named WHERE contains(lower(name), '#00000001') AND region = 7 OR cut < 0")
+@query("directory_matches", f", {_NAMED} SELECT cut FROM named WHERE contains(lower(name), '#0000000') AND region = 7")
 def directory_matches(s, d):
-    return named(s, d).where(B.Board(q=" R#00000001 ", region=7, scope=("q", "region")).column()).select("cut")
+    return named(s, d).where(B.Board(q=" R#0000000 ", region=7, scope=("q", "region")).column()).select("cut")
 
 
 @query("directory_by_region", f", {_NAMED} SELECT cut, row_number() OVER (ORDER BY region DESC, name) AS n FROM named")

@@ -119,10 +119,10 @@ def enrichment(s, d):
     return M.enrich(rows, sup.where("cut % 3 = 0").select("cut", F.round("s_acctbal", 2).alias("share")), "cut", "share")
 
 
-@query("rejected_minus_incidents", "SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND ts < TIMESTAMP '2024-01-12')", False)
+@query("rejected_minus_incidents", "SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND ts < TIMESTAMP '2024-01-01 12:00:00')", False)
 def rejected_minus_incidents(s, d):
     e = table(s, d, "events")
-    return E.unseen(e.where("event_type = 'error'").select("user_id").distinct(), e.where("event_type = 'purchase' AND ts < TIMESTAMP '2024-01-12'"), "user_id")
+    return E.unseen(e.where("event_type = 'error'").select("user_id").distinct(), e.where("event_type = 'purchase' AND ts < TIMESTAMP '2024-01-01 12:00:00'"), "user_id")
 
 
 @query("consolidate_rejected", "SELECT user_id, event_id FROM ev WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY strftime(day, '%Y-%m-%d'), event_id) = 1")
