@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tallyrift.llm.common import ascii_lower, documents, tidy, unused, whole, written
 
 SLOTS, KICKS, FIRST_BUCKETS = 4, 200, 64
+#: Rows for each shard of the index, some hundreds of bytes each.
+SHARD = 1_000_000
 
 
 class CuckooIndex:
@@ -125,11 +127,14 @@ def copy_groups(rows: DataFrame) -> DataFrame:
     """Of rows (doc_id, digest): (digest, keep_id, group_size), a row for each digest.
 
     The row with the largest doc_id stays; null is smaller than any. Batches are counted before the shuffle, and each
-    shard of digests has an index of its own, whose size is that of the shard's distinct digests.
+    shard of digests has an index of its own, whose size is that of the shard's distinct digests: SHARD on average at
+    most, as there are more shards than the session has partitions where the rows need them.
     """
     kind = "digest binary, keep_id long, group_size long"
-    counted = rows.mapInPandas(_counted, kind)
-    return counted.repartition("digest").mapInPandas(_indexed, kind)
+    counted, needed = rows.mapInPandas(_counted, kind), -(-rows.count() // SHARD)
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counted.repartition("digest") if needed <= usual else counted.repartition(needed, "digest")
+    return dealt.mapInPandas(_indexed, kind)
 
 
 @tidy

@@ -301,3 +301,12 @@ def test_nothing_is_left_behind(spark, monkeypatch, tmp_path):
     with pytest.raises(ValueError):
         fails()
     assert not [p for p in tmp_path.iterdir() if p.name.startswith("lost")]
+
+
+def test_exact_groups_in_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SHARD", 3)
+    texts = [f"t{i % 7}" for i in range(40)]
+    rows = exact_dedup.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    groups = exact_dedup.copy_groups(rows)
+    assert groups.rdd.getNumPartitions() == 14
+    assert sorted((r.keep_id, r.group_size) for r in groups.collect()) == sorted((max(i for i, t in enumerate(texts) if t == k), texts.count(k)) for k in set(texts))
