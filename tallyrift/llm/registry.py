@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "pii", "quality", "fingerprints", "ngram_join", "exact_dedup", "packing", "repeats", "sharding", "toxicity", "divergence", "decontamination")
+MODULES = ("mixing", "pii", "quality", "fingerprints", "ngram_join", "exact_dedup", "packing", "repeats", "sharding", "toxicity", "divergence", "negatives", "decontamination")
 
 
 def collected() -> tuple[dict, dict]:
