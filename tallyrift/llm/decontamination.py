@@ -27,7 +27,7 @@ from tallyrift.llm.common import documents, tidy, written
 #: Words of a window; an item with fewer is one window.
 WINDOW = 10
 #: Bytes of text of a shard of the index; what a text has beyond them goes to the next, WINDOW - 1 of its words twice.
-SHARD = 3 << 20
+SHARD = 1 << 20
 #: Text positions between samples.
 EVERY = 8
 #: Rows (window, item) of a batch, and places that are located at once.
@@ -127,14 +127,13 @@ class ShardIndex:
             i = np.where(bit == 1, self.zeros[level] + ones, i - ones)
         return i
 
-    def search(self, phrases: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``phrases``: numbers of their words here, or -1, a column from the last word backwards for each, -2 beyond the
-        first. (phrase, from, upto): rows of the suffixes that begin with it."""
-        steps = np.array(phrases)
-        who = np.flatnonzero((steps != -1).all(axis=0) & (steps[0] >= 0)) if len(steps) else np.zeros(0, np.int64)
-        symbols = steps[0][who] if len(steps) else who
+    def search(self, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``steps``: a column for each phrase, from its last word backwards numbers of words here, or -1, and -2 before
+        its first. (phrase, from, upto): rows of the suffixes that begin with it."""
+        who = np.flatnonzero((steps != -1).all(axis=0))
+        symbols = steps[0][who]
         low, high = self.first[symbols], self.first[symbols + 1]
-        some = np.unique(steps[steps >= 0]) if len(steps) else who
+        some = np.unique(steps[steps >= 0])
         base = np.zeros(len(self.first), np.int64)
         base[some] = self.first[some] - self._down(some, np.zeros(len(some), np.int64))
         for k in range(1, len(steps)):
@@ -251,9 +250,11 @@ def corpus_index(docs: DataFrame, shard: int = SHARD) -> DataFrame:
 
 
 def phrase_batches(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(windows, items): the windows of ``items`` (item_id, text), their words joined by blanks, and the items they are of.
+    """(words, steps, items, known): the windows of ``items`` (item_id, text) and the items they are of, in batches.
 
-    Items without words have none. A window that several items have is there for each. Rows are dealt by the window.
+    words are a batch's different words; steps has a row for each place from a window's last word backwards, with numbers of
+    words, -2 before a short window's first. Items without words have no windows. A window that several items have is
+    there for each. Windows are dealt by their words.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,57 +269,77 @@ def phrase_batches(items: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.binary())), pa.array([part.column(1).to_pylist()], pa.list_(pa.int64()))], ["windows", "items"])
+                windows = [w.split(b" ")[::-1] for w in part.column(0).to_pylist()]
+                numbers: dict[bytes, int] = {}
+                steps = np.full((window, len(windows)), -2, np.int32)
+                for i, w in enumerate(windows):
+                    steps[: len(w), i] = [numbers.setdefault(x, len(numbers)) for x in w]
+                of = part.column(1)
+                cells = [b"\n".join(numbers), steps.tobytes(), of.fill_null(0).to_numpy().tobytes(), of.is_valid().to_numpy(zero_copy_only=False).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in cells], ["words", "steps", "items", "known"])
 
     rows = written(items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(cut, "window binary, item long").distinct(), "windows")
-    return rows.repartition(max(1, -(-rows.count() // BATCH)), "window").mapInArrow(packed, "windows array<binary>, items array<long>")
+    return rows.repartition(max(1, -(-rows.count() // BATCH)), "window").mapInArrow(packed, "words binary, steps binary, items binary, known binary")
 
 
-def _found(row: dict) -> Iterator[pa.RecordBatch]:
+class _Phrases:
+    """A batch of ``phrase_batches``."""
+
+    def __init__(self, row: dict):
+        self.of = row["words"], row["steps"]
+        self.words = row["words"].split(b"\n")
+        self.items, self.known = np.frombuffer(row["items"], np.int64), np.frombuffer(row["known"], bool)
+        self.steps = np.frombuffer(row["steps"], np.int32).reshape(-1, len(self.items))
+        self.sizes = (self.steps >= 0).sum(axis=0)
+
+    def within(self, vocabulary: list[bytes]) -> np.ndarray:
+        """The steps in a shard's numbers, -1 for words that it doesn't have."""
+        numbers = {w: i for i, w in enumerate(vocabulary, 2)}
+        own = np.array([*(numbers.get(w, -1) for w in self.words), -2], np.int64)
+        return own[np.where(self.steps < 0, len(self.words), self.steps)]
+
+
+def _found(row: dict, phrases: _Phrases) -> Iterator[pa.RecordBatch]:
     """What a batch of phrases finds in a shard: (key, spans, items) of each text with a window."""
     index = ShardIndex.loaded(row)
-    numbers = {w: i for i, w in enumerate(index.vocabulary, 2)}
-    windows = [w.split(b" ")[::-1] for w in row["windows"]]
-    longest = max(map(len, windows), default=0)
-    steps = [np.array([(numbers.get(w[k], -1) if k < len(w) else -2) for w in windows], np.int64) for k in range(longest)]
-    which, low, high = index.search(steps)
-    starts = np.cumsum([0, *(p["length"] + 1 for p in row["pieces"])])
-    sizes = np.array([len(w) for w in windows], np.int64)
-    edges = np.zeros(int(starts[-1]) + 1, np.int64)
-    piece_keys = np.array([p["key"] for p in row["pieces"]], np.int64)
-    of: set[tuple[int, int]] = set()
+    which, low, high = index.search(phrases.within(index.vocabulary))
     n = high - low
     upto, total = np.cumsum(n), int(n.sum())
+    if not total:
+        return
+    lengths, keys, begins = (np.array([p[c] for p in row["pieces"]], np.int64) for c in ("length", "key", "start"))
+    starts = np.concatenate([[0], np.cumsum(lengths + 1)])
+    edges = np.zeros(int(starts[-1]) + 1, np.int64)
+    of: set[tuple[int, int]] = set()
     for at in range(0, total, AT_ONCE):
         nth = np.arange(at, min(total, at + AT_ONCE))
         w = np.searchsorted(upto, nth, "right")
-        places = index.locate(low[w] + nth - (upto[w] - n[w]))
+        places, w = index.locate(low[w] + nth - (upto[w] - n[w])), which[w]
         np.add.at(edges, places, 1)
-        np.add.at(edges, places + sizes[which[w]], -1)
-        texts = piece_keys[np.searchsorted(starts, places, "right") - 1]
-        pairs = np.unique(np.stack([texts, which[w]]), axis=1)
+        np.add.at(edges, places + phrases.sizes[w], -1)
+        known = phrases.known[w]
+        pairs = np.unique(np.stack([keys[np.searchsorted(starts, places[known], "right") - 1], phrases.items[w[known]]]), axis=1)
         of.update(zip(pairs[0].tolist(), pairs[1].tolist(), strict=True))
-    if not total:
-        return
-    hit = np.concatenate([[0], (np.cumsum(edges) > 0).astype(np.int8), [0]])
-    turn = np.diff(hit)
+    turn = np.diff(np.concatenate([[0], (np.cumsum(edges) > 0).astype(np.int8), [0]]))
     begin, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
     piece = np.searchsorted(starts, begin, "right") - 1
-    shift = np.array([p["start"] for p in row["pieces"]], np.int64)[piece] - starts[piece]
-    spans, items = defaultdict(list), defaultdict(set)
-    for key, a, b in zip(piece_keys[piece].tolist(), (begin + shift).tolist(), (end + shift).tolist(), strict=True):
+    shift = begins[piece] - starts[piece]
+    spans, items = defaultdict(list), defaultdict(list)
+    for key, a, b in zip(keys[piece].tolist(), (begin + shift).tolist(), (end + shift).tolist(), strict=True):
         spans[key].append({"start": a, "stop": b})
-    for key, w in of:
-        if (item := row["items"][w]) is not None:
-            items[key].add(item)
-    keys = list(spans)
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([spans[k] for k in keys], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array([sorted(items[k]) for k in keys], pa.list_(pa.int64()))], ["key", "spans", "items"])
+    for key, item in of:
+        items[key].append(item)
+    yield pa.RecordBatch.from_arrays([pa.array(list(spans), pa.int64()), pa.array(list(spans.values()), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array([items[k] for k in spans], pa.list_(pa.int64()))], ["key", "spans", "items"])
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    phrases = None
     for batch in batches:
         for i in range(batch.num_rows):
-            yield from _found(batch.slice(i, 1).to_pylist()[0])
+            row = batch.slice(i, 1).to_pylist()[0]
+            if phrases is None or phrases.of != (row["words"], row["steps"]):
+                phrases = _Phrases(row)
+            yield from _found(row, phrases)
 
 
 @F.pandas_udf(ArrayType(StructType([StructField("start", LongType()), StructField("stop", LongType())])))

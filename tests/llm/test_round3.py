@@ -160,7 +160,7 @@ def test_index_against_lists():
         assert list(D.suffix_array(text)) == sorted(range(len(text)), key=lambda i: list(text[i:]))
         index = D.ShardIndex.loaded(D.ShardIndex.of([b"w%d" % i for i in range(k)], text).stored())
         phrases = [[rng.randint(2, k + 1) for _ in range(rng.randint(1, 4))] for _ in range(8)]
-        steps = [np.array([p[::-1][i] if i < len(p) else -2 for p in phrases]) for i in range(4)]
+        steps = np.array([[p[::-1][i] if i < len(p) else -2 for p in phrases] for i in range(4)])
         found = {w: sorted(index.locate(np.arange(a, b)).tolist()) for w, a, b in zip(*map(list, index.search(steps)), strict=True)}
         for w, p in enumerate(phrases):
             assert found.get(w, []) == [i for i in range(len(text)) if list(text[i : i + len(p)]) == p]
