@@ -254,7 +254,7 @@ def phrase_batches(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
     words are a batch's different words; steps has a row for each place from a window's last word backwards, with numbers of
     words, -2 before a short window's first. Items without words have no windows. A window that several items have is
-    there for each. Windows are dealt by their words.
+    there for each. There are as many batches as the windows need, however many partitions the session has.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,7 +279,7 @@ def phrase_batches(items: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in cells], ["words", "steps", "items", "known"])
 
     rows = written(items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(cut, "window binary, item long").distinct(), "windows")
-    return rows.repartition(max(1, -(-rows.count() // BATCH)), "window").mapInArrow(packed, "words binary, steps binary, items binary, known binary")
+    return rows.repartition(max(1, -(-rows.count() // BATCH))).mapInArrow(packed, "words binary, steps binary, items binary, known binary")
 
 
 class _Phrases:
