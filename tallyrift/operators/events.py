@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,24 +111,6 @@ def digest_ranges(rows: DataFrame, value: str, by: Sequence[str] = (), sep: str
     return told.select(*by, F.sha2(F.array_join(F.col("x.digest"), sep), 256).alias("digest"), "n")
 
 
-def greedy_titles(rows: DataFrame, block: Sequence[str], order: str, title: str, least: float = 0.82) -> DataFrame:
-    """Rows of each block whose title is less similar than ``least`` to all kept before it. The order decides; that is
-    why a block is one task, and why blocks should be small: the comparison is quadratic in them."""
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        kept: list[str] = []
-        flags = []
-        for t in pdf[title].fillna(""):
-            new = all(SequenceMatcher(None, t, k).ratio() < least for k in kept)
-            flags.append(new)
-            if new:
-                kept.append(t)
-        return pdf[flags]
-
-    return rows.groupBy(*block).applyInPandas(keep, rows.schema)
-
-
 def block_pairs(rows: DataFrame, block: Sequence[str], order: str) -> DataFrame:
     """All pairs a before b of a block, as the reference queries ask for them; blocks are small by their keys."""
     b = rows.select(*block, *(F.col(c).alias(f"{c}_b") for c in rows.columns if c not in block))

@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tallyrift.functions.scalars import norm, slug
+from tallyrift.lineage import Scratch
 
-#: Where local sessions cut lineage; a cluster's session names a shared folder.
-LOCAL_FOLDER = "/tmp/checkpoints/tallyrift"
 #: Sizes of a cluster; larger components are flagged, single ones dropped.
 SMALLEST, LARGEST = 2, 4
 #: Points out of 100 from which a pair of titles is proposed.
@@ -128,41 +127,34 @@ def token_set(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
 def scored_pairs(rows: DataFrame, block: Sequence[str], order: str, title: str, least: float = PROPOSED) -> DataFrame:
     """(block, one, other, score, proposed): all pairs of a block in order, with ``token_set_ratio`` of their titles.
 
-    Which pairs are kept is up to the caller; the reference keeps proposed ones, and all of some chosen blocks. A block's
-    pairs are dealt by the join, so a block's work is as large as the square of its rows.
+    For blocks all of whose pairs are asked for, as the reference asks for those of some chosen ones; the result has a row
+    for each. Where only proposed pairs count, ``titles.proposed_pairs`` makes no others.
     """
     side = lambda name: rows.select(*block, F.col(order).alias(name), F.col(title).alias(f"_{name}"))
     pairs = side("one").join(side("other"), list(block)).where("one < other").repartition(*block, "one")
     return pairs.select(*block, "one", "other", token_set("_one", "_other").alias("score")).withColumn("proposed", F.col("score") >= least)
 
 
-def _kept(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, in the folder that all executors share."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(LOCAL_FOLDER)
-    return df.checkpoint()
-
-
 def components(edges: DataFrame, one: str, other: str) -> DataFrame:
     """(node, root): root is the smallest node of the node's component.
 
     Every round each node takes the smallest label of its neighbours, and then its label's own; so paths halve, and there
-    are about as many rounds as the logarithm of the longest.
+    are about as many rounds as the logarithm of the longest. A round's labels are written, those of the round before deleted.
     """
-    spark = edges.sparkSession
     pairs = edges.select(F.col(one).alias("a"), F.col(other).alias("b"))
-    both = _kept(spark, pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    labels = _kept(spark, both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
-        took = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
-        own = took.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        jumped = _kept(spark, took.join(own, "root", "left").select("node", "old", F.coalesce("next", "root").alias("root")))
-        labels = jumped.select("node", "root")
-        if jumped.where("old != root").isEmpty():
-            return labels
+    with Scratch(edges.sparkSession, "components") as scratch:
+        both = scratch.keep(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "both")
+        labels = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
+        while True:
+            near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
+            took = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
+            own = took.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            jumped = scratch.keep(took.join(own, "root", "left").select("node", "old", F.coalesce("next", "root").alias("root")), "labels")
+            scratch.forget(labels)
+            labels = jumped
+            if jumped.where("old != root").isEmpty():
+                scratch.forget(both)
+                return jumped.select("node", "root")
 
 
 def clusters(edges: DataFrame, one: str, other: str, smallest: int = SMALLEST, largest: int = LARGEST) -> DataFrame:

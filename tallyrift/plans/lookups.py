@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyrift.functions import scalars as X
 from tallyrift.operators import events as E
 from tallyrift.operators import matching as M
+from tallyrift.operators import titles
 from tallyrift.plans.queries import LAST, REFERENCE, dim, ev, query, r6, rates, ref, table, totals
 
 
@@ -233,16 +234,34 @@ def _turns(s, d):
 @query("token_set_pairs", None)
 def token_set_pairs(s, d):
     """The proposed pairs of each block."""
-    return M.scored_pairs(_turns(s, d), ["conv_id"], "turn", "title").where("proposed").select("conv_id", "one", "other", F.round("score", 6).alias("score"))
+    return titles.proposed_pairs(_turns(s, d), ["conv_id"], "turn", "title").withColumn("score", F.round("score", 6))
+
+
+#: Ten pairs of names that are easily taken for one another, with their codes and a headline each.
+CONFUSABLE = (
+    ("Los Andes", "5301", "Robo con violencia registrado en Los Andes", "Los Angeles", "8301", "Detienen a sospechoso de hurto en Los Angeles"),
+    ("Quilaco", "8308", "Denuncian abigeato en sector rural de Quilaco", "Quilleco", "8309", "Incendio intencional afecta bodega en Quilleco"),
+    ("San Carlos", "16301", "Riña con arma blanca deja un herido en San Carlos", "San Pablo", "10307", "Sustraen vehículo estacionado en San Pablo"),
+    ("Colina", "13301", "Vecinos denuncian estafa telefónica en Colina", "Molina", "7304", "Encuentran vehículo con encargo por robo en Molina"),
+    ("Caldera", "3102", "Fiscalización detecta contrabando en el puerto de Caldera", "Calera", "5502", "Detienen a conductor en estado de ebriedad en Calera"),
+    ("Chanco", "7202", "Incautan drogas en control vehicular en Chanco", "Lanco", "14103", "Denuncian violencia intrafamiliar en Lanco"),
+    ("Cochrane", "11301", "Reportan extravío de turista en Cochrane", "Colchane", "1403", "Carabineros detecta ingreso irregular de migrantes en Colchane"),
+    ("Pemuco", "16105", "Vecinos denuncian corte de cercos y abigeato en Pemuco", "Penco", "8107", "Riña vecinal termina con detenido en Penco"),
+    ("Peumo", "6112", "Roban maquinaria agrícola en Peumo", "Pirque", "13202", "Detienen a conductor tras persecución en Pirque"),
+    ("Talca", "7101", "Asalto a local comercial en el centro de Talca", "Taltal", "2104", "Naufragio de embarcación menor reportado en Taltal"),
+)
 
 
 @query("golden_draft", None)
 def golden_draft(s, d):
-    """All pairs of the chosen block, the proposed ones of further blocks, and pairs that belong to no block."""
-    rows = M.scored_pairs(_turns(s, d), ["conv_id"], "turn", "title").withColumn("chosen", F.col("conv_id") == 1)
-    kept = rows.where("chosen OR proposed").select("conv_id", "one", "other", "proposed", F.when(F.col("chosen"), "mandatory").otherwise("sampled").alias("category"))
-    made = s.createDataFrame([(-1, 2 * i, 2 * i + 1, True, "confusable") for i in range(10)], "conv_id long, one long, other long, proposed boolean, category string")
-    return kept.unionByName(made)
+    """All pairs of the chosen block, the proposed ones of further blocks, and the fixed pairs that belong to no block: a pair's
+    place among them is its id, their score is that of any pair."""
+    turns = _turns(s, d)
+    chosen = M.scored_pairs(turns.where("conv_id = 1"), ["conv_id"], "turn", "title").select("conv_id", "one", "other", "score", "proposed", F.lit("mandatory").alias("category"))
+    sampled = titles.proposed_pairs(turns.where("conv_id != 1"), ["conv_id"], "turn", "title").select("conv_id", "one", "other", "score", F.lit(True).alias("proposed"), F.lit("sampled").alias("category"))
+    made = s.createDataFrame([(int(x[1]), int(x[4]), x[2], x[5]) for x in CONFUSABLE], "one long, other long, a string, b string")
+    fixed = made.select(F.lit(-1).cast("long").alias("conv_id"), "one", "other", M.token_set("a", "b").alias("score"), F.lit(True).alias("proposed"), F.lit("confusable").alias("category"))
+    return chosen.unionByName(sampled).unionByName(fixed).withColumn("score", F.round("score", 6))
 
 
 @query("cluster_components", """, x AS (SELECT event_id, user_id, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS was FROM events),

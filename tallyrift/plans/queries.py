@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyrift.functions import scalars as X
 from tallyrift.operators import events as E
 from tallyrift.operators import stats as S
+from tallyrift.operators import titles
 
 LAST, REFERENCE = 2001, 2000
 FAMILIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -604,7 +605,25 @@ def pairs_in_block(s, d):
 def dedup_greedy(s, d):
     """Turns of a conversation, each compared with those kept before it; the whole texts count, normalised."""
     rows = table(s, d, "conversations").select("conv_id", "turn", X.title_key(F.col("text")).alias("title"))
-    return E.greedy_titles(rows, ["conv_id"], "turn", "title").select("conv_id", "turn")
+    return titles.greedy_titles(rows, ["conv_id"], "turn", "title").select("conv_id", "turn")
+
+
+#: The ratio of two short texts: twice the characters in matching blocks over all. The longest common run comes first, the
+#: earliest in the one and then in the other, and then what lies before it and behind it, until nothing matches.
+_RATIO = """, runs AS (SELECT k, a, b, 0 AS i0, len(a) AS i1, 0 AS j0, len(b) AS j1, 0 AS got FROM two
+ UNION ALL SELECT k, a, b, CASE side WHEN 0 THEN i0 ELSE i + n END, CASE side WHEN 0 THEN i ELSE i1 END, CASE side WHEN 0 THEN j0 ELSE j + n END, CASE side WHEN 0 THEN j ELSE j1 END, CASE side WHEN 0 THEN n ELSE 0 END
+ FROM (SELECT r.*, best.i, best.j, best.n FROM runs r, LATERAL (SELECT i, j, n FROM unnest(range(r.i0, r.i1)) x(i), unnest(range(r.j0, r.j1)) y(j), unnest(range(1, 40)) z(n)
+   WHERE n <= r.i1 - i AND n <= r.j1 - j AND substr(r.a, i::INT + 1, n::INT) = substr(r.b, j::INT + 1, n::INT) ORDER BY n DESC, i, j LIMIT 1) best), (VALUES (0), (1)) s(side)),
+ratio AS (SELECT k, CASE WHEN len(any_value(a)) + len(any_value(b)) = 0 THEN 1 ELSE 2.0::DOUBLE * sum(got) / (len(any_value(a)) + len(any_value(b))) END AS ratio FROM runs GROUP BY k)
+"""
+
+
+@query("dedup_greedy_pairs", """WITH RECURSIVE named AS (SELECT p_partkey, p_partkey // 2 AS k, p_name || ' ' || lower(p_type) AS t FROM part),
+two AS (SELECT x.k, y.t AS a, x.t AS b FROM named x JOIN named y ON x.k = y.k AND x.p_partkey % 2 = 0 AND y.p_partkey % 2 = 1)""" + _RATIO + "SELECT p_partkey FROM named LEFT JOIN ratio USING (k) WHERE p_partkey % 2 = 0 OR coalesce(ratio, 0) < 0.82", False)
+def dedup_greedy_pairs(s, d):
+    """Parts two by two: the second goes if it is like the first."""
+    rows = table(s, d, "part").select("p_partkey", F.floor(F.col("p_partkey") / 2).alias("k"), X.title_key(F.concat_ws(" ", "p_name", "p_type")).alias("title"))
+    return titles.greedy_titles(rows, ["k"], "p_partkey", "title").select("p_partkey")
 
 
 @query("cluster_digest", "SELECT user_id, sha256(string_agg(event_id::VARCHAR, ',' ORDER BY event_id::VARCHAR)) AS digest, count(*) AS n FROM ev GROUP BY user_id")

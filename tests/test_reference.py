@@ -6,6 +6,7 @@ from tallyrift.functions import scalars as X
 from tallyrift.operators import events as E
 from tallyrift.operators import matching as M
 from tallyrift.operators import stats as S
+from tallyrift.operators import titles
 from tallyrift.plans import registry as Q
 from tallyrift.sources import readers as R
 from tallyrift.streaming import jobs
@@ -75,7 +76,7 @@ def test_token_set_ratio():
 
 def test_greedy_keeps_first_of_similar_titles(spark):
     t = spark.createDataFrame([(1, 1, "robbery at the bank"), (1, 2, "robbery at the bank!"), (1, 3, "storm"), (2, 1, "robbery at the bank")], "b int, o int, t string")
-    assert sorted((r.b, r.o) for r in E.greedy_titles(t, ["b"], "o", "t").collect()) == [(1, 1), (1, 3), (2, 1)]
+    assert sorted((r.b, r.o) for r in titles.greedy_titles(t, ["b"], "o", "t").collect()) == [(1, 1), (1, 3), (2, 1)]
 
 
 def test_nearest_takes_the_smaller_unit_on_a_tie(spark):
