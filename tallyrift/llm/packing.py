@@ -17,15 +17,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrift.llm.common import documents, tidy, written
+from tallyrift.llm.common import documents, small_side, tidy, written
 
 LENGTH, END = 2048, 1
 #: Pieces that are packed together. What a bundle wastes is its few last, half-filled sequences.
 BUNDLE = 4000
 #: Blank runs that tiktoken's matcher is not given; it fails between 100,000 and 1,000,000.
 _BLANK = re.compile(r"\s{10000}")
-#: A row's place in a mixture.
-PLACE = ("slot", "seat")
+#: What is known of a piece.
+_PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
 
 
 class CapacityTree:
@@ -79,12 +79,6 @@ def best_fit_decreasing(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.
     return window, offset
 
 
-def _place(df: DataFrame) -> list[str]:
-    """PLACE, if ``df`` has both as whole numbers; columns of these names and other kinds are none of this module's."""
-    kinds = dict(df.dtypes)
-    return list(PLACE) if all(kinds.get(c) in ("int", "bigint") for c in PLACE) else []
-
-
 @lru_cache(1)
 def _encoder(ranks_path: str, pattern: str, path: str) -> Callable[[str], Sequence[int]]:
     """The ids that the tokenizer of ``path`` gives a text, without a template's.
@@ -116,66 +110,78 @@ def tokenizer_files() -> tuple[str, str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")
 
 
-def cut(docs: DataFrame, length: int = LENGTH, end: int = END, vocabulary: tuple[str, str, str] | None = None) -> DataFrame:
+def cut(docs: DataFrame, length: int = LENGTH, end: int = END, vocabulary: tuple[str, str, str] | None = None, place: Sequence[str] = ()) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens) of each text's ids with ``end`` behind them.
 
     A null text is the empty one, whose only id is ``end``. Every piece but a document's last is a full window. Of the
-    ids only checksums leave the task: packing needs lengths alone. Slot and seat, where ``docs`` has them as whole numbers,
-    stay; other columns don't. Repeated rows and null ids are cut each for itself; an empty table has no pieces.
+    ids only checksums leave the task: packing needs lengths alone. ``place`` names the columns of a row's place in a mixture, whole
+    numbers, which stay; others don't, whatever their names. Repeated rows and null ids are cut each for itself; an empty
+    table has no pieces.
     """
     files = vocabulary or tokenizer_files()
-    place = _place(docs)
+    if set(place) & set(_PIECE):
+        raise ValueError(f"a place can't be named like one of {_PIECE}")
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoder(*files)
         for rows in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", *place)}
-            for doc, text, *at_ in zip(rows["doc_id"].array, rows["text"], *(rows[c] for c in place), strict=True):
+            out: dict[str, list] = {k: [] for k in (*_PIECE, *place)}
+            for doc, text, *at_ in zip(rows["doc_id"].array, rows["text"], *(rows[c].array for c in place), strict=True):
                 ids = np.array([*encode(text or ""), end], "<u4")
                 for at in range(0, len(ids), length):
                     part = ids[at : at + length]
                     for k, v in zip(out, (doc, at, len(part), zlib.crc32(part.tobytes()), len(ids), *at_), strict=True):
                         out[k].append(v)
-            yield pd.DataFrame(out | {"doc_id": pd.array([None if pd.isna(x) else int(x) for x in out["doc_id"]], dtype="Int64")})
+            whole = {k: pd.array([None if pd.isna(x) else int(x) for x in out[k]], dtype="Int64") for k in ("doc_id", *place)}
+            yield pd.DataFrame(out | whole)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).cast("long").alias(c) for c in place)).mapInPandas(pieces, _kind(place))
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).cast("long").alias(c) for c in place)).mapInPandas(
-        pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + "".join(f", {c} long" for c in place))
+def _kind(place: Sequence[str], *more: str) -> str:
+    return ", ".join(f"{c} long" for c in (*_PIECE, *place, *more))
 
 
-def pack(pieces: DataFrame, length: int = LENGTH, bundle: int = BUNDLE) -> DataFrame:
+def pack(pieces: DataFrame, length: int = LENGTH, bundle: int = BUNDLE, place: Sequence[str] = ()) -> DataFrame:
     """``pieces`` with sequence_id and offset.
 
-    Pieces with slot and seat are dealt to bundles by ranges of slots, of ``bundle`` pieces on average, and sequences are
-    numbered by the first place in the mixture among their pieces; within a bundle lengths decide what shares one. Others are dealt by a hash of their place in the
+    With ``place``, columns of whole numbers of which the first counts from one end of a mixture to the other, pieces are
+    dealt to bundles by ranges of it, of ``bundle`` pieces on average, and sequences are numbered by the first place
+    among their pieces; within a bundle lengths decide what shares one. A range with over twice as many pieces, as where
+    places are alike, is dealt further by a hash, and so are pieces without a place, behind the others. Without ``place`` all are dealt by a hash of their place in the
     document and their content. Each bundle is packed on its own in one task's memory; so no task grows with the corpus.
     Equal rows are packed each for itself. An empty table gives an empty table.
     """
-    place = _place(pieces)
-    mixed = bool(place)
-    sizes = pieces.agg(F.count(F.lit(1)).alias("n"), (F.max("slot") if mixed else F.lit(None)).alias("last")).first()
+    first = F.col(place[0]) if place else F.lit(None).cast("long")
+    sizes = pieces.agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first"), F.max(first).alias("last")).first()
     bundles = max(1, -(-sizes["n"] // bundle))
-    order = [*PLACE, "start"] if mixed else ["doc_id", "start", "ids_crc32"]
+    spread = F.xxhash64("doc_id", "start", "ids_crc32", *place)
+    deal, further = F.pmod(spread, F.lit(bundles)), F.lit(0).cast("long")
+    dealt = pieces
+    if place:
+        width = -(-((sizes["last"] or 0) - (sizes["first"] or 0) + 1) // bundles)
+        deal = F.coalesce(F.floor((first - F.lit(sizes["first"] or 0)) / F.lit(width)), deal + bundles)
+        many = pieces.groupBy(deal.alias("_many")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 2 * bundle)
+        dealt = pieces.withColumn("_bundle", deal).join(small_side(many), F.col("_bundle") == F.col("_many"), "left")
+        further = F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64(spread), F.least(F.ceil(F.col("_n") / bundle), F.lit(1 << 20)))).otherwise(0)
+    order = [*place, "start", "doc_id", "ids_crc32"] if place else ["doc_id", "start", "ids_crc32"]
 
     def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable", na_position="first")
         window, offset = best_fit_decreasing(rows["length"].to_numpy(np.int64), length)
-        if mixed:
-            first = np.unique(window, return_index=True)[1]
-            window = np.argsort(np.argsort(first))[window]
-        return rows.drop(columns="_bundle").assign(sequence_id=int(key[0]) * 2**32 + window, offset=offset)
+        if place:
+            begin = np.unique(window, return_index=True)[1]
+            window = np.argsort(np.argsort(begin))[window]
+        return rows.drop(columns=["_bundle", "_further"]).assign(sequence_id=(int(key[0]) << 40) + (int(key[1]) << 20) + window, offset=offset)
 
-    if mixed:
-        deal = F.floor(F.col("slot") / F.lit(-(-((sizes["last"] or 0) + 1) // bundles)))
-    else:
-        deal = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(bundles))
-    return pieces.withColumn("_bundle", deal).groupBy("_bundle").applyInPandas(
-        packed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + "".join(f", {c} long" for c in place) + ", sequence_id long, offset long")
+    named = dealt.withColumns({"_bundle": deal, "_further": further}).select(*_PIECE, *place, "_bundle", "_further")
+    return named.groupBy("_bundle", "_further").applyInPandas(packed, _kind(place, "sequence_id", "offset"))
 
 
 @tidy
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in sequences of at most 2048 ids; see ``cut`` and ``pack``."""
-    return pack(written(cut(documents(spark, sf_dir)), "pieces"))
+    """All documents in sequences of at most 2048 ids; see ``cut`` and ``pack``. Of the table doc_id and text are read."""
+    return pack(written(cut(documents(spark, sf_dir).select("doc_id", "text")), "pieces"))
 
 
 QUERIES = {"op7_packing": op7_packing}

@@ -243,8 +243,8 @@ def test_packing_follows_the_mixture(spark):
         slots[heavy] = {r.doc_id: (r.slot, r.seat, r.sequence_id) for r in rows}
     assert len(slots["a"]) == 641 and slots["a"] != slots["b"]
     pieces = spark.createDataFrame([(i, 0, 1500, 0, 1500, i // 16, i % 16) for i in range(300)], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, slot long, seat long")
-    rows = packing.pack(pieces.repartition(3), bundle=50).orderBy("sequence_id").collect()
-    assert [r.doc_id for r in rows] == list(range(300)) and len({r.sequence_id >> 32 for r in rows}) > 3
+    rows = packing.pack(pieces.repartition(3), bundle=50, place=("slot", "seat")).orderBy("sequence_id").collect()
+    assert [r.doc_id for r in rows] == list(range(300)) and len({r.sequence_id >> 40 for r in rows}) > 3
     assert {"slot", "seat"} <= set(corpus_pipeline.mixing_stage(spark, docs, SF).columns)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyrift.llm import decontamination as D
 from tallyrift.llm import divergence as V
 from tallyrift.llm import negatives as N
+from tallyrift.llm import packing as P
 
 SF = "/root/testdata/sf0.001"
 
@@ -210,3 +211,44 @@ def test_decontamination_against_a_plain_version(spark, monkeypatch, shard):
 def test_text_without_spans():
     assert D.without("One, two three; four.", [{"start": 1, "stop": 3}]) == "One, ; four."
     assert D.without(None, []) == "" and D.without("ñ Ñ x", [{"start": 0, "stop": 2}]) == " x"
+
+
+# packing
+
+def test_best_fit_against_a_scan_of_open_windows():
+    rng = random.Random(4)
+    for _ in range(60):
+        most = rng.choice([1, 2, 10, 63, 64, 2048])
+        lengths = np.array([rng.randint(1, most) for _ in range(rng.randint(0, 200))], np.int64)
+        window, offset = P.best_fit_decreasing(lengths, most)
+        room: list[int] = []
+        for i in np.argsort(-lengths, kind="stable"):
+            tight = min((r for r in room if r >= lengths[i]), default=None)
+            if window[i] == len(room):
+                assert tight is None
+                room.append(most)
+            else:
+                assert room[window[i]] == tight
+            assert offset[i] == most - room[window[i]]
+            room[window[i]] -= int(lengths[i])
+
+
+@pytest.mark.parametrize("slots", ["NULL", "0", "-doc_id", "if(doc_id % 3 = 0, NULL, doc_id)", "if(doc_id = 5, 9000000000000000, doc_id)"])
+def test_packing_reads_no_column_that_it_is_not_told(spark, tmp_path, slots):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs.withColumns({"slot": F.expr(slots).cast("long"), "seat": F.expr(slots).cast("long")})
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = lambda d: sorted(map(tuple, P.op7_packing(spark, d).collect()))
+    assert rows(str(tmp_path)) == rows(SF)
+    pieces = P.written(P.cut(odd, place=("slot", "seat")), "pieces")
+    got = P.pack(pieces, bundle=20, place=("slot", "seat")).collect()
+    assert len(got) == pieces.count() and Counter(len(str(r.ids_crc32)) for r in got)
+    filled = defaultdict(list)
+    for r in got:
+        filled[r.sequence_id].append((r.offset, r.length))
+    for parts in filled.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 2048
+    assert max(Counter(r.sequence_id >> 20 for r in got).values()) <= 60
+    with pytest.raises(ValueError):
+        P.cut(odd, place=("start", "seat"))
