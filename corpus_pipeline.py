@@ -13,6 +13,10 @@ from tallyrift.llm import exact_dedup, mixing, ngram_join, packing, toxicity
 from tallyrift.llm.common import documents, tidy, written
 
 
+#: A row's place in the mixture, as the mixing stage names it.
+PLACE = ("slot", "seat")
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts whose worst window scores as toxic go."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -35,7 +39,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all texts and their places in sequences, which follow the mixture."""
-    return packing.pack(written(packing.cut(docs), "pieces"))
+    return packing.pack(written(packing.cut(docs, place=PLACE), "pieces"), place=PLACE)
 
 
 STAGES = [("toxicity", toxicity_stage), ("exact dedup", exact_stage), ("n-gram jaccard join", near_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
