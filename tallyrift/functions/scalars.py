@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -267,21 +268,63 @@ def neutral_name(name: Column) -> Column:
     return F.when(~bad | name.isNull(), name).otherwise(F.raise_error(F.concat(F.lit("forbidden word in list name: "), name)))
 
 
+def _blocked_quad(a: Column, b: Column, c: Column) -> Column:
+    """Private, local, reserved and multicast IPv4 addresses by their first three bytes."""
+    return (a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31))
+            | ((a == 192) & (b == 168)) | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113)))
+
+
+def _of(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that it uses many times and that is computed once."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
+def ipv6_groups(host: Column) -> Column:
+    """The eight numbers of an IPv6 literal in lower case, however it is written; null if it is none."""
+    def flat(h: Column) -> Column:
+        """With an IPv4 address at its end as two groups."""
+        quad = F.transform(F.split(F.regexp_extract(h, r"(?:^|:)(\d{1,3}(?:\.\d{1,3}){3})$", 1), r"\."), lambda x: x.try_cast("int"))
+        pair = lambda q, i: F.lower(F.hex(F.get(q, i) * 256 + F.get(q, i + 1)))
+        tail = _of(quad, lambda q: F.when(F.forall(q, lambda x: x.between(0, 255)), F.concat(pair(q, 0), F.lit(":"), pair(q, 2))))
+        return F.when(~F.contains(h, F.lit(".")), h).otherwise(F.concat(F.regexp_extract(h, r"^(.*:)[^:]*$", 1), tail))
+
+    def words(sides: Column) -> Column:
+        part = lambda i: F.when(F.get(sides, i) == "", F.array().cast("array<string>")).otherwise(F.split(F.get(sides, i), ":"))
+        gap = 8 - F.size(part(0)) - F.size(part(1))
+        return F.when((F.size(sides) == 2) & (gap >= 1), F.concat(part(0), F.array_repeat(F.lit("0"), gap), part(1))).when((F.size(sides) == 1) & (F.size(part(0)) == 8), part(0))
+
+    numbers = lambda ws: F.when(F.forall(ws, lambda w: w.rlike("^[0-9a-f]{1,4}$")), F.transform(ws, lambda w: F.conv(w, 16, 10).cast("int")))
+    return _of(_of(_of(_of(host, flat), lambda f: F.split(f, "::")), words), numbers)
+
+
 def safe_to_fetch(url: Column) -> Column:
     """http or https, a host, no user in it, and no address literal of a private, local, reserved or multicast range.
 
-    Names aren't resolved: that is the fetching side's, at the time it connects. IPv4 literals and the IPv6 ranges ::, ::1,
-    fc00::/7, fe80::/10 and ff00::/8, and IPv4 ones mapped into IPv6.
+    IPv6 literals are read in all their forms; of them those in 2000::/3 pass, but for the ranges for tunnels and documents, and IPv4
+    ones mapped into IPv6 as IPv4 ones do. Numbers that resolvers take for IPv4 addresses - one number, hexadecimal or octal
+    ones, fewer than four - don't pass, nor do localhost and what lies under it. Other names aren't resolved here: see
+    ``fetching.safe_address``, which is asked at the time of the fetch.
     """
-    auth = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
-    host = F.lower(F.when(auth.startswith("["), F.regexp_extract(auth, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(auth, r":\d*$", "")))
-    four = F.regexp_extract(host, r"^(?:::ffff:)?((?:\d{1,3}\.){3}\d{1,3})$", 1)
-    part = [F.get(F.split(four, r"\."), i).try_cast("int") for i in range(4)]
-    a, b, c = part[:3]
-    blocked4 = (a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31))
-                | ((a == 192) & (b == 168)) | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113)))
-    blocked6 = F.contains(host, F.lit(":")) & host.rlike("^(::1?$|f[cd]|fe[89ab]|ff|2001:db8)")
-    return F.coalesce(safe_scheme(url) & (host != "") & ~F.contains(auth, F.lit("@")) & ~F.when(four != "", blocked4).otherwise(blocked6), F.lit(False))
+    def name(host: Column) -> Column:
+        number = r"(0|[1-9]\d{0,2})"
+        quad = F.transform(F.split(F.when(host.rlike(rf"^{number}(\.{number}){{3}}$"), host), r"\."), lambda x: x.try_cast("int"))
+        open_ = _of(quad, lambda q: F.forall(q, lambda x: x <= 255) & ~_blocked_quad(F.get(q, 0), F.get(q, 1), F.get(q, 2)))
+        plain = (host != "") & ~host.rlike(r"(^|\.)localhost$") & ~F.contains(host, F.lit(":"))
+        return F.when(host.rlike(r"^(0x[0-9a-f]*|\d+)(\.(0x[0-9a-f]*|\d+)){0,3}$"), F.coalesce(open_, F.lit(False))).otherwise(plain)
+
+    def literal(g: Column) -> Column:
+        at = [F.get(g, i) for i in range(8)]
+        mapped = F.forall(F.slice(g, 1, 5), lambda x: x == 0) & (at[5] == 0xFFFF)
+        special = ((at[0] == 0x2001) & ((at[1] < 0x200) | (at[1] == 0xDB8))) | (at[0] == 0x2002) | ((at[0] == 0x3FFF) & (at[1] < 0x1000))
+        return F.when(mapped, ~_blocked_quad(F.floor(at[6] / 256), at[6] % 256, F.floor(at[7] / 256))).otherwise(at[0].between(0x2000, 0x3FFF) & ~special)
+
+    def host(auth: Column) -> Column:
+        six = _of(ipv6_groups(F.regexp_extract(auth, r"^\[([^\]]*)\](?::\d*)?$", 1)), literal)
+        other = _of(F.regexp_replace(F.regexp_replace(auth, r":\d*$", ""), r"\.$", ""), name)
+        return ~F.contains(auth, F.lit("@")) & F.when(auth.startswith("["), six).otherwise(other)
+
+    auth = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#\\]*)", 1))
+    return F.coalesce(safe_scheme(url) & _of(auth, host), F.lit(False))
 
 
 def cut_bytes(x: Column, most: int) -> Column:

@@ -82,6 +82,19 @@ def fetch_guard(s, d):
     return table(s, d, "pages").where(X.safe_to_fetch(url)).select("page_id")
 
 
+#: Hosts that name one address in several ways; of these only the last four may be fetched.
+_HOSTS = ("[0:0:0:0:0:0:0:1]", "[0::1]", "[::ffff:7f00:1]", "[::ffff:a00:1]", "[::127.0.0.1]", "[fe80::1]", "[fc00::7]", "[2001:db8::1]", "[1::2::3]", "2130706433", "0x7f.1", "0177.0.0.1", "localhost", "a.localhost", "169.254.169.254",
+          "[2606:4700::1111]", "[::ffff:8.8.8.8]", "[2a00:1450:0:0:0:0:0:1]:8443", "localhost.cl")
+
+
+@query("fetch_guard_literals", f"SELECT page_id, page_id % {len(_HOSTS) + 1} AS form FROM pages WHERE page_id % {len(_HOSTS) + 1} >= {len(_HOSTS) - 4} AND (page_id % {len(_HOSTS) + 1} < {len(_HOSTS)} OR regexp_matches(url, '^https?://'))", False)
+def fetch_guard_literals(s, d):
+    """Pages at their own address, or at one whose host is written in some way that a resolver would read as an address."""
+    k = (F.col("page_id") % (len(_HOSTS) + 1)).cast("int")
+    url = F.coalesce(F.concat(F.lit("http://"), F.get(F.array(*map(F.lit, _HOSTS)), k), F.regexp_extract("url", "^[a-z]+://[^/]*(.*)$", 1)), F.col("url"))
+    return table(s, d, "pages").where(X.safe_to_fetch(url)).select("page_id", k.cast("long").alias("form"))
+
+
 @query("incident_rows", "SELECT page_id, substr(sha256(u), 1, 16) AS id FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'javascript:x' WHEN page_id % 7 = 0 THEN NULL ELSE url END AS u FROM pages) WHERE regexp_matches(lower(u), '^https?:')", False)
 def incident_rows(s, d):
     k = F.col("page_id")

@@ -6,9 +6,11 @@ table, by request; what is parsed is that table.
 
 from __future__ import annotations
 
+import ipaddress
+import socket
 import time
 from collections.abc import Callable, Iterator, Sequence
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -68,10 +70,32 @@ def landed(requests: DataFrame, path: str, ask: Callable[[dict], bytes], key: Se
     return requests.withColumn("request", names).join(spark.read.parquet(path).where("error IS NULL"), "request").drop("error")
 
 
+def _closed(address: str) -> bool:
+    ip = ipaddress.ip_address(address.partition("%")[0])
+    ip = getattr(ip, "ipv4_mapped", None) or ip
+    return not ip.is_global or ip.is_multicast or ip.is_reserved
+
+
+def safe_address(url: str, resolve: Callable[[str], Sequence[str]] | None = None) -> bool:
+    """Whether an address may be fetched now: http or https, no user, and a host all of whose addresses are public.
+
+    ``resolve`` gives a name's addresses, by the system's resolver if it isn't given; a name without any is not safe.
+    """
+    try:
+        parts = urlsplit(url)
+        host = parts.hostname
+        if parts.scheme not in ("http", "https") or not host or parts.username is not None or parts.password is not None:
+            return False
+        found = resolve(host) if resolve else [x[4][0] for x in socket.getaddrinfo(host, None)]
+        return bool(found) and not any(map(_closed, found))
+    except (OSError, ValueError):
+        return False
+
+
 _ARTICLE = "url string, final_url string, status int, ok boolean, text string"
 
 
-def articles(rows: DataFrame, get: Callable[[str], tuple[int, dict, bytes]], read: Callable[[str], str], safe: Callable[[str], bool], decode: Callable[[str], str | None] | None = None, url: str = "url") -> DataFrame:
+def articles(rows: DataFrame, get: Callable[[str], tuple[int, dict, bytes]], read: Callable[[str], str], safe: Callable[[str], bool] = safe_address, decode: Callable[[str], str | None] | None = None, url: str = "url") -> DataFrame:
     """(url, final_url, status, ok, text) of each address.
 
     ``get`` (address) gives status, headers and body without following redirects; ``read`` takes the text out of a page;

@@ -131,13 +131,6 @@ def ledger(spark: SparkSession, path: str, schema: str, key: str, order: str) ->
     return last.select("x.*")
 
 
-def _head(spark: SparkSession, path: str, most: int = 65_536) -> bytes:
-    """The first bytes of a file, without the one that a cut may have left of a character."""
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, most).alias("c"), (F.length("content") > most).alias("cut")).first()
-    data = bytes(row["c"])
-    return data[: data.rfind(b"\n") + 1] if row["cut"] and b"\n" in data else data
-
-
 def sniffed(head: bytes) -> tuple[str, str]:
     """(encoding, delimiter): UTF-8 if it is, else Latin-1; of ; , tab and | the one that the header has most of."""
     try:
@@ -149,11 +142,17 @@ def sniffed(head: bytes) -> tuple[str, str]:
 
 
 def delimited(spark: SparkSession, path: str, aliases: Mapping[str, Sequence[str]], sep: str | None = None, encoding: str | None = None) -> DataFrame:
-    """A delimited file with the first of each column's aliases that it has, whatever its case; keys stay text. What the
-    separator and the encoding are is found out from the file's head where they aren't given."""
-    if sep is None or encoding is None:
-        said = sniffed(_head(spark, path))
-        encoding, sep = encoding or said[0], sep or said[1]
+    """A delimited file with the first of each column's aliases that it has, whatever its case; keys stay text.
+
+    Where they aren't given, the separator is that which the first line has most of, and the encoding UTF-8 if every line
+    of the file is, else Latin-1: lines are tested where they lie, and the first bad one ends the search.
+    """
+    lines = spark.read.text(path)
+    if sep is None:
+        head = lines.select(F.col("value").cast("binary").alias("b")).first()
+        sep = sniffed(bytes(head["b"]) if head else b"")[1]
+    if encoding is None:
+        encoding = "UTF-8" if lines.where(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
     raw = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).csv(path)
     have = {c.strip().lstrip("\ufeff").lower(): c for c in raw.columns}
     found = {name: next((have[a.lower()] for a in names if a.lower() in have), None) for name, names in aliases.items()}

@@ -57,15 +57,31 @@ def _file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def _renamed(fs, one, other) -> None:
+    if not fs.rename(one, other):  # some file systems say no without an error
+        raise OSError(f"{one} can't be renamed to {other}")
+
+
 def moved(spark: SparkSession, staging: str, path: str) -> None:
-    """Put what lies at ``staging`` in the place of ``path``; readers see the old or the new, never a part."""
+    """Put what lies at ``staging`` in the place of ``path``. If that fails what was there comes back.
+
+    Between the two renames there is nothing at the path for a moment; where readers must never meet that, use a
+    ``committed.Committed`` table.
+    """
     fs, new = _file_system(spark, staging)
     _, at = _file_system(spark, path)
     old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-old-{uuid.uuid4().hex}")
-    if fs.exists(at):
-        fs.rename(at, old)
-    fs.rename(new, at)
-    fs.delete(old, True)
+    had = fs.exists(at)
+    if had:
+        _renamed(fs, at, old)
+    try:
+        _renamed(fs, new, at)
+    except Exception:
+        if had:
+            _renamed(fs, old, at)
+        raise
+    if had:
+        fs.delete(old, True)
 
 
 def whole(df: DataFrame, path: str, kind: str = "parquet", **options) -> None:
@@ -121,7 +137,7 @@ def rewritten(df: DataFrame, path: str, by: str, column: str, now: Column) -> di
     if counts["changed"]:
         parts = told.where(changed).select(by).distinct()
         staging = f"{path.rstrip('/')}-new-{uuid.uuid4().hex}"
-        told.join(F.broadcast(parts), by, "left_semi").withColumn(column, F.col("_now")).drop("_now").write.partitionBy(by).parquet(staging)
+        told.join(parts, by, "left_semi").withColumn(column, F.col("_now")).drop("_now").write.partitionBy(by).parquet(staging)
         partitions(spark.read.parquet(staging), path, [by])
         fs, at = _file_system(spark, staging)
         fs.delete(at, True)
