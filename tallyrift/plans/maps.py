@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyrift.functions import geo
 from tallyrift.operators import places as P
 from tallyrift.plans.queries import query, r6, table
+from tallyrift.sources import topology as T
 
 
 def points(s, d):
@@ -102,3 +103,18 @@ def dots_of_features(s, d):
     level = (F.col("cut") % 5 + 1).cast("double")
     payload = table(s, d, "supplier").where("s_suppkey > 3").select(F.col("s_suppkey").alias("cut"))
     return shapes(s, d).join(payload, "cut").select("cut", (level * 1.1 + 4.5).alias("radius"))
+
+
+@query("topology_arcs", f"""WITH {_RINGS}, v AS (SELECT e.cut, e.ring, e.x0 AS x, e.y0 AS y, list_sort([[e.x1, e.y1], [b.x0, b.y0]]) AS sides FROM edges e JOIN edges b ON e.cut = b.cut AND e.ring = b.ring AND e.x0 = b.x1 AND e.y0 = b.y1),
+j AS (SELECT x, y FROM v GROUP BY x, y HAVING count(DISTINCT sides) > 1)
+SELECT cut, ring, greatest(1, count(j.x)) AS arcs FROM v LEFT JOIN j USING (x, y) GROUP BY cut, ring""", False)
+def topology_arcs(s, d):
+    """How many arcs each ring is made of, cut where rings part."""
+    return T.arcs_of(shapes(s, d), "cut")[1].groupBy(F.col("unit").alias("cut"), "ring").agg(F.count(F.lit(1)).alias("arcs"))
+
+
+@query("topology_sizes", f"WITH {_RINGS} SELECT cut, count(*) AS rings FROM rings GROUP BY cut", False)
+def topology_sizes(s, d):
+    """Rings of each unit as they come back from the built topology."""
+    made = T.topology(shapes(s, d), "cut", "units", grid=100_000).select(F.from_json("json", "objects struct<units: struct<geometries: array<struct<id: string, arcs: array<array<array<int>>>>>>>").alias("t"))
+    return made.select(F.explode("t.objects.units.geometries").alias("g")).select(F.col("g.id").cast("int").alias("cut"), F.size("g.arcs").cast("long").alias("rings"))
