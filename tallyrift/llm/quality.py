@@ -21,18 +21,24 @@ from tallyrift.llm.common import documents, in_set, small_side, tidy, whole, wri
 
 #: Characters of a gram, packed in 16 bits each; characters beyond those count as one.
 ORDER = 4
-BEGIN, END, RARE = 1, 2, 0xFFFF
+BEGIN, END, ELSE, RARE = 1, 2, 3, 0xFFFF
 #: Bytes of text in a block; characters that are looked up at once.
 BLOCK, AT_ONCE = 8 << 20, 1 << 20
 #: A document is dropped beyond this quantile of its language's trusted documents, with this margin.
 QUANTILE, MARGIN = 0.99, 1.15
+#: Languages, a number and a name each, that are broadcast at most.
+LANGUAGES = 100_000
 #: Characters to which a unigram's last share is spread.
 ALPHABET = 65_536
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(the packed gram that ends at each character and at each text's end, how many of each text)."""
+    """(the packed gram that ends at each character and at each text's end, how many of each text).
+
+    The markers' own characters, U+0001 and U+0002, count as U+0003 in a text; U+0000 and all beyond U+FFFE are one symbol.
+    """
     pad = chr(BEGIN) * (ORDER - 1)
+    texts = [t.replace(chr(BEGIN), chr(ELSE)).replace(chr(END), chr(ELSE)) if chr(BEGIN) in t or chr(END) in t else t for t in texts]
     data = "".join(f"{pad}{t}{chr(END)}" for t in texts).encode("utf-32-le", "surrogatepass")
     c = np.frombuffer(data, "<u4")
     c = np.where(c > RARE, RARE, c).astype(np.uint64)
@@ -223,13 +229,18 @@ def judged(scores: DataFrame, good: DataFrame) -> DataFrame:
     """
     trusted = scores.join(good.select("doc_id").distinct(), "doc_id", "left_semi")
     limits = trusted.groupBy("lang").agg((F.percentile_approx("perplexity", QUANTILE, 10_000) * MARGIN).alias("threshold")).withColumnRenamed("lang", "_lang")
-    return scores.join(F.broadcast(limits), F.col("lang") == F.col("_lang"), "left").drop("_lang").withColumn(
+    return scores.join(small_side(limits, LANGUAGES), F.col("lang") == F.col("_lang"), "left").drop("_lang").withColumn(
         "kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
 
 
 @tidy
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's perplexity and whether it stays: (doc_id, lang, n_chars, perplexity, threshold, kept)."""
+    """Every document's perplexity and whether it stays: (doc_id, lang, n_chars, perplexity, threshold, kept).
+
+    A null text is the empty one. Repeated rows and null ids have a row each; a null language, or one without trusted
+    documents, has no threshold and keeps its own; a perplexity at the threshold, a tie, is kept. An empty table gives an
+    empty result, labels without good documents keep everything. Other columns, whatever their names, are not read.
+    """
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scores = written(perplexities(docs, train(trusted_documents(docs, labels))), "perplexities")
     return judged(scores, labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")))

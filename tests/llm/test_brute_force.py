@@ -1,5 +1,6 @@
 """The operators without an oracle against plain versions, and rows of odd kinds."""
 
+import math
 import random
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -223,15 +224,45 @@ def test_toxic_rows_of_odd_kinds(spark, tables):
     assert clean < 0.5 <= dirty and 0 <= empty <= 1
 
 
-def test_score_against_a_plain_network():
+def plain_logit(p, words):
     """A window's logit by the formulas, one word and one unit at a time."""
+    size, wide = toxicity.HIDDEN, toxicity.WIDE
+    squash = lambda x: 1 / (1 + math.exp(-x))
+    inputs = []
+    for w in words:
+        whole, grams, _ = toxicity.word_hashes([w])
+        inputs.append([float(p["words"][whole[0]][d]) + (sum(float(p["grams"][g][d]) for g in grams) / math.sqrt(len(grams)) if len(grams) else 0.0) for d in range(wide)])
+    states = [[] for _ in words]
+    for side, order in (("f", range(len(words))), ("b", reversed(range(len(words))))):
+        w, u, c = (p[k + side].tolist() for k in "xhc")
+        h = [0.0] * size
+        for t in order:
+            x = [c[j] + sum(inputs[t][d] * w[d][j] for d in range(wide)) for j in range(3 * size)]
+            y = [sum(h[i] * u[i][j] for i in range(size)) for j in range(3 * size)]
+            z = [squash(x[j] + y[j]) for j in range(size)]
+            r = [squash(x[size + j] + y[size + j]) for j in range(size)]
+            n = [math.tanh(x[2 * size + j] + r[j] * y[2 * size + j]) for j in range(size)]
+            h = [z[j] * h[j] + (1 - z[j]) * n[j] for j in range(size)]
+            states[t] += h
+    a, v = p["a"].tolist(), p["v"].tolist()
+    energy = [sum(math.tanh(sum(s[i] * a[i][j] for i in range(2 * size))) * v[j] for j in range(size)) for s in states]
+    weight = [math.exp(e) for e in energy]
+    mean = [sum(w * s[i] for w, s in zip(weight, states, strict=True)) / sum(weight) for i in range(2 * size)]
+    top = [max(s[i] for s in states) for i in range(2 * size)]
+    return sum(x * float(o) for x, o in zip([*mean, *top], p["o"], strict=True)) + float(p["bias"][0])
+
+
+def test_score_against_a_plain_network():
     net = toxicity.Network.fresh(5)
-    texts = ["a few plain words", "other Words, and more of them " * 12, "", "ñandú"]
-    whole = net.scores(texts)
-    for text, want in zip(texts, whole, strict=True):
+    for k in ("cf", "cb", "scale"):
+        net.p[k] += np.random.default_rng(1).normal(0, 0.2, net.p[k].shape).astype(np.float32)
+    texts = ["a few plain words", "other Words, and more of them " * 12, "ñandú", "one"]
+    for text, score in zip(texts, net.scores(texts), strict=True):
         words = text.lower().split()
         windows = [words[i : i + toxicity.WINDOW] for i in toxicity.windows_of(len(words)).tolist()]
-        assert windows[-1] == words[len(words) - len(windows[-1]) :] and abs(max(net.scores([" ".join(w)])[0] for w in windows) - want) < 1e-5
+        assert windows[-1] == words[len(words) - len(windows[-1]) :]
+        worst = max(plain_logit(net.p, w) for w in windows)
+        assert abs(score - 1 / (1 + math.exp(-worst * float(net.p["scale"][0])))) < 1e-4
 
 
 def write(spark, rows, labels, path):

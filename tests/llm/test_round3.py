@@ -252,3 +252,14 @@ def test_packing_reads_no_column_that_it_is_not_told(spark, tmp_path, slots):
     assert max(Counter(r.sequence_id >> 20 for r in got).values()) <= 60
     with pytest.raises(ValueError):
         P.cut(odd, place=("start", "seat"))
+
+
+# quality
+
+def test_the_markers_own_characters_are_no_markers():
+    from tallyrift.llm import quality as Q
+
+    marked, other = (Q.grams([t])[0].tolist() for t in ("a\x02b\x01", "a\x03b\x03"))
+    assert marked == other and len(marked) == 5
+    ends = [g & 0xFFFF for g in Q.grams(["a\x02", "b"])[0].tolist()]
+    assert ends.count(Q.END) == 2 and Q.grams(["a\x02", "b"])[1].tolist() == [3, 2]
