@@ -45,7 +45,7 @@ def directory_by_region(s, d):
     """Regions downwards, names upwards within one."""
     rows = S.rank(named(s, d), "at", "cut", "cut", ["region"], descending=False)
     before = rows.groupBy("region").agg(F.count(F.lit(1)).alias("m")).withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy(F.desc("region")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.join(F.broadcast(before.select("region", "before")), "region").select("cut", (F.col("before") + F.col("at")).alias("n"))
+    return rows.join(before.select("region", "before"), "region").select("cut", (F.col("before") + F.col("at")).alias("n"))
 
 
 @query("search_prefix", "SELECT p_partkey FROM part WHERE starts_with(lower(p_name), 'small') ORDER BY p_partkey LIMIT 8", False)

@@ -591,8 +591,8 @@ def fetch_cap_priority(s, d):
 @query("resolver_ambiguity", "SELECT s_suppkey, n_name FROM supplier JOIN nation ON lower(n_name) = lower((SELECT n2.n_name FROM nation n2 WHERE n2.n_nationkey = s_nationkey)) QUALIFY count(*) OVER (PARTITION BY s_suppkey) = 1", False)
 def resolver_ambiguity(s, d):
     n = table(s, d, "nation")
-    named = table(s, d, "supplier").join(F.broadcast(n.select(F.col("n_nationkey").alias("s_nationkey"), X.norm(F.col("n_name")).alias("key"))), "s_nationkey")
-    found = named.join(F.broadcast(n.select("n_name", X.norm(F.col("n_name")).alias("key"))), "key")
+    named = table(s, d, "supplier").join(n.select(F.col("n_nationkey").alias("s_nationkey"), X.norm(F.col("n_name")).alias("key")), "s_nationkey")
+    found = named.join(n.select("n_name", X.norm(F.col("n_name")).alias("key")), "key")
     return found.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("s_suppkey"))).where("c = 1").select("s_suppkey", "n_name")
 
 
