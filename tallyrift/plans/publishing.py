@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyrift.functions import scalars as X
+from tallyrift.operators import checks as C
 from tallyrift.operators import events as E
 from tallyrift.operators import publishing as P
 from tallyrift.operators import stats as S
@@ -436,3 +437,49 @@ def route_budget(s, d):
     units = table(s, d, "supplier").select(P.address_pair(("commune", "comuna"), X.slug(F.col("s_name"))).alias("p"))
     n = F.count("p.en") + F.count("p.es")
     return nations.unionByName(units).agg(n.alias("routes"), (n <= 18_000).alias("within"), (F.count_distinct("p.en") == F.count_distinct("p.es")).alias("symmetric"))
+
+
+def committed(s, d):
+    """What was published: totals with some rates and partial marks that are wrong."""
+    k = F.col("cut")
+    wrong = F.when(k % 61 == 7, -1.0).when(k % 53 == 4, F.col("rate") + 2).otherwise(F.col("rate"))
+    return totals(s, d).withColumns({"rate": wrong, "partial": F.col("partial") & ~((k % 50 == 3) & (F.col("year") == LAST))})
+
+
+_COMMITTED = f", com AS (SELECT cut, region, pop, year, CASE WHEN cut % 61 = 7 THEN -1 WHEN cut % 53 = 4 THEN rate + 2 ELSE rate END AS rate, rate AS own, partial AND NOT (cut % 50 = 3 AND year = {LAST}) AS partial FROM totals)"
+_RULED = [(1, "host", "FAIL"), (2, "families sum up", "FAIL"), (3, "partial years", "FAIL"), (4, "scope of families", "DOCUMENTED"), (5, "one family derived anew", "FAIL"), (6, "one total derived anew", "FAIL"),
+          (7, "counts and rates", "FAIL"), (8, "units without events", "DOCUMENTED"), (9, "weighted means", "FAIL"), (10, "range", "FAIL")]
+
+
+@query("quality_report", f"""{_COMMITTED}, cnt AS (SELECT o_custkey AS cut, year(o_orderdate)::INT AS year, count(*) AS c FROM orders GROUP BY ALL),
+w AS (SELECT region, sum(own * pop) / sum(pop) AS a, sum(rate * pop) / sum(pop) AS b FROM com WHERE year = {REFERENCE} GROUP BY region),
+t AS (SELECT 1 AS n, NOT regexp_matches(url, '^https?://[a-z.]+\\.example\\.(com|net|org)(/|$)') AS broken, page_id::VARCHAR AS e FROM pages
+UNION ALL SELECT 2, abs(rate - own) > 0.01, cut || '-' || year FROM com
+UNION ALL SELECT 3, (year = {LAST}) <> partial, cut || '-' || year FROM com
+UNION ALL SELECT DISTINCT 4, family = '4-NOT SPECIFIED', family FROM rates
+UNION ALL SELECT 5, false, cut || '-' || year FROM rates WHERE cut = 7 AND family = '1-URGENT' AND year = {REFERENCE}
+UNION ALL SELECT 6, abs(rate - own) > 1, cut || '-' || year FROM com WHERE cut = 4 AND year = {REFERENCE}
+UNION ALL SELECT 7, abs(rate - c * 1e5 / pop) > 0.5, cut::VARCHAR FROM com JOIN cnt USING (cut, year) WHERE year = {REFERENCE}
+UNION ALL SELECT 8, coalesce(c, 0) = 0, dim.cut::VARCHAR FROM dim LEFT JOIN (SELECT cut, sum(c) AS c FROM cnt GROUP BY cut) x ON x.cut = dim.cut
+UNION ALL SELECT 9, abs(a - b) > 0.000001, region::VARCHAR FROM w
+UNION ALL SELECT 10, NOT rate BETWEEN 0 AND 100000, cut || '-' || year FROM com),
+g AS (SELECT n, count(*) AS checked, count(*) FILTER (broken) AS broken, array_to_string((list(e ORDER BY e) FILTER (broken))[:20], ' ') AS evidence FROM t GROUP BY n)
+SELECT r.n, r.name, CASE WHEN checked IS NULL THEN 'DOCUMENTED' WHEN broken = 0 THEN 'PASS' ELSE severity END AS status, coalesce(checked, 0) AS checked, coalesce(broken, 0) AS broken, coalesce(evidence, '') AS evidence
+FROM (VALUES {", ".join(map(str, _RULED))}) r(n, name, severity) LEFT JOIN g ON g.n = r.n""")
+def quality_report(s, d):
+    """Ten rules on what was published, against what the sources give anew."""
+    at = F.concat_ws("-", "cut", "year")
+    own = totals(s, d).select("cut", "year", F.col("rate").alias("own"))
+    counts = table(s, d, "orders").groupBy(F.col("o_custkey").alias("cut"), F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("c"))
+    com = committed(s, d).join(own, ["cut", "year"])
+    ref_ = com.where(F.col("year") == REFERENCE)
+    mean = lambda c: F.sum(F.col(c) * F.col("pop")) / F.sum("pop")
+    family = rates(s, d).where((F.col("cut") == 7) & (F.col("family") == "1-URGENT") & (F.col("year") == REFERENCE))
+    again = table(s, d, "orders").where(f"o_custkey = 7 AND o_orderpriority = '1-URGENT' AND year(o_orderdate) = {REFERENCE}").agg(F.count(F.lit(1)).alias("c"))
+    inputs = {"pages": table(s, d, "pages"), "series": com, "families": rates(s, d).select("family").distinct(), "family": family.join(again), "counts": ref_.join(counts, ["cut", "year"]),
+              "units": dim(s, d).select("cut").join(counts.groupBy("cut").agg(F.sum("c").alias("c")), "cut", "left"), "means": ref_.groupBy("region").agg(mean("own").alias("a"), mean("rate").alias("b"))}
+    on = {1: ("pages", ~F.col("url").rlike(r"^https?://[a-z.]+\.example\.(com|net|org)(/|$)"), F.col("page_id"), None), 2: ("series", F.abs(F.col("rate") - F.col("own")) > 0.01, at, None), 3: ("series", (F.col("year") == LAST) != F.col("partial"), at, None),
+          4: ("families", F.col("family") == "4-NOT SPECIFIED", F.col("family"), None), 5: ("family", F.abs(F.col("rate") - F.col("c") * 1e5 / F.col("pop")) > 0.01, at, None), 6: ("series", F.abs(F.col("rate") - F.col("own")) > 1, at, (F.col("cut") == 4) & (F.col("year") == REFERENCE)),
+          7: ("counts", F.abs(F.col("rate") - F.col("c") * 1e5 / F.col("pop")) > 0.5, F.col("cut"), None), 8: ("units", F.coalesce("c", F.lit(0)) == 0, F.col("cut"), None), 9: ("means", F.abs(F.col("a") - F.col("b")) > 1e-6, F.col("region"), None), 10: ("series", ~F.col("rate").between(0, 100_000), at, None)}
+    rules = [C.Rule(n, name, on[n][0], on[n][1], on[n][2], on[n][3], severity) for n, name, severity in _RULED]
+    return C.report(inputs, rules).select("n", "name", "status", "checked", "broken", F.array_join("evidence", " ").alias("evidence"))
