@@ -344,3 +344,24 @@ def region_file(region: Column) -> Column:
     """1 to 16 as they are, else the old code's tens."""
     n = region.cast("int")
     return F.when(n.between(1, 16), n).otherwise(F.floor(n / 10)).cast("string")
+
+
+MONTHS_EN = "January February March April May June July August September October November December".split()
+
+
+def month_label(month: Column, language: str = "en") -> Column:
+    """August 2024, or agosto de 2024, of 2024-08; what is no month stays as it is."""
+    names = F.array(*map(F.lit, MONTHS_EN if language == "en" else MONTHS_ES))
+    n = F.regexp_extract(month, r"^\d{4}-(\d{2})", 1).try_cast("int")
+    said = F.concat(F.get(names, n - 1), F.lit(" " if language == "en" else " de "), F.substring(month, 1, 4))
+    return F.when(n.between(1, 12), said).otherwise(month)
+
+
+def day_label(day: Column, newest_year: Column | None = None) -> Column:
+    """Aug 5 of 2024-08-05; with ``newest_year`` a day of another year has its own behind it: Aug 5, 2023. What is no day
+    stays as it is."""
+    date = iso_date(day)
+    said = F.concat(F.substring(F.get(F.array(*map(F.lit, MONTHS_EN)), F.month(date) - 1), 1, 3), F.lit(" "), F.dayofmonth(date).cast("string"))
+    if newest_year is not None:
+        said = F.when(F.year(date).cast("string") == newest_year.cast("string"), said).otherwise(F.concat(said, F.lit(", "), F.year(date).cast("string")))
+    return F.when(date.isNotNull(), said).otherwise(day)

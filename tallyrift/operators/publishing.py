@@ -48,6 +48,13 @@ def item_list(rows: DataFrame, group: str, place: str, name: str, url: Column, t
     return lists.select(group, F.to_json(body).alias("json"))
 
 
+def breadcrumb(rows: DataFrame, page: str, place: str, name: str, url: str) -> DataFrame:
+    """(page, json): a schema.org list of each page's crumbs in order, numbered from 1 on; one without an address has no item."""
+    ordered = rows.groupBy(page).agg(F.sort_array(F.collect_list(F.struct(F.col(place).alias("_p"), F.col(name).alias("name"), F.col(url).alias("item")))).alias("_all"))
+    items = F.transform("_all", lambda c, i: F.struct(F.lit("ListItem").alias("@type"), (i + 1).alias("position"), c["name"].alias("name"), c["item"].alias("item")))
+    return ordered.select(page, F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("BreadcrumbList").alias("@type"), items.alias("itemListElement"))).alias("json"))
+
+
 def address_pair(kind: tuple[str, str], slug: Column) -> Column:
     """(en, es): the addresses of a page in both languages."""
     return F.struct(F.concat(F.lit(f"/{kind[0]}/"), slug, F.lit("/")).alias("en"), F.concat(F.lit(f"/es/{kind[1]}/"), slug, F.lit("/")).alias("es"))

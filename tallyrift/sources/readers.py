@@ -311,3 +311,9 @@ class Tables:
     def year(self, name: str, year: int, column: str = "year") -> DataFrame:
         """The rows of a year; of a table that is partitioned by it no others are read."""
         return self(name).where(F.col(column) == year)
+
+
+def probed(pages: DataFrame, page: str, html: str, pattern: str, first: int, last: int) -> DataFrame:
+    """(code, pages): the numbers from ``first`` to ``last`` that the pattern's group finds in pages, and in how many."""
+    found = pages.select(page, F.explode(F.array_distinct(F.regexp_extract_all(html, F.lit(pattern), 1))).alias("code")).withColumn("code", F.col("code").try_cast("int"))
+    return found.where(F.col("code").between(first, last)).groupBy("code").agg(F.count_distinct(page).alias("pages"))

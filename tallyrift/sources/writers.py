@@ -169,3 +169,23 @@ def filled(rows: DataFrame, path: str, key: str, work: Callable[[DataFrame], Dat
                 raise RuntimeError(f"{failures} lots in a row failed, the last at {last['k']}")
         finally:
             lot.unpersist()
+
+
+def state_snapshot(state: DataFrame, folder: str, day: str) -> None:
+    """``state``, one row, as <folder>/corpus-state.json and as the day's <folder>/corpus-state-history/<day>.json; a day that
+    comes again is written anew, other days stay. Both files are one object and are put in their places whole."""
+    spark = state.sparkSession
+    rows = state.toJSON().take(2)
+    if len(rows) != 1:
+        raise ValueError(f"a state is one row, not {len(rows)} or more")
+    for name in ("corpus-state.json", f"corpus-state-history/{day}.json"):
+        fs, aside = _file_system(spark, f"{folder}/{name}.{uuid.uuid4().hex}")
+        out = fs.create(aside, True)
+        try:
+            out.write(bytearray(rows[0].encode()))
+        finally:
+            out.close()
+        _, at = _file_system(spark, f"{folder}/{name}")
+        if fs.exists(at):
+            fs.delete(at, False)
+        _renamed(fs, aside, at)
