@@ -1,6 +1,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyrift.llm import decontamination as D
 from tallyrift.llm import divergence as V
+from tallyrift.llm import mixing as M
 from tallyrift.llm import negatives as N
 from tallyrift.llm import packing as P
 
@@ -263,3 +265,59 @@ def test_the_markers_own_characters_are_no_markers():
     assert marked == other and len(marked) == 5
     ends = [g & 0xFFFF for g in Q.grams(["a\x02", "b"])[0].tolist()]
     assert ends.count(Q.END) == 2 and Q.grams(["a\x02", "b"])[1].tolist() == [3, 2]
+
+
+# mixing
+
+def windows_kept(rows, blocks, weights):
+    """All blocks, once, in order and slot by slot, each within its window by the weights of its phase."""
+    done, phase, begin = Counter(), None, 0
+    for at, (k, j, slot, p) in enumerate(rows):
+        assert slot == at and j == done[k]
+        if p != phase:
+            phase, begin, before = p, slot, dict(done)
+            total = sum(Fraction(weights[x]) for x in blocks if done[x] < blocks[x])
+        share, nth = Fraction(weights[k]) / total, j - before.get(k, 0)
+        assert nth // share <= slot - begin < -(-(nth + 1) // share)
+        done[k] += 1
+    assert {k: n for k, n in blocks.items() if n} == dict(done)
+
+
+def test_stretches_keep_all_windows():
+    rng = random.Random(3)
+    for _ in range(40):
+        weights = {f"s{i}": rng.random() ** rng.choice([1, 4]) + 1e-3 if rng.random() < 0.5 else rng.randint(1, 9) for i in range(rng.randint(1, 12))}
+        blocks = {k: rng.randint(0, rng.choice([3, 60, 300])) for k in weights}
+        for slots in (1, 7, 50, 10**9):
+            windows_kept(M.schedule(blocks, weights, slots), blocks, weights)
+
+
+def test_one_stretch_is_one_run():
+    weights = {"a": 5, "b": 3.5, "c": 2, "d": 0.25}
+    one = [(k, j) for k, j, _, phase in M.schedule(dict.fromkeys(weights, 500), weights) if phase == 0]
+    done, want = Counter(), []
+    for k in M.line(weights):
+        want.append((k, done[k]))
+        done[k] += 1
+        if len(want) == len(one):
+            break
+    assert one == want
+
+
+def test_schedule_in_tasks(spark, monkeypatch):
+    blocks, weights = {"a": 400, "b": 90, None: 33, "c": 0, "": 1}, {"a": 2.5, "b": 1, None: 0.7, "c": 9, "": 0.01}
+    monkeypatch.setattr(M, "SLOTS", 60)
+    got = sorted(map(tuple, M._scheduled(spark, blocks, weights).collect()), key=lambda r: r[2])
+    assert got == list(M.schedule(blocks, weights, 60))
+    windows_kept(got, blocks, weights)
+    assert M._scheduled(spark, {}, {}).count() == 0
+
+
+def test_far_stretches_are_cheap():
+    """The state in a schedule of 10**12 slots comes from the slots just before it."""
+    weights = {f"s{i}": (i + 1) ** 0.5 for i in range(30)}
+    shares = M.Shares(weights)
+    done = shares.done_by(10**12)
+    assert sum(done.values()) == 10**12 and all(abs(n - Fraction(10**12 * shares.own[k], shares.whole)) < 1 for k, n in done.items())
+    ends = list(M.phases(dict.fromkeys(weights, 10**11), weights))
+    assert sum(n for _, _, n, _ in ends) == 30 * 10**11
