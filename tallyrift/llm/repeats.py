@@ -27,6 +27,8 @@ AT_ONCE, CHUNK = 1 << 20, 1 << 19
 RUN = 1_000_000
 #: Distinct contexts of a gram beyond which its strings are dealt out one by one, each by its own hash.
 HOT = 20_000
+#: Strings of such grams in a batch.
+STRINGS = 100_000
 
 _PLACE = np.uint64((1 << 26) - 1)
 
@@ -289,13 +291,17 @@ def _strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(hash, row, start, n) of every string in the contexts."""
     import xxhash
 
+    told = lambda out: pd.DataFrame(out, columns=["string", "row", "lo", "n"])
+    out: list[tuple] = []
     for rows in batches:
-        out = []
         for row, _, lo, _, n, data in rows.itertuples(index=False, name=None):
             for i in range(len(data) - LENGTH + 1):
                 h = xxhash.xxh3_128_digest(data[i : i + LENGTH])
                 out.append((h, row, lo + i, n))
-        yield pd.DataFrame(out, columns=["string", "row", "lo", "n"])
+                if len(out) == STRINGS:
+                    yield told(out)
+                    out = []
+    yield told(out)
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
