@@ -29,7 +29,7 @@ BLOCK, PERIOD, AT_ONCE = 16, 1024, 50_000
 #: Slots that one task schedules at a time, and tasks that do so.
 SLOTS, MOST_TASKS = 1 << 17, 10_000
 #: Rows that are ranked in one sort, about, and parts of that size at least.
-RANKED, LEAST_PARTS = 100_000, 16
+RANKED, LEAST_PARTS = 100_000, 256
 
 
 def whole_slots(weights: Mapping, period: int = PERIOD) -> dict:
