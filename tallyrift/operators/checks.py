@@ -60,3 +60,21 @@ def report(inputs: Mapping[str, DataFrame], rules: Sequence[Rule], most: int = S
     joined = table.join(counts, "n", "left").join(shown, "n", "left").select("n", "name", "severity", zero("checked"), zero("broken"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"), "note")
     status = F.when(F.col("checked") == 0, "DOCUMENTED").when(F.col("broken") == 0, "PASS").otherwise(F.col("severity"))
     return joined.withColumn("status", status).select("n", "name", "status", "checked", "broken", "evidence", "note")
+
+
+def expected_found(rows: DataFrame, key: str, expected: Sequence[str]) -> DataFrame:
+    """(key, expected, n): a row for each value that is expected or there, with its rows; null is no value."""
+    wanted = rows.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(expected)], f"`{key}` string").withColumn("expected", F.lit(True))
+    found = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias(key)).agg(F.count(F.lit(1)).alias("n"))
+    return found.join(wanted, key, "full").select(key, F.coalesce("expected", F.lit(False)).alias("expected"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def recounted(published: DataFrame, count: str, parts: Sequence[DataFrame], row_id: str, bucket: str) -> DataFrame:
+    """(bucket, published, counted): what was published for each bucket, and the different ids that the parts have there together.
+
+    An id that several parts have counts once; buckets of one side only have null for the other. Rows without a bucket are left out.
+    Ids are made distinct before they are counted, so a full bucket is dealt by its ids.
+    """
+    ids = reduce(DataFrame.unionByName, [p.select(bucket, row_id) for p in parts]).where(F.col(bucket).isNotNull()).distinct()
+    counts = ids.groupBy(bucket).agg(F.count(F.lit(1)).alias("counted"))
+    return published.select(bucket, F.col(count).alias("published")).where(F.col(bucket).isNotNull()).join(counts, bucket, "full").select(bucket, "published", "counted")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyrift.functions import scalars as X
+from tallyrift.operators import checks as C
 from tallyrift.operators import publishing as P
 from tallyrift.plans.publishing import LAYERS
-from tallyrift.plans.queries import FAMILIES, LAST, ev, query, rates, table, totals
+from tallyrift.plans.queries import FAMILIES, LAST, dim, ev, query, rates, table, totals
 from tallyrift.sources import readers as R
 
 
@@ -60,3 +61,42 @@ def unit_loaded(s, d):
     t = totals(s, d).withColumn("partial", F.col("partial") | (F.col("cut") % 40 == 0))
     years = t.groupBy("cut", "region").agg(F.coalesce(F.max(F.when(~F.col("partial"), F.col("year"))), F.lit(0)).alias("latest_complete_year"))
     return years.join(table(s, d, "nation").select(F.col("n_nationkey").alias("region"), F.col("n_name").alias("region_name")), "region").select("cut", "latest_complete_year", "region_name")
+
+
+#: Rules on what facets show: number, name, input, severity.
+_FACETS = [(1, "family counts sum up", "sums", "FAIL"), (2, "units resolve to a region", "events", "FAIL"), (3, "families are known", "families", "FAIL"), (4, "no phantom family", "families", "FAIL"),
+           (5, "expected families are there", "families", "FAIL"), (6, "region by the length of the code", "units", "FAIL"), (7, "regions in use", "regions", "FAIL"), (8, "days as published", "days", "FAIL")]
+_KNOWN, _EXPECTED, _PHANTOM = ("click", "view", "purchase", "signup", "refund"), ("click", "refund"), "error"
+
+
+@query("facet_report", f""", kept AS (SELECT *, day >= DATE '2024-01-11' AS recent FROM ev), shown AS (SELECT day, count(DISTINCT event_id) FILTER (day(day) % 7 > 0 OR NOT recent OR event_id % 5 = 0) AS n FROM kept GROUP BY day),
+fam AS (SELECT coalesce(event_type, x) AS family, event_type IS NOT NULL AS seen FROM (SELECT DISTINCT event_type FROM ev) FULL JOIN (VALUES {', '.join(f"('{x}')" for x in _EXPECTED)}) v(x) ON x = event_type),
+t AS (SELECT 1 AS n, (SELECT count(event_type) FROM ev) <> (SELECT sum(c) FROM (SELECT count(*) AS c FROM ev WHERE event_type IS NOT NULL GROUP BY event_type)) AS broken, 'all' AS e
+UNION ALL SELECT 2, region IS NULL OR region >= 16, event_id::VARCHAR FROM ev LEFT JOIN dim ON cut = user_id
+UNION ALL SELECT 3, family NOT IN {_KNOWN}, family FROM fam WHERE seen UNION ALL SELECT 4, family = '{_PHANTOM}', family FROM fam WHERE seen UNION ALL SELECT 5, NOT seen, family FROM fam WHERE family IN {_EXPECTED}
+UNION ALL SELECT 6, cut % 97 = 0, cut::VARCHAR FROM dim
+UNION ALL SELECT 7, count(DISTINCT region) <> 25, count(DISTINCT region)::VARCHAR FROM dim
+UNION ALL SELECT 8, n <> (SELECT count(*) FROM ev WHERE ev.day = shown.day), strftime(day, '%Y-%m-%d') FROM shown),
+g AS (SELECT n, count(*) AS checked, count(*) FILTER (broken) AS broken, array_to_string((list(e ORDER BY e) FILTER (broken))[:20], ' ') AS evidence FROM t GROUP BY n)
+SELECT r.n, r.name, CASE WHEN checked IS NULL THEN 'DOCUMENTED' WHEN broken = 0 THEN 'PASS' ELSE severity END AS status, coalesce(checked, 0) AS checked, coalesce(broken, 0) AS broken, coalesce(evidence, '') AS evidence
+FROM (VALUES {', '.join(str((n, name, severity)) for n, name, _, severity in _FACETS)}) r(n, name, severity) LEFT JOIN g ON g.n = r.n""")
+def facet_report(s, d):
+    """Eight rules on facets. A window of current rows and its archive hold some rows both; days that are multiples of seven were published
+    from the archive alone. Every 97th unit has the code of the region after its own."""
+    e = ev(s, d)
+    current, archive = e.where("day >= '2024-01-11'"), e.where("day < '2024-01-11' OR event_id % 5 = 0")
+    wrong = F.dayofmonth("day") % 7 == 0
+    published = archive.select("event_id", "day").unionByName(current.where(~wrong).select("event_id", "day")).distinct().groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    # Days that only the current rows have are published with none where the archive alone counts.
+    published = e.select("day").distinct().join(published, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
+    units = dim(s, d).withColumn("code", ((F.col("region") + 1 + F.when(F.col("cut") % 97 == 0, 1).otherwise(0)) * 1000 + F.col("cut") % 1000).cast("string"))
+    by_family = e.where("event_type IS NOT NULL").groupBy("event_type").agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("summed"))
+    inputs = {"sums": e.agg(F.count("event_type").alias("n")).join(by_family), "events": e.join(units.select(F.col("cut").alias("user_id"), "region"), "user_id", "left"),
+              "families": C.expected_found(e, "event_type", _EXPECTED), "units": units, "regions": units.agg(F.count_distinct("region").alias("n")),
+              "days": C.recounted(published, "n", [current, archive], "event_id", "day")}
+    family, seen = F.col("event_type"), F.col("n") > 0
+    on = {1: (F.col("n") != F.col("summed"), F.lit("all"), None), 2: (F.col("region") >= 16, F.col("event_id"), None), 3: (~family.isin(*_KNOWN), family, seen), 4: (family == _PHANTOM, family, seen),
+          5: (~seen, family, F.col("expected")), 6: (X.region_of(F.col("code")) != (F.col("region") + 1).cast("string"), F.col("cut"), None), 7: (F.col("n") != 25, F.col("n"), None),
+          8: (F.col("published") != F.col("counted"), F.date_format("day", "yyyy-MM-dd"), None)}
+    rules = [C.Rule(n, name, on_, *on[n], severity) for n, name, on_, severity in _FACETS]
+    return C.report(inputs, rules).select("n", "name", "status", "checked", "broken", F.array_join("evidence", " ").alias("evidence"))
