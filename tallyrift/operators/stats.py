@@ -15,8 +15,13 @@ from tallyrift.operators.ordering import at_places, numbered
 
 
 def total_rate(rates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The sum of the families' rates, 0 if all are null."""
-    return rates.groupBy(*keys).agg(F.coalesce(F.sum("rate"), F.lit(0.0)).alias("rate"))
+    """The sum of the families' rates, 0 if all are null.
+
+    They are added one by one, the smallest first: a sum of doubles in the order of arrival, or of partial sums, differs in its last
+    bit from run to run, and so does what is rounded or compared from it.
+    """
+    one_by_one = F.aggregate(F.array_sort(F.collect_list("rate")), F.lit(0.0), lambda total, x: total + x)
+    return rates.groupBy(*keys).agg(one_by_one.alias("rate"))
 
 
 def weighted_mean(rows: DataFrame, keys: Sequence[str], value: str = "rate", weight: str = "pop") -> DataFrame:

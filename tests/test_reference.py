@@ -93,3 +93,11 @@ def test_dedup_greedy_compares_whole_titles(spark, tmp_path):
     turns = [(1, i, "user", same + c * 200) for i, c in enumerate("qz")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert Q.QUERIES["dedup_greedy"](spark, str(tmp_path)).count() == 2
+
+
+def test_totals_do_not_depend_on_the_order_of_their_families(spark):
+    """Sums of doubles in another order differ in their last bit: 17 or 18 where a point of a sparkline lies on a half."""
+    from itertools import permutations
+    t = spark.createDataFrame([(k, r) for k, rates in enumerate([*permutations([0.1, 0.2, 0.3]), (None, None)]) for r in rates], "cut int, rate double").coalesce(1)
+    got = dict(S.total_rate(t, ["cut"]).collect())
+    assert set(got.values()) == {0.1 + 0.2 + 0.3, 0.0} and got[6] == 0.0
