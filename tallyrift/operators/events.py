@@ -139,7 +139,10 @@ def nearest(rows: DataFrame, unit: str, within: str, value: str, n: int, least:
     rows = rows.where(F.col(value).isNotNull()).select(unit, F.col(within).alias("_pool"), F.round(value, digits).alias(value))
     if not least:
         return _nearest(rows, rows, unit, value, n, digits)
-    sized = rows.join(rows.groupBy("_pool").agg((F.count(F.lit(1)) - 1).alias("_others")), "_pool")
+    others = rows.groupBy("_pool").agg((F.count(F.lit(1)) - 1).alias("_others"))
+    if others.where(F.col("_others") < least).isEmpty():  # all are compared in their own groups: no order of them all
+        return _nearest(rows, rows, unit, value, n, digits)
+    sized = rows.join(others, "_pool")
     own = _nearest(sized.where(F.col("_others") >= least).drop("_others"), rows, unit, value, n, digits)
     all_ = F.lit(0).alias("_pool")
     lone = sized.where(F.col("_others") < least).select(unit, all_, value)

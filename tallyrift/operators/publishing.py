@@ -10,14 +10,24 @@ from pyspark.sql import functions as F
 from tallyrift.functions import scalars as X
 
 
+def _pieces(template: Column) -> Column:
+    """(key, text) of each piece of a template: the key that stands before the text, null where there is none."""
+    def piece(p: Column, i: Column) -> Column:
+        key = F.when(i > 0, F.nullif(F.regexp_extract(p, r"^(\w+)\}", 1), F.lit("")))
+        text = F.when(i == 0, p).when(key.isNull(), F.concat(F.lit("{"), p)).otherwise(F.substring(p, F.length(key) + 2, F.length(p)))
+        return F.struct(key.alias("key"), text.alias("text"))
+    return F.transform(F.split(template, r"\{"), piece)
+
+
+def _joined(pieces: Column, values: Column) -> Column:
+    """The pieces with the map's values for their keys; keys that the map doesn't have stay."""
+    said = lambda p: F.coalesce(F.element_at(values, p["key"]), F.concat(F.lit("{"), p["key"], F.lit("}")), F.lit(""))
+    return F.array_join(F.transform(pieces, lambda p: F.concat(said(p), p["text"])), "")
+
+
 def filled(template: Column, values: Column) -> Column:
     """The template with each {key} replaced by the map's value; keys that the map doesn't have stay."""
-    parts = F.split(template, r"\{")
-    def piece(p: Column, i: Column) -> Column:
-        key = F.regexp_extract(p, r"^(\w+)\}", 1)
-        said = F.element_at(values, key)
-        return F.when(i == 0, p).when((key != "") & said.isNotNull(), F.concat(said, F.substring(p, F.length(key) + 2, F.length(p)))).otherwise(F.concat(F.lit("{"), p))
-    return F.array_join(F.transform(parts, piece), "")
+    return _joined(_pieces(template), values)
 
 
 def prose(facts: DataFrame, key: str, templates: DataFrame, choices: Sequence[str], values: str) -> DataFrame:
@@ -25,13 +35,18 @@ def prose(facts: DataFrame, key: str, templates: DataFrame, choices: Sequence[st
 
     ``templates`` (place, choice, template): of each place the template whose choice is one of the row's ``choices``
     columns' values, or that without a choice; a place whose template isn't chosen has no paragraph. ``values`` is a map
-    column. The texts are data: what a language or a site says stays out of this code.
+    column. The texts are data: what a language or a site says stays out of this code. Templates are cut into their
+    pieces and grouped by choice once, not for each row.
     """
     said = F.array(*(F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in choices))
-    bank = templates.agg(F.sort_array(F.collect_list(F.struct("place", "choice", "template"))).alias("_bank"))
-    rows = facts.withColumn("_said", said).join(F.broadcast(bank))
-    taken = F.filter("_bank", lambda t: t["choice"].isNull() | F.array_contains("_said", t["choice"]))
-    return rows.select(key, F.array_join(F.transform(taken, lambda t: filled(t["template"], F.col(values))), "\n\n").alias("text"))
+    cut = F.collect_list(F.struct("place", "choice", "template", _pieces(F.col("template")).alias("pieces"))).alias("own")
+    by_choice = templates.groupBy("choice").agg(cut)
+    chosen = F.map_from_entries(F.collect_list(F.when(F.col("choice").isNotNull(), F.struct("choice", "own")))).alias("_chosen")
+    bank = by_choice.agg(chosen, F.flatten(F.collect_list(F.when(F.col("choice").isNull(), F.col("own")))).alias("_always"))
+    rows = facts.withColumn("_said", F.array_distinct(F.array_compact(said))).join(F.broadcast(bank))
+    own = F.flatten(F.array_compact(F.transform("_said", lambda c: F.element_at("_chosen", c))))
+    taken = F.array_sort(F.concat("_always", own))
+    return rows.select(key, F.array_join(F.transform(taken, lambda t: _joined(t["pieces"], F.col(values))), "\n\n").alias("text"))
 
 
 def change_word(now: Column, first: Column, words: tuple[str, str, str], threshold: float = 5.0) -> Column:
