@@ -11,6 +11,7 @@ with a common prefix of LENGTH bytes are repeats.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +23,15 @@ from tallyrift.llm.common import documents, in_set, tidy, whole, written
 
 LENGTH, GRAM = 200, 16
 #: Bytes of text whose grams are hashed at once, and of contexts whose suffixes are sorted at once.
-AT_ONCE, CHUNK = 1 << 20, 1 << 19
+AT_ONCE, CHUNK = 1 << 18, 1 << 19
 #: Contexts that a task sorts at once.
-RUN = 1_000_000
+RUN = 500_000
 #: Distinct contexts of a gram beyond which its strings are dealt out one by one, each by its own hash.
 HOT = 20_000
 #: Strings of such grams in a batch.
 STRINGS = 100_000
+#: Texts whose repeats are removed at once.
+TEXTS = 500
 
 _PLACE = np.uint64((1 << 26) - 1)
 
@@ -102,16 +105,17 @@ def two_stage(data: bytes, depth: int) -> np.ndarray:
     edge = np.flatnonzero(np.append(t[1:] != t[:-1], True))
     rising = np.append(t[edge[:-1]] < t[edge[:-1] + 1], False)
     small = rising[np.searchsorted(edge, np.arange(n))]
-    direct = sorted(np.flatnonzero(small).tolist(), key=lambda i: data[i : i + depth])
     count, falling = np.bincount(t, minlength=256), np.bincount(t[~small], minlength=256)
     begin = np.cumsum(count) - count
-    order = [-1] * n
-    if direct:
-        first = t[direct]
-        place = begin[first] + falling[first] + np.arange(len(direct)) - np.searchsorted(first, first)
-        for p, i in zip(place.tolist(), direct, strict=True):
-            order[p] = i
-    head, is_small = begin.tolist(), small.tolist()
+    placed = np.full(n, -1, np.int64)
+    direct = np.flatnonzero(small)
+    direct = direct[np.argsort(t[direct], kind="stable")]
+    buckets = np.cumsum(np.bincount(t[direct], minlength=256))
+    for c, (a, b) in enumerate(zip([0, *buckets.tolist()], buckets.tolist(), strict=False)):  # prefixes of one first byte at a time are held
+        if a < b:
+            at = begin[c] + falling[c]
+            placed[at : at + b - a] = sorted(direct[a:b].tolist(), key=lambda i: data[i : i + depth])
+    order, head, is_small = array("q", placed.tobytes()), begin.tolist(), small.tobytes()
     if n and not is_small[n - 1]:
         c = data[n - 1]
         order[head[c]] = n - 1
@@ -175,16 +179,30 @@ def _found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     size = 0
     for rows in batches:
         own = rows["row"].to_numpy(np.int64)
-        for text, gram, context, lo, hi, at in contexts([(t or "").encode("utf-8", "surrogatepass") for t in rows["text"]]):
-            kept.append([own[text], _signed(gram), _signed(context), *(x.astype(np.int32) for x in (lo, hi, at))])
-            size += len(gram)
-            if size >= RUN:
-                yield from _once(kept)
-                size = 0
+        for first, texts in _encoded(rows["text"]):
+            for text, gram, context, lo, hi, at in contexts(texts):
+                kept.append([own[first + text], _signed(gram), _signed(context), *(x.astype(np.int32) for x in (lo, hi, at))])
+                size += len(gram)
+                if size >= RUN:
+                    yield from _once(kept)
+                    size = 0
     if kept:
         yield from _once(kept)
 
 
+def _encoded(texts: pd.Series) -> Iterator[tuple[int, list[bytes]]]:
+    """(place of the first, texts as bytes), some AT_ONCE bytes at a time."""
+    first, part, size = 0, [], 0
+    for t in texts:
+        part.append((t or "").encode("utf-8", "surrogatepass"))
+        size += len(part[-1])
+        if size >= AT_ONCE:
+            yield first, part
+            first, part, size = first + len(part), [], 0
+    if part:
+        yield first, part
+
+
 def _once(kept: list[list[np.ndarray]]) -> Iterator[pd.DataFrame]:
     """The rows of a run of contexts, which is emptied."""
     row, gram, context, lo, hi, place = (np.concatenate(x) for x in zip(*kept, strict=True))
@@ -208,13 +226,20 @@ def _once(kept: list[list[np.ndarray]]) -> Iterator[pd.DataFrame]:
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The bytes of the contexts of each text."""
+    """The bytes of the contexts of each text, of some AT_ONCE bytes in a batch."""
+    told = lambda out: pd.DataFrame(out, columns=["row", "gram", "lo", "skip", "n", "bytes"])
+    out: list[tuple] = []
+    size = 0
     for rows in batches:
-        out = []
-        for text, wanted in zip(rows["text"], rows["wanted"], strict=True):
+        for row, text, *wanted in rows.itertuples(index=False, name=None):
             data = (text or "").encode("utf-8", "surrogatepass")
-            out += [(w["row"], w["gram"], w["lo"], w["at"] - w["lo"], w["n"], data[w["lo"] : w["hi"] + LENGTH]) for w in wanted]
-        yield pd.DataFrame(out, columns=["row", "gram", "lo", "skip", "n", "bytes"])
+            for gram, lo, hi, at, n in zip(*(w.tolist() for w in wanted), strict=True):
+                out.append((row, gram, lo, at - lo, n, data[lo : hi + LENGTH]))
+                size += len(out[-1][-1])
+                if size >= AT_ONCE:
+                    yield told(out)
+                    out, size = [], 0
+    yield told(out)
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -328,10 +353,11 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     wanted = mixed.join(per_gram, "gram").select(
         F.col("one.row").alias("row"), "gram", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), F.col("one.at").alias("at"), F.least("total", F.lit(2)).cast("int").alias("n"), (F.col("contexts") > HOT).alias("hot"))
     wanted = written(wanted, "wanted")
-    by_text = wanted.groupBy("row").agg(F.collect_list(F.struct("row", "gram", "lo", "hi", "at", "n", "hot")).alias("wanted"))
+    by_text = wanted.groupBy("row").agg(F.collect_list(F.struct("gram", "lo", "hi", "at", "n", "hot")).alias("wanted"))
     part = in_set(rows, wanted, "row", "_in").where("_in").select("row", "text").dropDuplicates(["row"])
     named = part.join(by_text, "row")
-    pieces = lambda hot: named.select("text", F.filter("wanted", lambda w: w["hot"] == hot).alias("wanted")).where(F.size("wanted") > 0).mapInPandas(
+    fields = [F.col(f"wanted.{c}").alias(c) for c in ("gram", "lo", "hi", "at", "n")]  # arrays of numbers, not an object for each context
+    pieces = lambda hot: named.select("row", "text", F.filter("wanted", lambda w: w["hot"] == hot).alias("wanted")).where(F.size("wanted") > 0).select("row", "text", *fields).mapInPandas(
         _cut, "row long, gram long, lo int, skip int, n int, bytes binary")
     inside = pieces(False).repartition("gram").sortWithinPartitions("gram").mapInPandas(_sorted, "row long, lo int, hi int")
     if wanted.where("hot").isEmpty():
@@ -383,7 +409,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 def _without_or_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """As ``_without``, with texts that the bit set let through without reason."""
-    for rows in batches:
+    for rows in (b[i : i + TEXTS] for b in batches for i in range(0, len(b), TEXTS)):
         full = rows["los"].map(len) > 0
         if full.any():
             yield from _without(iter([rows[full]]))

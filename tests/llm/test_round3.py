@@ -321,3 +321,21 @@ def test_far_stretches_are_cheap():
     assert sum(done.values()) == 10**12 and all(abs(n - Fraction(10**12 * shares.own[k], shares.whole)) < 1 for k, n in done.items())
     ends = list(M.phases(dict.fromkeys(weights, 10**11), weights))
     assert sum(n for _, _, n, _ in ends) == 30 * 10**11
+
+
+def test_repeats_cut_their_batches_by_bytes(monkeypatch):
+    """Contexts leave in batches of some AT_ONCE bytes; before, all of a batch of rows left at once, whatever their size."""
+    import numpy as np
+    import pandas as pd
+
+    from tallyrift.llm import repeats
+
+    monkeypatch.setattr(repeats, "AT_ONCE", 2000)
+    text, numbers = "é" * 3000, np.arange(100, dtype=np.int32)
+    rows = pd.DataFrame({"row": [1, 2], "text": [text, None], "gram": [numbers.astype(np.int64), numbers[:0].astype(np.int64)], **{c: [numbers, numbers[:0]] for c in ("lo", "hi", "at", "n")}})
+    out = list(repeats._cut(iter([rows])))
+    assert len(out) == 11 and max(sum(map(len, b["bytes"])) for b in out) == 2000
+    told = pd.concat(out)
+    assert told["lo"].tolist() == numbers.tolist() and all(d == text.encode()[i : i + repeats.LENGTH] for i, d in zip(told["lo"], told["bytes"], strict=True))
+    data = bytes(np.random.default_rng(7).integers(0, 3, 3000, np.uint8)) + b"\xff" * 40 + b"\0" * 40
+    assert repeats.two_stage(data, len(data)).tolist() == sorted(range(len(data)), key=lambda i: data[i:])
