@@ -34,21 +34,20 @@ _FACTORS = np.random.default_rng(20240229).integers(1, 2**63, (2, PERMUTATIONS),
 class Shingles:
     """Hashes of the runs of ``words`` lower-case words of texts; a shorter text is one run, one without words has none."""
 
-    def __init__(self, words: int = WORDS, remember: int = 150_000):
-        self.words, self.remember, self.known = words, remember, {}
+    def __init__(self, words: int = WORDS):
+        self.words = words
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, how many of each text)"""
         import xxhash
 
-        known, split = self.known, [t.lower().split() for t in texts]
-        if len(known) > self.remember:
-            known.clear()
+        digest, split = xxhash.xxh3_64_intdigest, [t.lower().split() for t in texts]
         flat = [w for ws in split for w in ws]
-        for w in set(flat).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
         sizes = np.fromiter(map(len, split), np.int64, len(split))
-        h = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
+        try:  # a word is hashed wherever it stands: a table of words takes longer than that, and memory
+            h = np.fromiter(map(digest, flat), np.uint64, len(flat))
+        except UnicodeEncodeError:  # half a surrogate pair
+            h = np.fromiter((digest(w.encode("utf-8", "surrogatepass")) for w in flat), np.uint64, len(flat))
         h = np.append(h, np.zeros(self.words, np.uint64))
         out, n = np.zeros(len(flat), np.uint64), len(flat)
         place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)

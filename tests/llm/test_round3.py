@@ -339,3 +339,15 @@ def test_repeats_cut_their_batches_by_bytes(monkeypatch):
     assert told["lo"].tolist() == numbers.tolist() and all(d == text.encode()[i : i + repeats.LENGTH] for i, d in zip(told["lo"], told["bytes"], strict=True))
     data = bytes(np.random.default_rng(7).integers(0, 3, 3000, np.uint8)) + b"\xff" * 40 + b"\0" * 40
     assert repeats.two_stage(data, len(data)).tolist() == sorted(range(len(data)), key=lambda i: data[i:])
+
+
+def test_words_are_hashed_without_a_table_of_them():
+    """One table a task held 150,000 words and took longer than the hashes; half a surrogate pair has its hash too."""
+    import xxhash
+
+    from tallyrift.llm.fingerprints import Shingles
+
+    one, two = Shingles(1), Shingles(1)
+    (a, n), (b, m) = one(["Éa b c", "", " x"]), two(["\ud800 éa", "b c x"])
+    assert n.tolist() == [3, 0, 1] and m.tolist() == [2, 3] and a.tolist() == b[1:].tolist() and not hasattr(one, "known")
+    assert len(set(b.tolist())) == 5 and xxhash.xxh3_64_intdigest("éa") == xxhash.xxh3_64_intdigest("éa".encode())
